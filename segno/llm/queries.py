@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding, simhash
+from . import decontaminate, exact_dedup, packing, sharding, simhash
 from .common import table
 
 QUERIES = {
     "op2_sharding": lambda spark, d: sharding.sharding_digest(table(spark, d, "documents")),
     "op4_simhash": lambda spark, d: simhash.simhash_digest(table(spark, d, "documents")),
+    "op5_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
+    "op6_decontamination": lambda spark, d: decontaminate.contamination_digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op8_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")),
 }
 
 ORACLES = {
+    "op6_decontamination": decontaminate.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
