@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, packing, sharding, simhash
+from . import decontaminate, exact_dedup, langid, packing, sharding, simhash
 from .common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_simhash": lambda spark, d: simhash.simhash_digest(table(spark, d, "documents")),
     "op5_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op6_decontamination": lambda spark, d: decontaminate.contamination_digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op7_language_id": lambda spark, d: langid.language_digest(table(spark, d, "documents")),
     "op8_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")),
 }
 
