@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, packing, sharding, simhash
+from . import decontaminate, exact_dedup, langid, license_scan, packing, sharding, simhash
 from .common import table
 
 QUERIES = {
+    "op1_license_scan": lambda spark, d: license_scan.license_digest(table(spark, d, "documents")),
     "op2_sharding": lambda spark, d: sharding.sharding_digest(table(spark, d, "documents")),
     "op4_simhash": lambda spark, d: simhash.simhash_digest(table(spark, d, "documents")),
     "op5_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_license_scan": license_scan.SQL,
     "op6_decontamination": decontaminate.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
