@@ -96,7 +96,7 @@ class Automaton:
         for k in range(at, len(text)):
             reached = set()
             for s in states:
-                reached |= self.moves[s].get(text[k], ())
+                reached.update(self.moves[s].get(text[k], ()))
                 reached |= self.skips[s]
             if not reached:
                 break
