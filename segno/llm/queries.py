@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, license_scan, packing, sharding, simhash
+from . import decontaminate, exact_dedup, langid, license_scan, packing, sharding, simhash, toxicity
 from .common import table
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_decontamination": lambda spark, d: decontaminate.contamination_digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op7_language_id": lambda spark, d: langid.language_digest(table(spark, d, "documents")),
     "op8_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")),
+    "op9_toxicity": lambda spark, d: toxicity.toxicity_digest(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
 ORACLES = {
