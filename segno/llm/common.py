@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segno.shipping import ship_package
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which the driver and all executors share.
@@ -52,7 +54,8 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
 
     The function returns a dict of equally long columns (arrays, lists), or None for no rows.
     """
-    arrow = _arrow_schema(df.sparkSession, schema)
+    ship_package(df.sparkSession)
+    arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
@@ -63,7 +66,7 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def _arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

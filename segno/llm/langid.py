@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segno.shipping import ship_package
+
 from .common import id_crc32, id_text, map_batches, texts
 
 UNKNOWN = "und"
@@ -227,6 +229,7 @@ def drop_unknown_language(docs: DataFrame) -> DataFrame:
     filters = learn(docs)
     if not filters.languages:
         return docs.where(F.lit(False))
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     @F.pandas_udf("boolean")
