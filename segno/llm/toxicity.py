@@ -8,11 +8,13 @@ scored beside those of the text as it stands.
 
 The score of a word is the lower confidence bound of the share of toxic documents among labelled ones
 with that word, or with a word of the same beginning. Near copies of a labelled document count once.
-A document's score is that of its worst word.
+A document's worst words, their number and their density are its evidence, which a logistic
+regression on a bounded sample of the labelled rows turns into a probability.
 
 Defined results
 ---------------
-* A null or empty text, or one without words, has score 0, as has everything when no row is labelled.
+* A null or empty text, or one without words, has the score of a text with no bad word.
+* Without enough labels of both kinds a text's score is that of its worst word, 0 for none.
 * Labels that are null are left out; an identifier labelled twice is learned from with either label.
 * Repeated rows each get their score. An empty table gives no rows.
 """
@@ -27,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc32, id_text, map_batches, texts
+from .common import id_crc32, id_text, map_batches, settle, texts
 
 #: Letters that a digit or sign may stand for (fixed values).
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -36,6 +38,9 @@ SEPARATORS = ".-_*~'"
 #: Log-probability of each liberty that the writer takes.
 COST_LEET, COST_SEPARATOR, COST_REPEAT = -1.5, -0.7, -0.7
 
+#: A word counts as bad from this score.
+BAD_WORD = 0.3
+
 #: Features are counted in so many buckets; this bounds what reaches the driver.
 BUCKETS = 1 << 20
 #: Scored tokens that one Python task keeps; a full cache takes no more.
@@ -148,10 +153,11 @@ def _copy_key(text: str) -> int:
 
 @dataclass
 class Lexicon:
-    """Scores by bucket, and the character model."""
+    """Scores by bucket, the character model, and weights of the evidence (the first is the bias)."""
 
     scores: np.ndarray
     model: list[float]
+    weights: np.ndarray | None = None
 
 
 def train(rows: DataFrame, model: list[float], z: float = 3.0) -> Lexicon:
@@ -191,26 +197,75 @@ def train(rows: DataFrame, model: list[float], z: float = 3.0) -> Lexicon:
     return Lexicon(scores, model)
 
 
-def score_text(text: str, lexicon: Lexicon, known: dict[str, float]) -> float:
+def evidence(text: str, lexicon: Lexicon, known: dict[str, float]) -> list[float]:
+    """What a text holds: its worst word, the next worst, how many bad words there are and how dense."""
     text = text.lower()
     tokens = text.split()
     got = list(map(known.get, tokens))
-    worst = 0.0
     for k, value in enumerate(got):
         if value is None:
-            token = tokens[k]
-            value = _token_score(token, lexicon)
+            got[k] = value = _token_score(tokens[k], lexicon)
             if len(known) < CACHE_TOKENS:
-                known[token] = value
-        if value > worst:
-            worst = value
-    return max([worst, *(_token_score(t, lexicon) for t in spaced(text))])
+                known[tokens[k]] = value
+    hidden = spaced(text)
+    tokens += hidden
+    got += [_token_score(t, lexicon) for t in hidden]
+    bad = {t: v for t, v in zip(tokens, got, strict=True) if v >= BAD_WORD / 2}
+    top = sorted(bad.values(), reverse=True)[:2] + [0.0, 0.0]
+    n = sum(v >= BAD_WORD for v in got)
+    logit = lambda p: float(np.log(max(p, 0.01) / max(1 - p, 0.01)))
+    return [logit(max(top[0], max(got, default=0.0))), logit(top[1]), float(np.log1p(n)), float(np.log((n + 0.5) / (len(tokens) + 20)))]
 
 
 def _token_score(token: str, lexicon: Lexicon) -> float:
     return max((float(lexicon.scores[b]) for w in restored(token, lexicon.model) for b in features(w)), default=0.0)
 
 
+def score_text(text: str, lexicon: Lexicon, known: dict[str, float]) -> float:
+    held = evidence(text, lexicon, known)
+    if lexicon.weights is None:  # too few labels to weigh by
+        p = float(1 / (1 + np.exp(-held[0])))
+        return p if p > 0.01 else 0.0
+    return float(1 / (1 + np.exp(-np.clip(lexicon.weights[0] + np.dot(lexicon.weights[1:], held), -30, 30))))
+
+
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression by Newton's method."""
+    x = np.hstack([np.ones((len(x), 1)), x])
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        penalty = ridge * np.array([0.0, *[1.0] * (len(w) - 1)])
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def weigh(rows: DataFrame, lexicon: Lexicon, sample: int = 50_000, least: int = 20) -> Lexicon:
+    """Weights of the evidence from about ``sample`` labelled rows, chosen by a hash of the identifier."""
+    rows = rows.where(F.col("toxic").isNotNull())
+    total = rows.count()
+    if total > sample:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample / total * (1 << 30)))
+    shared = rows.sparkSession.sparkContext.broadcast(lexicon)
+
+    def make():
+        known: dict[str, float] = {}
+
+        def step(batch):
+            return {"x": [evidence(t, shared.value, known) for t in texts(batch)], "y": batch.column("toxic")}
+
+        return step
+
+    got = map_batches(rows.select("text", F.col("toxic").cast("int")), "x array<double>, y int", make).toPandas()  # about `sample` rows
+    y = (got["y"].to_numpy() > 0).astype(float)
+    if min(y.sum(), len(y) - y.sum()) >= least:
+        lexicon.weights = _fit(np.stack(got["x"].to_numpy()), y)
+    return lexicon
+
+
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for each row; a text alone decides."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # BUCKETS numbers and the character model
@@ -230,7 +285,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """The lexicon from rows of ``documents`` that may be learned from; the character model from all."""
     model = train_characters(docs)
     rows = id_text(docs).where(id_crc32(F.col("doc_id")) % 4 != 2)
-    return train(rows.join(labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), "doc_id"), model)
+    labelled = settle(rows.join(labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), "doc_id"))
+    return weigh(labelled, train(labelled, model))
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
