@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from segno.shipping import ship_package
 
 
+#: Arrow batches are handled in slices of about so many bytes.
+BATCH_BYTES = 8 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which the driver and all executors share.
 
@@ -60,8 +64,10 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows and (out := step(batch)) is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+            rows = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))
+            for k in range(0, batch.num_rows, rows):
+                if (out := step(batch.slice(k, rows))) is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

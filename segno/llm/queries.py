@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, langid, license_scan, packing, sharding, simhash, toxicity
+from . import decontaminate, exact_dedup, html_extract, langid, license_scan, line_dedup, packing, sharding, simhash, toxicity
 from .common import table
 
 QUERIES = {
     "op10_html_extraction": lambda spark, d: html_extract.extract_digest(table(spark, d, "pages")),
     "op1_license_scan": lambda spark, d: license_scan.license_digest(table(spark, d, "documents")),
     "op2_sharding": lambda spark, d: sharding.sharding_digest(table(spark, d, "documents")),
+    "op3_line_dedup": lambda spark, d: line_dedup.dedup_lines(table(spark, d, "documents")),
     "op4_simhash": lambda spark, d: simhash.simhash_digest(table(spark, d, "documents")),
     "op5_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op6_decontamination": lambda spark, d: decontaminate.contamination_digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
