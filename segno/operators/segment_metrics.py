@@ -69,8 +69,8 @@ def pitch_entropy(notes: DataFrame) -> DataFrame:
 
 def pitch_sequences(notes: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The pitches of each group in order, as an array."""
-    held = notes.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, "pitch"))).alias("_s"))
-    return held.select(*by, F.transform("_s", lambda x: x["pitch"]).alias("pitches"))
+    held = notes.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, F.col("pitch").alias("_p")))).alias("_s"))
+    return held.select(*by, F.transform("_s", lambda x: x["_p"]).alias("pitches"))
 
 
 def theme_overlap(notes: DataFrame, melodies: DataFrame, sizes: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
