@@ -1 +1,151 @@
-"""Placeholder."""
+"""Cutting, retiming and spelling of scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from segno.functions import music
+from segno.operators import domain, relational
+
+from .bindings import CHORDS, NOTES, PIECE, PIECE_NOTES, chords, notes, piece_notes, pieces, table, with_ctes
+from .registry import query
+
+BASE = with_ctes(NOTES, PIECE_NOTES)
+
+
+@query("chunk_rows_drop_tail", """
+SELECT user_id, event_id, (k // 8)::INTEGER AS chunk FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE k // 8 < n // 8""")
+def chunk_rows(spark, d):
+    return relational.chunk_rows(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], 8).select("user_id", "event_id", "chunk")
+
+
+@query("bar_chunks", """
+SELECT user_id AS piece_id, bar AS measure_no, (k // 8)::INTEGER AS chunk, (k % 8 * 4)::DOUBLE AS offset_in_chunk_q
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY bar) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT user_id, unnest(range(1, 1 + 11 + user_id % 9)) AS bar FROM (SELECT DISTINCT user_id FROM events))) WHERE k // 8 < n // 8""")
+def bar_chunks(spark, d):
+    """Measures of pieces of 11 to 19 bars with a pickup: pickups and tails go."""
+    users = table(spark, d, "events").select(F.col("user_id").alias("piece_id")).distinct()
+    bars = users.withColumn("measure_no", F.explode(F.sequence(F.lit(0).cast("long"), 10 + F.lit(1) + F.col("piece_id") % 9)))
+    measures = bars.select("piece_id", F.lit(0).alias("part_no"), "measure_no", F.when(F.col("measure_no") == 0, 3.0).otherwise(0.0).alias("padding_left"), (F.greatest(F.col("measure_no") - 1, F.lit(0)) * 4.0 + F.when(F.col("measure_no") > 0, 1.0).otherwise(0.0)).alias("offset_q"))
+    return domain.bar_chunks(measures, 8).select("piece_id", "measure_no", "chunk", "offset_in_chunk_q")
+
+
+WINDOWS = BASE + """,
+ends AS (SELECT theme, model, floor((max(end_s) + 1e-6::DOUBLE) / 4.0::DOUBLE)::INTEGER AS n FROM piece_notes GROUP BY ALL),
+frames AS (SELECT theme, model, unnest(range(n))::INTEGER AS "window" FROM ends WHERE n > 0),
+placed AS (SELECT theme, model, floor((start_s + 1e-9::DOUBLE) / 4.0::DOUBLE)::INTEGER AS "window", seq_no, pitch, start_s, end_s FROM piece_notes)
+SELECT theme, model, "window", seq_no, pitch, round(greatest(start_s - "window" * 4.0::DOUBLE, 0), 6) AS start_s, round(least(end_s, "window" * 4.0::DOUBLE + 4) - "window" * 4.0::DOUBLE, 6) AS end_s FROM frames LEFT JOIN placed USING (theme, model, "window")"""
+
+
+@query("slice_windows", WINDOWS)
+def slice_windows(spark, d):
+    got = domain.slice_windows(piece_notes(spark, d), pieces(spark, d), PIECE, 2)
+    return got.select(*PIECE, "window", "seq_no", "pitch", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"))
+
+
+@query("extract_second_half", BASE + """,
+cuts AS (SELECT theme, model, floor(n / 2) * 2.0::DOUBLE AS cut FROM (SELECT theme, model, ceil(max(end_s) / 2.0::DOUBLE) AS n FROM piece_notes GROUP BY ALL) WHERE n >= 2)
+SELECT theme, model, seq_no, pitch, greatest(start_s - cut, 0) AS start_s, end_s - cut AS end_s FROM piece_notes JOIN cuts USING (theme, model) WHERE start_s >= cut - 1e-9::DOUBLE""")
+def second_half(spark, d):
+    return domain.second_half(piece_notes(spark, d), pieces(spark, d), PIECE).select(*PIECE, "seq_no", "pitch", "start_s", "end_s")
+
+
+@query("retempo_transpose", BASE + """
+SELECT theme, model, seq_no, (pitch + CASE WHEN up > 5 THEN up - 12 ELSE up END)::INTEGER AS pitch, start_s * 120 / 180.0::DOUBLE AS start_s, end_s * 120 / 180.0::DOUBLE AS end_s
+FROM (SELECT *, ((CASE WHEN theme % 2 = 1 THEN 9 ELSE 0 END - theme % 12) % 12 + 12) % 12 AS up FROM piece_notes)""")
+def retempo_transpose(spark, d):
+    """Notes at 180 beats a minute in C major or A minor; a theme's number stands for its key."""
+    moved = domain.retempo(piece_notes(spark, d), F.lit(120), F.lit(180.0))
+    steps = music.transposition(F.col("theme") % 12, F.when(F.col("theme") % 2 == 1, "minor").otherwise("major"))
+    return domain.transposed(moved, steps).select(*PIECE, "seq_no", F.col("pitch").cast("int").alias("pitch"), "start_s", "end_s")
+
+
+@query("tile_cyclic", with_ctes(CHORDS) + "SELECT theme, chunk_idx, seq_no, offset_q + k * 16 AS offset_q, kind FROM chords, (SELECT unnest(range(3))::DOUBLE AS k) WHERE offset_q + k * 16 < 40")
+def tile_cyclic(spark, d):
+    return domain.cyclic_chords(chords(spark, d), ["theme", "chunk_idx"], 16.0, 40.0).select("theme", "chunk_idx", "seq_no", "offset_q", "kind")
+
+
+def _tied(spark, d):
+    kinds = F.element_at(F.array(F.lit("start"), F.lit("continue"), F.lit("stop"), F.lit(None)), (F.col("velocity") + F.col("pitch")) % 4 + 1)
+    return notes(spark, d).withColumn("tie", kinds)
+
+
+BY = ["theme", "model", "sample_idx", "chunk_idx"]
+TIES = """
+tied AS (SELECT *, ['start', 'continue', 'stop', NULL][(velocity + pitch) % 4 + 1] AS tie FROM notes),
+opened AS (SELECT *, coalesce(last_value(CASE WHEN tie = 'start' THEN 1 WHEN tie IS NULL THEN 0 END IGNORE NULLS) OVER (PARTITION BY theme, model, sample_idx, chunk_idx ORDER BY seq_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM tied),
+chained AS (SELECT *, sum(CASE WHEN tie IN ('continue', 'stop') AND o = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY theme, model, sample_idx, chunk_idx ORDER BY seq_no) AS chain FROM opened)"""
+
+
+@query("tie_chain_sessions", with_ctes(NOTES, TIES) + " SELECT theme, model, sample_idx, chunk_idx, chain::BIGINT AS chain, count(*) AS n, sum(ticks)::BIGINT AS ticks FROM chained GROUP BY ALL")
+def tie_chains(spark, d):
+    got = domain.tie_chains(_tied(spark, d), BY, ["seq_no"])
+    return got.groupBy(*BY, "chain").agg(F.count(F.lit(1)).alias("n"), F.sum("ticks").alias("ticks"))
+
+
+VOCABULARY = [1, 2, 4, 6, 8, 12, 16]
+
+
+@query("detie_and_snap", with_ctes(NOTES, TIES) + f""",
+totals AS (SELECT *, sum(ticks) OVER c AS total, count(*) OVER c AS n FROM chained WINDOW c AS (PARTITION BY theme, model, sample_idx, chunk_idx, chain))
+SELECT theme, model, sample_idx, chunk_idx, seq_no, CASE WHEN n >= 2 AND NOT list_contains({VOCABULARY}, total) THEN NULL ELSE tie END AS tie,
+       (list_sort(list_transform({VOCABULARY}, lambda v: [abs(v - ticks), v]))[1][2])::INTEGER AS ticks FROM totals""")
+def detie_and_snap(spark, d):
+    vocabulary = spark.createDataFrame([(v,) for v in VOCABULARY], "ticks int")
+    return domain.snapped(domain.detied(_tied(spark, d), vocabulary, BY, ["seq_no"]), VOCABULARY).select(*BY, "seq_no", "tie", "ticks")
+
+
+FRAMES = with_ctes(CHORDS) + """,
+f AS (SELECT theme, chunk_idx, frame, frame % 64 AS place FROM (SELECT DISTINCT theme, chunk_idx FROM chords), (SELECT unnest(range(129))::INTEGER AS frame)),
+c AS (SELECT *, round_even(offset_q * 4, 0)::INTEGER AS frame FROM chords WHERE round_even(offset_q * 4, 0) < 64)
+SELECT f.theme, f.chunk_idx, f.frame, array_to_string(list_sort(list_distinct(coalesce(c.pcs, []))), ',') AS pcs FROM f ASOF LEFT JOIN c ON f.theme = c.theme AND f.chunk_idx = c.chunk_idx AND f.place >= c.frame"""
+
+
+@query("ffill_chord_track", FRAMES)
+def chord_track(spark, d):
+    held = chords(spark, d)
+    frames = held.select("theme", "chunk_idx").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(128))))
+    got = domain.chord_frames(held, frames, ["theme", "chunk_idx"], 4, F.lit(64))
+    return got.select("theme", "chunk_idx", "frame", F.array_join(F.array_sort(F.array_distinct("pcs")), ",").alias("pcs"))
+
+
+@query("melody_track", BASE + """,
+base AS (SELECT theme, model, floor(min(pitch) / 12.0) * 12 AS base_note FROM piece_notes GROUP BY ALL),
+spread AS (SELECT theme, model, seq_no, pitch - base_note AS rel, on_ticks AS onset, unnest(range(on_ticks, on_ticks + ticks)) AS frame FROM piece_notes JOIN base USING (theme, model)),
+tokens AS (SELECT theme, model, frame, CASE WHEN frame = onset THEN 2 ELSE 1 END AS rhythm, CASE WHEN frame = onset THEN rel ELSE 60 END AS pitch FROM spread)
+SELECT theme, model, frame::INTEGER AS frame, coalesce(rhythm, 0)::INTEGER AS rhythm, coalesce(pitch, 61)::INTEGER AS pitch, base_note::INTEGER AS base_note
+FROM base CROSS JOIN (SELECT unnest(range(64)) AS frame) LEFT JOIN tokens USING (theme, model, frame)""")
+def melody_track(spark, d):
+    rows = piece_notes(spark, d).withColumn("offset_q", F.col("on_ticks") / 4).withColumn("length_q", F.col("ticks") / 4)
+    frames = rows.select(*PIECE).distinct().withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    return domain.melody_frames(rows, frames, PIECE, 4, 60)
+
+
+@query("key_detection")
+def key_detection(spark, d):
+    """The likeliest key of every piece from its pitch classes."""
+    from segno.operators.corpus_features import pitch_class_histogram
+
+    return domain.keys(pitch_class_histogram(piece_notes(spark, d), PIECE), PIECE)
+
+
+@query("nearest_downbeat", "SELECT event_id, abs(s - round_even(s / 3600.0, 0) * 3600) <= 225 AS near FROM (SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS s FROM events)")
+def nearest_downbeat(spark, d):
+    """Events within a sixteenth of an hour's begin."""
+    rows = table(spark, d, "events").withColumn("s", F.unix_timestamp(F.date_trunc("second", "ts")).cast("double"))
+    return rows.select("event_id", relational.near_downbeat(F.col("s"), F.lit(3600.0), F.lit(1e12), F.lit(225.0)).alias("near"))
+
+
+@query("downbeat_grid", "SELECT user_id, unnest(range(0, bars + 1)) * 4 AS downbeat_q FROM (SELECT user_id, count(*) // 16 AS bars FROM events GROUP BY 1)")
+def downbeat_grid(spark, d):
+    bars = table(spark, d, "events").groupBy("user_id").agg(F.floor(F.count(F.lit(1)) / 16).alias("bars"))
+    return bars.select("user_id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("bars")), lambda k: k * 4)).alias("downbeat_q"))
+
+
+@query("middle_downbeat", "SELECT user_id, list(bar ORDER BY bar)[len(list(bar)) // 2 + 1] AS middle FROM (SELECT DISTINCT user_id, (epoch(ts)::BIGINT // 86400)::BIGINT AS bar FROM (SELECT user_id, date_trunc('second', ts) AS ts FROM events)) GROUP BY 1")
+def middle_downbeat(spark, d):
+    days = table(spark, d, "events").select("user_id", F.floor(F.unix_timestamp(F.date_trunc("second", "ts")) / 86400).alias("bar")).distinct()
+    line = Window.partitionBy("user_id")
+    placed = days.withColumn("k", F.row_number().over(line.orderBy("bar"))).withColumn("n", F.count(F.lit(1)).over(line))
+    return placed.where(F.col("k") == F.floor(F.col("n") / 2) + 1).select("user_id", F.col("bar").alias("middle"))
