@@ -14,7 +14,7 @@ from segno.streaming import streams
 from .bindings import table, with_ctes
 from .registry import query
 
-NAMES = ["cmt", "mingus", "bebopnet"]
+NAMES = ["alto", "tenor", "baritone"]
 
 
 def _themes(spark, d) -> DataFrame:
@@ -37,7 +37,7 @@ def _files(spark, d) -> DataFrame:
 
 STATE = """
 themes AS (SELECT s_suppkey::VARCHAR AS theme, s_suppkey % 13 = 5 AS removed, (s_suppkey % 7)::INTEGER AS chunks FROM supplier),
-models AS (SELECT * FROM (VALUES ('cmt', 0), ('mingus', 1), ('bebopnet', 2)) v(model, ord)),
+models AS (SELECT * FROM (VALUES ('alto', 0), ('tenor', 1), ('baritone', 2)) v(model, ord)),
 expected AS (SELECT theme, model, ord, sample_idx, chunks, theme::BIGINT * 5 + length(model) * 3 + sample_idx * 2 AS code FROM themes, models, (SELECT unnest(range(2))::INTEGER AS sample_idx)),
 samples AS (SELECT theme, model, sample_idx, code % 11 <> 3 AS ok, CASE WHEN code % 11 = 3 THEN 'bad output' END AS error FROM expected WHERE code % 9 <> 4),
 files AS (SELECT theme, model, sample_idx FROM samples WHERE (theme::BIGINT + length(model)) % 4 <> 1)"""

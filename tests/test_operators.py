@@ -190,10 +190,10 @@ def test_split_is_repeatable_disjoint_and_sized(spark):
 
 def test_derived_status(spark):
     themes = spark.createDataFrame([("a", False), ("b", False), ("c", True)], "theme string, removed boolean")
-    rows = [(t, m, k, not (t == "b" and m == "cmt" and k)) for t in "abc" for m in ("cmt", "mingus") for k in range(2)]
+    rows = [(t, m, k, not (t == "b" and m == "alto" and k)) for t in "abc" for m in ("alto", "tenor") for k in range(2)]
     samples = spark.createDataFrame(rows, "theme string, model string, sample_idx int, ok boolean")
-    got = {r["theme"]: (r["status"], r["excluded_due_to"]) for r in state.derived_status(themes, samples, ["cmt", "mingus"], 2).collect()}
-    assert got == {"a": ("ok", None), "b": ("fail", "cmt"), "c": ("fail", "removed_from_corpus")}
+    got = {r["theme"]: (r["status"], r["excluded_due_to"]) for r in state.derived_status(themes, samples, ["alto", "tenor"], 2).collect()}
+    assert got == {"a": ("ok", None), "b": ("fail", "alto"), "c": ("fail", "removed_from_corpus")}
 
 
 def test_cells(spark):

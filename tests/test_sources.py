@@ -38,9 +38,9 @@ def test_backup_and_pickup():
 
 
 def test_paths(spark):
-    df = spark.createDataFrame([("/x/themes/728_I/cmt/sample_1/gen_chunk_10.mid",), ("/x/themes/a/cmt/sample_x/y.mid",)], "path string")
+    df = spark.createDataFrame([("/x/themes/728_I/alto/sample_1/gen_chunk_10.mid",), ("/x/themes/a/alto/sample_x/y.mid",)], "path string")
     got = scores.file_parts(df).collect()
-    assert (got[0]["theme"], got[0]["model"], got[0]["sample_idx"], got[0]["chunk_idx"]) == ("728_I", "cmt", 1, 10)
+    assert (got[0]["theme"], got[0]["model"], got[0]["sample_idx"], got[0]["chunk_idx"]) == ("728_I", "alto", 1, 10)
     assert got[1]["sample_idx"] is None
 
 
@@ -54,10 +54,10 @@ def test_csv_and_numbers(spark, tmp_path):
 
 def test_manifest_and_split(spark, tmp_path):
     themes = spark.createDataFrame([("t", "ok", False)], "theme string, status string, removed boolean")
-    samples = spark.createDataFrame([("t", "cmt", 0, True, 1.0, None, "2024")], "theme string, model string, sample_idx int, ok boolean, duration_sec double, error string, ts string")
+    samples = spark.createDataFrame([("t", "alto", 0, True, 1.0, None, "2024")], "theme string, model string, sample_idx int, ok boolean, duration_sec double, error string, ts string")
     path = str(tmp_path / "manifest.json")
     sinks.write_manifest(themes, samples, path, slug="s")
-    _, got = tables.read_manifest(spark, path, ["cmt"])
+    _, got = tables.read_manifest(spark, path, ["alto"])
     assert got.first()["ok"] is True
     sinks.write_split(spark.createDataFrame([("a", "train"), ("b", "test")], "name string, bucket string"), str(tmp_path / "split.json"))
     assert json.loads((tmp_path / "split.json").read_text()) == {"train": ["a"], "eval": [], "test": ["b"]}
