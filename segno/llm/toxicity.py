@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc32, id_text, map_batches, settle, texts
+from .common import id_crc32, id_text, map_batches, texts
 
 #: Letters that a digit or sign may stand for (fixed values).
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -281,11 +281,18 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     return map_batches(id_text(docs, id_col, text_col), "doc_id long, score double", make)
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """The lexicon from rows of ``documents`` that may be learned from; the character model from all."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 200_000) -> Lexicon:
+    """The lexicon from rows of ``documents`` that may be learned from; the character model from all.
+
+    Labels are a sample of about ``sample``, chosen by a hash of the identifier (all, if there are no
+    more), so they can be broadcast and texts are not shuffled to meet them.
+    """
     model = train_characters(docs)
-    rows = id_text(docs).where(id_crc32(F.col("doc_id")) % 4 != 2)
-    labelled = settle(rows.join(labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), "doc_id"))
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(F.col("toxic").isNotNull())
+    total = labels.count()
+    if total > sample:
+        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample / total * (1 << 30)))
+    labelled = id_text(docs).where(id_crc32(F.col("doc_id")) % 4 != 2).join(F.broadcast(labels), "doc_id")
     return weigh(labelled, train(labelled, model))
 
 
