@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from .common import id_text, map_batches, settle, texts
 
 #: Cached words in one Python worker; frequent words come first, so a full cache takes no more.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 #: Characters of text that are encoded at once.
 BITE_CHARS = 1 << 20
 #: Ranks stay below this, so a length and a rank fit one 64-bit key.
 RANKS = 1 << 49
+#: Signs that end a word; no part of a contraction.
+SIGNS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<>|")
 #: Longer words are encoded without being cached.
 CACHE_CHARS = 48
 
@@ -64,28 +66,47 @@ class Encoder:
         self.end = end_id.to_bytes(4, "little")
         self.known: dict[str, bytes] = {"": b""}
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that are not cached; they are cached while there is room."""
-        words = list(words)
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that are not cached."""
+        if not words:
+            return {}
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        got = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, found, strict=True)}
-        if len(self.known) < CACHE_WORDS:
-            self.known.update((w, packed) for w, packed in got.items() if len(w) <= CACHE_CHARS)
-        return got
+        return {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, found, strict=True)}
 
     def encode(self, several: list[str]) -> list[bytes]:
-        known = self.known.get
-        parts = [text.replace("\n", " ").split(" ") for text in several]
-        out = [list(map(known, p)) for p in parts]
-        missing = {p[k] for p, o in zip(parts, out, strict=True) if None in o for k, packed in enumerate(o) if packed is None}
-        if missing:
-            got = self._learn(missing)
-            for p, o in zip(parts, out, strict=True):
-                if None in o:
-                    o[:] = [got[w] if packed is None else packed for w, packed in zip(p, o, strict=True)]
-        for o in out:
-            o.append(self.end)
-        return [b"".join(o) for o in out]
+        parts = [_lowered(text).replace("\n", " ").split(" ") for text in several]
+        # The texts' own words in a small table: the large cache is asked once for each.
+        own = list(set().union(*parts))
+        local = dict(zip(own, map(self.known.get, own), strict=True))
+        unknown = [w for w, packed in local.items() if packed is None]
+        # A word and the signs after it are encoded apart by the tokenizer too.
+        tails: dict[str, tuple[str, str]] = {}
+        for w in unknown:
+            core = w.rstrip(SIGNS)
+            if core != w and core and core[-1].isalpha():
+                tails[w] = core, w[len(core) :]
+        needed = {part for pair in tails.values() for part in pair}.union(w for w in unknown if w not in tails)
+        held = {w: self.known.get(w) for w in needed}
+        new = self._learn([w for w, packed in held.items() if packed is None])
+        held |= new
+        for w in unknown:
+            local[w] = held[tails[w][0]] + held[tails[w][1]] if w in tails else held[w]
+        # The cache takes short words without signs while it has room.
+        for w, packed in new.items():
+            if len(self.known) >= CACHE_WORDS:
+                break
+            if len(w) <= CACHE_CHARS:
+                self.known[w] = packed
+        return [b"".join([*map(local.__getitem__, p), self.end]) for p in parts]
+
+
+def _lowered(text: str) -> str:
+    """The text in lower case, as the tokenizer has it, where that changes nothing else: in Latin-1."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 def _bites(texts: list[str], chars: int) -> Iterator[list[int]]:
