@@ -11,7 +11,8 @@ host's template; what stands between template tokens are slots.
 Slots are extracted, except those in parts that a page's own markup or names mark as menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles or comments. Text that the template
 itself repeats on a host's pages is left out where it stands outside the article. Where a page has
-an article or main element, that is where its slots are taken from.
+an article or main element, that is where its slots are taken from. A name counts whole or by its
+parts (``has-sidebar``); what only a part marks is no bar to an article or main element within.
 
 Defined results
 ---------------
@@ -69,7 +70,7 @@ class Element:
     path: str
     outside: bool  # within a part that holds no main text
     article: bool  # within an article or main element
-    heading: bool = False  # within a heading
+    loose: bool = False  # outside only by a part of a compound name, which an article or main element within resets
 
 
 @dataclass
@@ -81,18 +82,21 @@ class Piece:
     breaks: bool
 
 
-def _is_marked(attributes: str) -> bool:
+def _marks(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether attributes mark an element as no main text, whether only a part of a compound name does, and whether its role is main."""
+    marked = part = main = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name == "hidden":
-            return True
-        if name in ("class", "id", "role"):
-            value = (values[0] or values[1] or values[2]).lower()
-            if not MARKED.isdisjoint(_NAMES.split(value)):
-                return True
+            marked = True
+        elif name in ("class", "id", "role"):
+            names = (values[0] or values[1] or values[2]).lower().split()
+            main = main or name == "role" and "main" in names
+            marked = marked or not MARKED.isdisjoint(names)
+            part = part or any(not MARKED.isdisjoint(_NAMES.split(x)) for x in names)
         elif name == "style" and "display:none" in "".join(values).replace(" ", "").lower():
-            return True
-    return False
+            marked = True
+    return marked, part, main
 
 
 def read_page(page: str) -> tuple[list[str], list[Piece]]:
@@ -153,13 +157,18 @@ def read_page(page: str) -> tuple[list[str], list[Piece]]:
                     break
         above = stack[-1]
         attributes = found.group(3)
-        article = above.article or tag in ("article", "main") or ("role" in attributes and "main" in attributes)
+        marked, part, main = _marks(attributes) if attributes else (False, False, False)
+        main = main or tag in ("article", "main")
+        strict = above.outside and not above.loose
         outside = above.outside
         if tag in HEADINGS and above.article and above.tag == "header":
-            outside = False  # an article's own heading
-        elif tag not in ("html", "body", "article", "main"):
-            outside = outside or tag in OUTSIDE or (bool(attributes) and _is_marked(attributes))
-        element = Element(tag, f"{above.path}>{tag}", outside, article)
+            strict = outside = False  # an article's own heading
+        elif main:
+            outside = strict
+        elif tag not in ("html", "body"):
+            strict = strict or tag in OUTSIDE or marked
+            outside = outside or strict or part
+        element = Element(tag, f"{above.path}>{tag}", outside, above.article or main, outside and not strict)
         tokens.append(element.path)
         if tag in VOID or attributes.endswith("/") and tag not in RAW:
             continue

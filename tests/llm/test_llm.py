@@ -466,6 +466,20 @@ def test_main_text():
     assert html_extract.main_text("<article><header><h1>Title</h1><p>by me</p></header>Body</article>") == "Title Body"
 
 
+def test_only_the_main_role_makes_an_article():
+    page = '<div><a role="button" href="https://domain.example">Press</a><p>Text</p></div>'
+    assert html_extract.main_text(page) == "Press Text"
+    assert html_extract.main_text('<div role="main"><p>a</p></div><p>b') == "a" and html_extract.main_text("<div class='x' ROLE=main>a</div><p>b") == "a"
+
+
+def test_an_article_resets_what_a_compound_name_marks():
+    for wrapper in ('class="layout has-sidebar"', 'id="search-page"', 'class="no-ads with_menu"'):
+        for tag in ("article", "main", 'div role="main"'):
+            page = f'<div {wrapper}><p>by</p><{tag}><p>Body</p><p class="share-bar">Share</p></{tag.split()[0]}><div class="sidebar"><article>Teaser</article></div></div>'
+            assert html_extract.main_text(page) == "Body", page
+    assert html_extract.main_text('<div class="x sidebar"><article>a</article></div><aside><article>b</article></aside><div hidden><main>c</main></div>') == ""
+
+
 def test_template_text_of_a_host_is_left_out(spark):
     pages = [(k, f"https://Host.example/{k}", f"<body><div><p>Always here</p></div><div><p>Only {k}</p></div></body>") for k in range(8)]
     pages += [(100, "https://lone.example/", "<body><p>Always here</p></body>"), (101, None, None), (102, "odd", "<p>x")]
