@@ -1,8 +1,9 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-Pages of one host share a template. Every page is read into tokens: its tags, with the path of
+Pages of one host share a template. Pages with the same content, told by their text outside menus,
+headers and the like, count as one, so copies of an article are no template. Every page is read into tokens: its tags, with the path of
 elements around them, and its pieces of text. Tokens with the same occurrence vector across the
-host's pages form an equivalence class. A vector is summed up as the sum over pages of a page hash
+host's pages form an equivalence class. A vector is summed up as the sum over pages of a content hash
 times the number of occurrences, so classes come from one aggregation with map-side sums, however
 many pages a host has. A class is valid if it is frequent on its host and properly nested: each of
 its opening tags has its closing tag in a class that is valid too. Valid classes, nested by path, make the
@@ -220,23 +221,49 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
 _HOST = r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
+#: What is left out of a page's content, by which copies are told: parts that hold no main text, comments and tags.
+_NO_CONTENT = r"(?is)<!--.*?-->|<(script|style|nav|header|footer|aside|form|noscript)\b.*?</\1\s*>|<[^>]*>"
+
+
 def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     url = pages[url_col].cast("string")
     host = F.lower(F.coalesce(F.regexp_extract(url, _HOST, 1), F.lit("")))
     return pages.select(pages[id_col].cast("long").alias("page_id"), url.alias("url"), host.alias("host"), pages[html_col].cast("string").alias("html"))
 
 
+def _beside(pages: DataFrame, known: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Pages with what is known of their keys.
+
+    It goes to every task while it is small; beyond that each row is copied to so many salts and the
+    pages of its keys are spread over them.
+    """
+    if size <= BROADCAST_TOKENS:
+        return pages.join(F.broadcast(known), keys, "left")
+    salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pages.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], "left")
+
+
+def distinct_contents(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages with the hash of their content and how many pages of the host share it; (host, of): distinct contents of a host."""
+    content = F.regexp_replace(F.coalesce("html", F.lit("")), _NO_CONTENT, " ")
+    keyed = pages.withColumn("content", F.xxhash64(F.trim(F.regexp_replace(content, r"\s+", " "))))
+    counts = settle(keyed.groupBy("host", "content").agg(F.count(F.lit(1)).alias("copies")))
+    copied = counts.where("copies > 1")
+    found = _beside(keyed, copied, ["host", "content"], copied.count())
+    return found.withColumn("copies", F.coalesce("copies", F.lit(1))), counts.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+
+
 def tokens_by_host(pages: DataFrame) -> DataFrame:
-    """(host, token, mate, vector, pages): each token's occurrence vector on a host, summed up.
+    """(host, token, mate, vector, pages): each token's occurrence vector on a host, summed up; ``pages`` from ``distinct_contents``.
 
-    ``mate`` is the closing token of an opening one, null for others.
+    Copies weigh as one page together. ``mate`` is the closing token of an opening one, null for others.
     """
 
     def make():
         def step(batch):
             found: dict[tuple[str, int], list] = {}
-            for n, (page_id, host, page) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "host", "html")), strict=True)):
-                weight = token_hash(f"{page_id}:{len(page or '')}") if page_id is not None else n
+            for content, copies, host, page in zip(*(batch.column(c).to_pylist() for c in ("content", "copies", "host", "html")), strict=True):
+                weight = content & 0xFFFFFFFFFFFF  # copies add it up alike for all their tokens
                 tags, pieces = read_page(page or "")
                 count: dict[int, int] = {}
                 mates: dict[int, int | None] = {}
@@ -252,9 +279,9 @@ def tokens_by_host(pages: DataFrame) -> DataFrame:
                         count[h] = count.get(h, 0) + 1
                         mates[h] = None
                 for h, n_here in count.items():
-                    held = found.setdefault((host, h), [mates[h], 0, 0])
+                    held = found.setdefault((host, h), [mates[h], 0, 0.0])
                     held[1] = (held[1] + weight * n_here) & 0xFFFFFFFFFFFF
-                    held[2] += 1
+                    held[2] += 1 / copies
             return {
                 "host": [k[0] for k in found], "token": [k[1] for k in found], "mate": [v[0] for v in found.values()],
                 "vector": [v[1] for v in found.values()], "pages": [v[2] for v in found.values()],
@@ -262,22 +289,22 @@ def tokens_by_host(pages: DataFrame) -> DataFrame:
 
         return step
 
-    rows = map_batches(pages.select("page_id", "host", "html"), "host string, token long, mate long, vector long, pages long", make)
+    rows = map_batches(pages.select("content", "copies", "host", "html"), "host string, token long, mate long, vector long, pages double", make)
     # 48 bits a row: sums stay exact for 2**15 rows, then wrap alike for equal vectors under the mask.
     return rows.groupBy("host", "token").agg(
-        F.max("mate").alias("mate"), F.sum(F.col("vector").cast("decimal(20,0)")).alias("vector"), F.sum("pages").alias("pages")
+        F.max("mate").alias("mate"), F.sum(F.col("vector").cast("decimal(20,0)")).alias("vector"), F.round(F.sum("pages"), 6).alias("pages")
     ).withColumn("vector", F.pmod("vector", F.lit(1 << 48).cast("decimal(20,0)")).cast("long"))
 
 
 def templates(pages: DataFrame, share: float = 0.5, least_pages: int = 3, least_class: int = 2) -> DataFrame:
     """(host, tokens): the template of each host that has one; ``pages`` as from ``_pages``.
 
-    A valid class stands on ``share`` of the host's pages and at least ``least_pages``, has
+    A valid class stands on ``share`` of the host's distinct contents and at least ``least_pages``, has
     ``least_class`` tokens, and its tags close where they open. As each token is on that share of the
     pages, a template is no longer than two average pages.
     """
+    pages, sizes = distinct_contents(pages)
     tokens = tokens_by_host(pages)
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     frequent = tokens.join(sizes, "host").where((F.col("pages") >= F.col("of") * share) & (F.col("pages") >= least_pages))
     classes = frequent.groupBy("host", "vector", "pages").agg(F.collect_set("token").alias("tokens"), F.collect_set("mate").alias("mates"))
     valid = classes.where(F.size("tokens") >= least_class).select("host", F.explode("tokens").alias("token"))
@@ -290,16 +317,9 @@ def templates(pages: DataFrame, share: float = 0.5, least_pages: int = 3, least_
 
 
 def _beside_templates(read: DataFrame, known: DataFrame) -> DataFrame:
-    """Pages with their host's template. Pages are not dealt by host, as one may have most of them.
-
-    Templates go to every task while they are small; beyond that each is copied to so many salts and
-    its host's pages are spread over them.
-    """
+    """Pages with their host's template. Pages are not dealt by host, as one may have most of them."""
     tokens = known.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n")).first()["n"]
-    if tokens <= BROADCAST_TOKENS:
-        return read.join(F.broadcast(known), "host", "left")
-    salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return read.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "_salt"], "left")
+    return _beside(read, known, ["host"], tokens)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.5) -> DataFrame:

@@ -489,6 +489,18 @@ def test_template_text_of_a_host_is_left_out(spark):
     assert got[100]["text"] == "Always here" and got[101]["text"] == "" and got[102]["text"] == "x" and got[102]["n_chars"] == 1
 
 
+@pytest.mark.parametrize("limit", [2_000_000, 0])
+def test_copies_of_a_page_are_no_template(spark, monkeypatch, limit):
+    monkeypatch.setattr(html_extract, "BROADCAST_TOKENS", limit)
+    pages = [(k, f"https://copies.example/a?from={k}", f"<body><nav>{k}</nav><div><p>The story</p><p>and its end</p></div></body>") for k in range(6)]
+    pages += [(10 + k, f"https://copies.example/{k}", f"<body><nav>{k}</nav><div><p>Other {k}</p></div></body>") for k in range(3)]
+    pages += [(20 + k, f"https://both.example/{k // 3}", f"<body><p>Always here</p><div><p>Only {k // 3}</p></div></body>") for k in range(12)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in collect(html_extract.extract_digest(df))}
+    assert all(got[k] == "The story and its end" for k in range(6)) and all(got[10 + k] == f"Other {k}" for k in range(3))
+    assert all(got[20 + k] == f"Only {k // 3}" for k in range(12))
+
+
 # --- empty tables and the pipeline --------------------------------------------------------------
 
 
