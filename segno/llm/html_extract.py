@@ -10,9 +10,10 @@ its opening tags has its closing tag in a class that is valid too. Valid classes
 host's template; what stands between template tokens are slots.
 
 Slots are extracted, except those in parts that a page's own markup or names mark as menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles or comments. Text that the template
-itself repeats on a host's pages is left out where it stands outside the article. Where a page has
-an article or main element, that is where its slots are taken from. A name counts whole or by its
+footers, sidebars, notices, adverts, forms, scripts, styles or comments. Where a page has an article or
+main element, that is where its slots are taken from. Text that the template itself repeats on a host's
+pages, in an element of the template, is left out there as elsewhere; only a line of an article that
+holds a slot too stays whole, so that no word is cut from a sentence. A name counts whole or by its
 parts (``has-sidebar``); what only a part marks is no bar to an article or main element within.
 
 Defined results
@@ -195,14 +196,34 @@ def _clean(piece: str) -> str:
     return " ".join(html.unescape(piece).split())
 
 
+def _of_template(piece: Piece, template: frozenset[int]) -> bool:
+    """Whether a piece is a text token of the template, nested in an element of it; other pieces are in slots."""
+    path = piece.element.path
+    return (not path or token_hash(path) in template) and token_hash(f"{path}|{_clean(piece.text)}") in template
+
+
+def _slots(pieces: list[Piece], template: frozenset[int]) -> list[Piece]:
+    """Pieces that are not the template's; a line of an article with other text keeps its words whole."""
+    lines: list[list[Piece]] = []
+    for p in pieces:
+        if p.breaks or not lines:
+            lines.append([])
+        lines[-1].append(p)
+    out = []
+    for line in lines:
+        slots = [p for p in line if not _of_template(p, template)]
+        out += line if line[0].element.article and any(p.text.strip() for p in slots) else slots
+    return out
+
+
 def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     """The slots of a page that hold main text, white space collapsed, in page order."""
     _, pieces = read_page(page)
     held = [p for p in pieces if not p.element.outside]
     if any(p.element.article and p.text.strip() for p in held):
         held = [p for p in held if p.element.article]
-    else:
-        held = [p for p in held if token_hash(f"{p.element.path}|{_clean(p.text)}") not in template]
+    if template:
+        held = _slots(held, template)
     keep = {id(p) for p in held}
     parts: list[str] = []
     gap = False
@@ -274,7 +295,7 @@ def tokens_by_host(pages: DataFrame) -> DataFrame:
                         opens = t[0] == ">" and t.rpartition(">")[2] not in VOID
                         mates[h] = token_hash("/" + t) if opens else None
                 for p in pieces:
-                    if (text := _clean(p.text)) and not p.element.article:
+                    if text := _clean(p.text):
                         h = token_hash(f"{p.element.path}|{text}")
                         count[h] = count.get(h, 0) + 1
                         mates[h] = None

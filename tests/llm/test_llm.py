@@ -489,6 +489,14 @@ def test_template_text_of_a_host_is_left_out(spark):
     assert got[100]["text"] == "Always here" and got[101]["text"] == "" and got[102]["text"] == "x" and got[102]["n_chars"] == 1
 
 
+def test_template_text_inside_articles_is_left_out(spark):
+    page = "<body><article><h1>Head {0}</h1><p>Only <b>{0}</b> and <i>more</i> of {0}</p><div><b>Written by our staff</b></div><ul><li>Tell others</ul></article></body>"
+    pages = [(k, f"https://host.example/{k}", page.format(k)) for k in range(6)] + [(10, "https://lone.example/", page.format(10))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in collect(html_extract.extract_digest(df))}
+    assert all(got[k] == f"Head {k} Only {k} and more of {k}" for k in range(6)) and got[10] == "Head 10 Only 10 and more of 10 Written by our staff Tell others"
+
+
 @pytest.mark.parametrize("limit", [2_000_000, 0])
 def test_copies_of_a_page_are_no_template(spark, monkeypatch, limit):
     monkeypatch.setattr(html_extract, "BROADCAST_TOKENS", limit)
