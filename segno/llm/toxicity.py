@@ -1,8 +1,9 @@
 """Toxicity scores of text restored by a noisy-channel decoder.
 
 Writers hide words by leetspeak (``1d10t``), separators or spacing (``i d i o t``, ``i-d-i-o-t``) and
-repetition (``idiooot``). A token that may be hidden so becomes a lattice: every character has the
-letters it may stand for, separators and repeats may also stand for nothing. Viterbi decoding under a
+repetition (``idiooot``). A token with such a sign beside a letter or with a repeated letter becomes a
+lattice: every character has the letters it may stand for, separators and repeats may also stand for
+nothing, and spaces of a run of single characters for nothing or a break between words. Viterbi decoding under a
 character trigram model of the whole corpus picks the likeliest letters, and the restored words are
 scored beside those of the text as it stands.
 
@@ -48,8 +49,9 @@ CACHE_TOKENS = 400_000
 
 _CLASSES = 28  # 0: between words, 1-26: a-z, 27: any other letter
 _WORDS = re.compile(r"[^\W\d_]+")
-_SUSPECT = re.compile(r"[^\W\d_][0134578@$!|+.\-_*~'9]+[^\W\d_]|[0134578@$!|+9][^\W\d_]{2}|(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?: (?:[^\W_]|[@$!|+])){3,}(?!\S)")
+_SIGN = "[" + re.escape("".join(LEET) + SEPARATORS) + "]"
+_SUSPECT = re.compile(rf"[^\W\d_]{_SIGN}|{_SIGN}[^\W\d_]|([^\W\d_])\1")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:\s+(?:[^\W_]|[@$!|+])){2,}(?!\S)")
 
 _BYTE_CLASS = np.zeros(256, dtype=np.int64)
 _BYTE_CLASS[97:123] = np.arange(1, 27)
@@ -87,42 +89,60 @@ def train_characters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return np.log(counts / counts.sum(axis=1, keepdims=True)).ravel().tolist()
 
 
+def _options(c: str) -> list[tuple[str, int, float]]:
+    """What a character may stand for: letters or signs with their class and cost; empty for nothing."""
+    options = [(c, 0.0)] if c.isalpha() else []
+    options += [(x, COST_LEET) for x in LEET.get(c, "")]
+    if c in SEPARATORS:
+        options.append(("", COST_SEPARATOR))
+    elif not options:
+        options += [("", 0.0), (" ", 0.0)] if c.isspace() else [(c, 0.0)]
+    return [(x, _class(x) if x else 0, cost) for x, cost in options]
+
+
+_ASCII_OPTIONS = {chr(k): _options(chr(k)) for k in range(128)}
+_REPEAT = ("", 0, COST_REPEAT)
+
+
 def decode(token: str, model: list[float]) -> str:
     """The likeliest letters behind a lower-case token: Viterbi over the last two characters."""
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     before = ""
     for c in token:
-        options = [(c, 0.0)] if c.isalpha() else []
-        options += [(x, COST_LEET) for x in LEET.get(c, "")]
-        if c in SEPARATORS:
-            options.append(("", COST_SEPARATOR))
-        elif not options:
-            options.append(("", 0.0) if c.isspace() else (c, 0.0))
+        options = _ASCII_OPTIONS.get(c) or _options(c)
         if c == before:
-            options.append(("", COST_REPEAT))
+            options = [*options, _REPEAT]
         reached: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, path) in states.items():
-            for letter, cost in options:
+            row = (a * _CLASSES + b) * _CLASSES
+            for letter, k, cost in options:
                 if letter:
-                    k = _class(letter)
-                    state, value = (b, k), score + cost + model[(a * _CLASSES + b) * _CLASSES + k]
+                    state, value = (b, k), score + cost + model[row + k]
                 else:
                     state, value = (a, b), score + cost
-                if state not in reached or value > reached[state][0]:
+                held = reached.get(state)
+                if held is None or value > held[0]:
                     reached[state] = (value, path + letter)
-        states, before = reached, c
+        states = reached
+        if not c.isspace():
+            before = c
     return max((score + model[(a * _CLASSES + b) * _CLASSES], path) for (a, b), (score, path) in states.items())[1]
 
 
-def restored(token: str, model: list[float]) -> list[str]:
-    """The words of a lower-case token, and those it may hide."""
+def restored(token: str, model: list[float], run: bool = False) -> list[str]:
+    """The words of a lower-case token, and those it may hide; a ``run`` is read as single characters parted by spaces."""
     own = _WORDS.findall(token)
-    return own + _WORDS.findall(decode(token, model)) if _SUSPECT.search(token) else own
+    if run:
+        return own + _WORDS.findall(decode(" ".join(token), model)) if own else own
+    # Separators at the ends part no letters; an exclamation mark there may be one or a letter.
+    core = token.strip(SEPARATORS)
+    forms = {x for x in (core, core.rstrip("!" + SEPARATORS)) if _SUSPECT.search(x)}
+    return own + [w for x in sorted(forms) for w in _WORDS.findall(decode(x, model))]
 
 
 def spaced(text: str) -> list[str]:
-    """Runs of four or more single characters, as tokens."""
-    return [m.replace(" ", "") for m in _SPACED.findall(text)]
+    """Runs of three or more single characters, as tokens."""
+    return ["".join(m.split()) for m in _SPACED.findall(text)]
 
 
 # --- the classifier -----------------------------------------------------------------------------
@@ -135,13 +155,15 @@ def features(word: str) -> list[int]:
 
 def _document_features(text: str, model: list[float], known: dict[str, list[int]]) -> np.ndarray:
     held: set[int] = set()
-    for token in set(text.split()).union(spaced(text)):
+    for token in set(text.split()):
         got = known.get(token)
         if got is None:
             got = [b for w in restored(token, model) for b in features(w)]
             if len(known) < CACHE_TOKENS:
                 known[token] = got
         held.update(got)
+    for token in set(spaced(text)):
+        held.update(b for w in restored(token, model, run=True) for b in features(w))
     return np.fromiter(held, dtype=np.int64, count=len(held))
 
 
@@ -209,7 +231,7 @@ def evidence(text: str, lexicon: Lexicon, known: dict[str, float]) -> list[float
                 known[tokens[k]] = value
     hidden = spaced(text)
     tokens += hidden
-    got += [_token_score(t, lexicon) for t in hidden]
+    got += [_token_score(t, lexicon, run=True) for t in hidden]
     bad = {t: v for t, v in zip(tokens, got, strict=True) if v >= BAD_WORD / 2}
     top = sorted(bad.values(), reverse=True)[:2] + [0.0, 0.0]
     n = sum(v >= BAD_WORD for v in got)
@@ -217,8 +239,8 @@ def evidence(text: str, lexicon: Lexicon, known: dict[str, float]) -> list[float
     return [logit(max(top[0], max(got, default=0.0))), logit(top[1]), float(np.log1p(n)), float(np.log((n + 0.5) / (len(tokens) + 20)))]
 
 
-def _token_score(token: str, lexicon: Lexicon) -> float:
-    return max((float(lexicon.scores[b]) for w in restored(token, lexicon.model) for b in features(w)), default=0.0)
+def _token_score(token: str, lexicon: Lexicon, run: bool = False) -> float:
+    return max((float(lexicon.scores[b]) for w in restored(token, lexicon.model, run) for b in features(w)), default=0.0)
 
 
 def score_text(text: str, lexicon: Lexicon, known: dict[str, float]) -> float:

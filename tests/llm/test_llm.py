@@ -451,6 +451,17 @@ def test_decoding_restores_hidden_words(spark):
     assert toxicity.spaced("you i d i o t and") == ["idiot"]
 
 
+def test_hidden_words_of_all_kinds_are_decoded(spark):
+    docs = frame(spark, [(k, "you idiot and the stupid shit hate fool ass of it are you an idiot or a fool you stupid ass ") for k in range(5)])
+    model = toxicity.train_characters(docs)
+    for token, word in {"a$$": "ass", "5h17": "shit", "sh!7": "shit", "sh!7!": "shit", "1d107": "idiot", "idi07": "idiot", "h473": "hate", "f001": "fool", "stuupiid": "stupid", "*1d107*": "idiot"}.items():
+        assert word in toxicity.restored(token, model), token
+    for text in ("y o u i d i o t", "y o u  i d i 0 t", "y o\nu i d i o o t"):
+        (token,) = toxicity.spaced("So " + text + " there")
+        assert {"you", "idiot"} <= set(toxicity.restored(token, model, run=True)), text
+    assert toxicity.spaced("an a s s here") == ["ass"] and toxicity.spaced("a b and") == [] and toxicity.restored("letter.", model)[0] == "letter"
+
+
 # --- 10 -----------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></ul></nav><!-- ad -->
