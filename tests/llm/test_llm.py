@@ -1,7 +1,9 @@
 """The operators for training data against brute force, on small fixtures with odd rows."""
 
+import functools
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -152,40 +154,47 @@ def test_components_of_a_long_chain(spark):
 # --- 3 ------------------------------------------------------------------------------------------
 
 
-def test_line_dedup_against_brute_force(spark):
-    rng = random.Random(5)
-    words = [f"word{k}" for k in range(300)] + ["the", "of"] * 40
-    lines = [" ".join(rng.choice(words) for _ in range(rng.randrange(60, 120))) for _ in range(25)]
-    near = [" ".join(w if rng.random() > 0.004 else "changed" for w in x.split()) for x in lines for _ in range(4)]
-    pool = lines + near + ["Hot line."] * 200 + ["", "***"] * 5
-    rng.shuffle(pool)
-    rows = [(k, "\n".join(pool[7 * k : 7 * k + 7])) for k in range(-(-len(pool) // 7))]
-    got = {r["doc_id"]: r for r in collect(line_dedup.dedup_lines(frame(spark, rows, True)))}
+def edit_distance(a, b):
+    row = np.arange(len(b) + 1)
+    bs = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    for i, c in enumerate(a, 1):
+        new = np.concatenate([[i], np.minimum(row[:-1] + (bs != ord(c)), row[1:] + 1)])
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+    return row[-1]
 
-    import re
 
-    held = [((i, k), re.sub(r"\s+", " ", x).lower().strip()) for i, t in rows for k, x in enumerate(t.split("\n"))]
-    held = [(p, x) for p, x in held if re.search(r"[^\W_]", x)]
-    first = {}
-    for p, x in held:
-        first[x] = min(p, first.get(x, p))
-
-    def fp(x):
-        hs = [xxhash.xxh64_intdigest(w.encode(), 42) for w in [w for w in x.split(" ") if len(w) >= 5] or x.split(" ")]
-        return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hs) * 2 > len(hs))
+def alike(a, b):
+    most = int(0.2 * max(len(a), len(b)) + 1e-9)
+    return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
 
-    def edit(a, b):
-        row = np.arange(len(b) + 1)
-        bs = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-        for i, c in enumerate(a, 1):
-            cand = np.minimum(row[:-1] + (bs != ord(c)), row[1:] + 1)
-            new = np.concatenate([[i], cand])
-            new = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
-            row = new
-        return row[-1]
 
-    xs = sorted(first, key=first.get)
-    prints = [fp(x) for x in xs]
+def brute_blocks(line):
+    """The blocks of a line, with plain loops."""
+    h = lambda *parts: functools.reduce(lambda seed, x: xxhash.xxh64_intdigest(x.encode(), seed), parts, 42)
+    prints = lambda hs: sum(1 << b for b in range(64) if sum(x >> b & 1 for x in hs) * 2 > len(hs))
+    words = line.split(" ")
+    n, out = len(words), set()
+    marked = [h(w) % 2 == 0 and len(w) >= 3 for w in words]
+    for (lowest, of), above in zip(line_dedup.LEVELS, [*(x[0] for x in line_dedup.LEVELS[1:]), None], strict=True):
+        if n < max(4, int(lowest * 0.9)) or above and n > int(above / 0.9):
+            continue
+        at = 0
+        while n - at >= 4 * of:
+            end = at + 4 * of
+            while end < min(n, at + 7 * of) and not marked[end - 1]:
+                end += 1
+            held = words[at:end]
+            sign = ["\n" if m else " " for m in marked[at:end]]
+            runs = [h(w) for w in held] if of == 1 else [h("".join(w + s for w, s in zip(held[k : k + of], sign[k : k + of], strict=True))) for k in range(0, len(held), of)]
+            out.add((of, prints(runs)))
+            at = end
+    forms = [words] if n <= 13 else []
+    if 2 <= n <= 12:
+        forms += [w for k in range(n) for w in [words[:k] + words[k + 1 :]] if 2 * len(" ".join(w)) >= len(line)]
+    return out | {(0, prints([h(*w[k : k + 2]) for k in range(0, len(w), 2)])) for w in forms}
+
+
+def joined(xs, linked):
     parent = list(range(len(xs)))
 
     def root(i):
@@ -195,30 +204,95 @@ def test_line_dedup_against_brute_force(spark):
 
     for a in range(len(xs)):
         for b in range(a):
-            if bin(prints[a] ^ prints[b]).count("1") <= 3 and edit(xs[a], xs[b]) <= int(0.2 * max(len(xs[a]), len(xs[b])) + 1e-9):
+            if linked(a, b):
                 parent[max(root(a), root(b))] = min(root(a), root(b))
-    kept = {first[xs[root(k)]] for k in range(len(xs))}
+    return [root(k) for k in range(len(xs))]
+
+
+@pytest.fixture(scope="module")
+def near_lines():
+    """Lines of 3 to 400 words and copies with up to a tenth of the words changed, one at least."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice(["ra", "mo", "ti", "ken", "sul", "ö", "x"]) for _ in range(rng.randrange(1, 5))) for _ in range(400)] + ["the", "of"] * 60
+    lines = [" ".join(rng.choice(words) for _ in range(n)) for n in [*range(3, 20), *range(20, 140, 6), 300, 400]]
+    near = []
+    for x in lines:
+        for _ in range(3):
+            held = x.split()
+            for k in sorted(rng.sample(range(len(held)), max(1, rng.randrange(len(held) // 10 + 1))), reverse=True):
+                held[k : k + 1] = rng.choice([[rng.choice(words)], [rng.choice(words)], [], [held[k], "of"]])
+            near.append(" ".join(held))
+    pool = lines + near + ["Hot line."] * 200 + ["", "***"] * 5
+    rng.shuffle(pool)
+    return [(k, "\n".join(pool[7 * k : 7 * k + 7])) for k in range(-(-len(pool) // 7))]
+
+
+def first_places(rows):
+    held = [((i, k), re.sub(r"\s+", " ", x).lower().strip()) for i, t in rows for k, x in enumerate(t.split("\n"))]
+    held = [(p, x) for p, x in held if re.search(r"[^\W_]", x)]
+    first = {}
+    for p, x in held:
+        first[x] = min(p, first.get(x, p))
+    return held, first
+
+
+@pytest.mark.parametrize("limit", [250_000, 0])
+def test_line_dedup_against_brute_force(spark, near_lines, monkeypatch, limit):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", limit)
+    rows = near_lines
+    got = {r["doc_id"]: r for r in collect(line_dedup.dedup_lines(frame(spark, rows, True)))}
+    held, first = first_places(rows)
+    xs = sorted(first, key=first.get)
+    prints = [brute_blocks(x) for x in xs]
+    roots = joined(xs, lambda a, b: not prints[a].isdisjoint(prints[b]) and alike(xs[a], xs[b]))
+    kept = {first[xs[k]] for k in roots}
     assert len(kept) < len(xs)  # some fuzzy groups exist
     assert {(i, k) for i, r in got.items() for k in r["kept_lines"]} == kept
     for i, t in rows:
         n = len(t.split("\n"))
-        worded = sum(p[0] == i for p, _ in held)
-        assert got[i]["n_lines"] == n and got[i]["n_dropped"] == worded - len(got[i]["kept_lines"])
+        n_worded = sum(p[0] == i for p, _ in held)
+        assert got[i]["n_lines"] == n and got[i]["n_dropped"] == n_worded - len(got[i]["kept_lines"])
 
 
-def test_line_dedup_odd_rows(spark):
-    got = {r["doc_id"]: r for r in collect(line_dedup.dedup_lines(frame(spark, [(1, None), (2, ""), (3, "a\na"), (4, "A ")])))}
-    assert (got[1]["n_lines"], got[2]["n_lines"], got[3]["kept_lines"], got[4]["kept_lines"]) == (0, 1, [0], [])
+def test_line_dedup_finds_lines_of_the_edit_similarity(spark, near_lines):
+    """Against edit similarity alone, over all pairs: no false link, and nine in ten of the lines to drop."""
+    got = collect(line_dedup.dedup_lines(frame(spark, near_lines)))
+    _, first = first_places(near_lines)
+    xs = sorted(first, key=first.get)
+    roots = joined(xs, lambda a, b: alike(xs[a], xs[b]))
+    kept = {(r["doc_id"], k) for r in got for k in r["kept_lines"]}
+    to_drop = {first[x] for k, x in enumerate(xs) if roots[k] != k}
+    dropped = set(first.values()) - kept
+    assert dropped <= to_drop and len(dropped) >= 0.9 * len(to_drop), (len(dropped), len(to_drop))
 
 
-def test_counters_hold_more_words_than_sixteen_bits(spark):
+def test_line_dedup_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, "a\na"), (4, "A "), (5, "one\ntwo\nthree"), (5, "four"), (None, "five\nsix"), (None, "seven"), (None, "one"), (6, "same\nsame two"), (6, "same\nsame two")]
+    got = sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"], r["kept_lines"]) for r in collect(line_dedup.dedup_lines(frame(spark, rows))))
+    assert got == sorted(
+        [("1", 0, 0, []), ("2", 1, 0, []), ("3", 2, 1, [0]), ("4", 1, 1, []), ("5", 3, 0, [0, 1, 2]), ("5", 1, 0, [0]), ("None", 2, 0, [0, 1]), ("None", 1, 0, [0]), ("None", 1, 1, []), ("6", 2, 0, [0, 1]), ("6", 2, 0, [0, 1])]
+    )
+
+
+def test_line_dedup_of_giant_lines(spark):
+    rng = random.Random(8)
+    words = [f"{rng.choice('abcdefgh')}{k}" for k in range(3000)]
+    giant = [rng.choice(words) for _ in range(200_000)]
+    changed = list(giant)
+    for k in range(0, len(changed), 50_000):
+        changed[k] = "changed"
+    rows = [(1, " ".join(giant)), (2, " ".join(changed)), (3, "x" * 1_000_000), (4, "- " * 100_000 + "end")]
+    got = {r["doc_id"]: r["kept_lines"] for r in collect(line_dedup.dedup_lines(frame(spark, rows)))}
+    assert got == {1: [0], 2: [], 3: [0], 4: [0]}
+
+
+def test_simhash_of_few_features_is_a_majority(spark):
     from pyspark.sql import functions as F
 
-    words = spark.range(70_000).select(F.floor(F.col("id") / line_dedup.RUN).alias("run"), (F.col("id") % 2).alias("w"))
-    runs = words.groupBy("run").agg(*line_dedup.run_counters(F.xxhash64("w")), F.count(F.lit(1)).alias("n"))
-    df = runs.groupBy().agg(*line_dedup.counters(), F.sum("n").alias("n"))
-    hashes = [r[0] & (1 << 64) - 1 for r in spark.range(2).select(F.xxhash64("id")).orderBy("id").collect()]
-    assert df.select(line_dedup.majority(F.col("n"))).first()[0] & (1 << 64) - 1 == hashes[0] & hashes[1]
+    rng = random.Random(6)
+    rows = [([rng.getrandbits(64) - (1 << 63) for _ in range(n)],) for n in (0, 1, 2, 3, 4, 5, 6, 7, 7, 7)]
+    for r in spark.createDataFrame(rows, "h array<long>").select("h", line_dedup.simhash(F.col("h")).alias("print")).collect():
+        assert r["print"] & (1 << 64) - 1 == sum(1 << b for b in range(64) if sum(x >> b & 1 for x in r["h"]) * 2 > len(r["h"]))
 
 
 # --- 5 ------------------------------------------------------------------------------------------
