@@ -5,7 +5,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -164,6 +164,9 @@ def edit_distance(a, b):
 
 
 def alike(a, b):
+    if max(len(a), len(b)) > line_dedup.LONG:  # by words
+        letter = {w: chr(0x4E00 + k) for k, w in enumerate(dict.fromkeys(a.split(" ") + b.split(" ")))}
+        a, b = ("".join(letter[w] for w in x.split(" ")) for x in (a, b))
     most = int(0.2 * max(len(a), len(b)) + 1e-9)
     return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
 
@@ -236,14 +239,17 @@ def first_places(rows):
     return held, first
 
 
-@pytest.mark.parametrize("limit", [250_000, 0])
-def test_line_dedup_against_brute_force(spark, near_lines, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "common"), [(1_000_000, 64), (0, 2)])
+def test_line_dedup_against_brute_force(spark, near_lines, monkeypatch, limit, common):
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", limit)
+    monkeypatch.setattr(line_dedup, "COMMON", common)
     rows = near_lines
     got = {r["doc_id"]: r for r in collect(line_dedup.dedup_lines(frame(spark, rows, True)))}
     held, first = first_places(rows)
     xs = sorted(first, key=first.get)
     prints = [brute_blocks(x) for x in xs]
+    lines_of = Counter(x for held in prints for x in held)
+    prints = [{x for x in held if lines_of[x] <= common or 2 * sum(lines_of[y] > common for y in held) >= len(held)} for held in prints]
     roots = joined(xs, lambda a, b: not prints[a].isdisjoint(prints[b]) and alike(xs[a], xs[b]))
     kept = {first[xs[k]] for k in roots}
     assert len(kept) < len(xs)  # some fuzzy groups exist
