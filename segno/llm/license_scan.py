@@ -9,7 +9,7 @@ A template is licence wording with markup for what may differ::
 Optional regions may be left out; a replaceable region takes any run of so many words, or one of its
 alternatives. A template is compiled to an automaton over tokens, which accepts exactly the token
 sequences with the mandatory wording; it is run from every place where its first words can stand, in
-texts that hold its longest mandatory wording at all.
+texts that hold its longest mandatory wording at all (in all texts, if it has none at its top level).
 
 Words are ASCII digits and letters (A-Z lower-cased) and any characters beyond ASCII, in texts and
 templates alike, so punctuation and layout play no part.
@@ -17,7 +17,8 @@ templates alike, so punctuation and layout play no part.
 Defined results
 ---------------
 * All places count, overlapping ones too; from one place the longest acceptance counts.
-* A null or empty text has no words and no matches. Repeated rows each get their result.
+* A null or empty text has no words and no matches. Repeated rows each get their result. Long texts take
+  time in proportion to their length.
 * An empty table gives no rows.
 """
 
@@ -35,26 +36,76 @@ from .decontaminate import words
 #: Phrases and the labels they stand for, whatever is around them.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Licence notices in template markup.
+_SELF = "<<beginOptional>>this <<var;match=\"work|program|software|library|file|document\">> is <<endOptional>>"
+_NOTICE = "it under the terms of the gnu {} general public license as published by the free software foundation <<beginOptional>>either <<endOptional>>version {}"
+_WARRANTY = (
+    "this software is provided by the <<var;match=\"copyright holders and contributors|copyright holder and contributors|regents and contributors|author|authors\">> as is and any express or implied"
+    " warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+)
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+    " <<beginOptional>>1 <<endOptional>>redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+    " <<beginOptional>>2 <<endOptional>>redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"
+    " in the documentation and or other materials provided with the distribution "
+)
+
+
+def _public(name: str, version: str) -> list[str]:
+    """Notices of a public licence of that family: the short one, and the published one after "redistribute and or modify"."""
+    spaced = f"{name} " if name else ""
+    return [
+        f"{_SELF}<<var;match=\"licensed|released|distributed\">> under the <<beginOptional>>terms of the <<endOptional>>gnu {spaced}general public license"
+        f" <<beginOptional>>as published by the free software foundation <<endOptional>><<beginOptional>>either <<endOptional>>version {version}",
+        _NOTICE.format(name, version),
+    ]
+
+
+def _commons(name: str, short: str) -> list[str]:
+    """Notices of a Creative Commons licence, by its long name, its short one or both."""
+    terms = "licensed under <<var;match=\"a|the|\">> "
+    long = f"creative commons attribution {name}".strip()
+    return [
+        f"{terms}<<beginOptional>>{long} <<endOptional>>cc {short} 4 0",
+        f"{terms}{long} 4 0 <<beginOptional>>international <<endOptional>><<var;match=\"license|licence\">>",
+    ]
+
+
+#: Licence notices and texts in template markup (published wording).
 TEMPLATES = {
     "mit": [
         "<<var;match=\"released|licensed|distributed\">> under the <<beginOptional>>terms of the <<endOptional>>mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
         " <<beginOptional>>the software <<endOptional>>to deal in the software without restriction",
     ],
-    "apache-2.0": ["licensed under the apache license <<beginOptional>>version <<endOptional>>2 0 <<beginOptional>>the license<<endOptional>>"],
-    "gpl-2.0": [
-        "<<beginOptional>>this <<var;match=\"work|program|software|library|file\">> is <<endOptional>>licensed under the <<beginOptional>>terms of the <<endOptional>>gnu general public license <<beginOptional>>as published by the free software foundation <<endOptional>><<beginOptional>>either <<endOptional>>version 2",
+    "mit-text": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<beginOptional>>the software <<endOptional>>"
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"
+        " and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice"
+        " <<beginOptional>>including the next paragraph <<endOptional>>shall be included in all copies or substantial portions of the software the software is provided as is"
+        " without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+        " in no event shall the <<var;words=\"1,6\">> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of"
+        " or in connection with the software or the use or other dealings in the software",
     ],
-    "gpl-3.0": [
-        "<<beginOptional>>this <<var;match=\"work|program|software|library|file\">> is <<endOptional>>licensed under the <<beginOptional>>terms of the <<endOptional>>gnu general public license <<beginOptional>>as published by the free software foundation <<endOptional>><<beginOptional>>either <<endOptional>>version 3",
+    "apache-2.0": ["<<var;match=\"licensed|released|distributed\">> under the <<beginOptional>>terms of the <<endOptional>>apache license <<beginOptional>>version <<endOptional>>2 0 <<beginOptional>>the license<<endOptional>>"],
+    "gpl-2.0": _public("", "2"),
+    "gpl-3.0": _public("", "3"),
+    "lgpl-2.1": _public("lesser", "2 1"),
+    "lgpl-3.0": _public("lesser", "3"),
+    "agpl-3.0": _public("affero", "3"),
+    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0 <<beginOptional>>if a copy of the mpl was not distributed with this file you can obtain one at<<endOptional>>"],
+    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "bsd-2-clause": [_BSD + _WARRANTY],
+    "bsd-3-clause": [
+        _BSD + "<<beginOptional>>3 <<endOptional>>neither the name of <<var;words=\"1,16\">> may be used to endorse or promote products derived from this software without specific prior written permission " + _WARRANTY
     ],
-    "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
     ],
-    "cc-by-4.0": ["licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>creative commons attribution <<endOptional>>cc by 4 0"],
-    "cc-by-nc-4.0": ["licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>creative commons attribution noncommercial <<endOptional>>cc by nc 4 0"],
-    "cc-by-sa-4.0": ["licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>creative commons attribution sharealike <<endOptional>>cc by sa 4 0"],
+    "cc0-1.0": ["<<var;match=\"cc0 1 0 universal|creative commons zero v1 0 universal|cc0 1 0 public domain dedication\">>"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "cc-by-4.0": _commons("", "by"),
+    "cc-by-nc-4.0": _commons("noncommercial", "by nc"),
+    "cc-by-sa-4.0": _commons("sharealike", "by sa"),
     "copyright-notice": ["copyright <<var;words=\"1,8\">> all rights reserved"],
 }
 
@@ -174,7 +225,8 @@ def compile_template(template: str) -> Automaton:
             runs[-1].append(part)
         else:
             runs.append([])
-    auto.wording = b" " + b" ".join(max(runs, key=lambda r: sum(map(len, r)))) + b" "
+    longest = max(runs, key=lambda r: sum(map(len, r)))
+    auto.wording = b" " + b" ".join(longest) + b" " if longest else b""
     return auto.prepare()
 
 
@@ -203,13 +255,14 @@ def scan_text(text: str, base: dict[bytes, str], automata: list[tuple[str, Autom
     line = b" " + b" ".join(held) + b" "
     found = []
     for phrase, label in base.items():
-        at = line.find(phrase)
+        at, counted, start = line.find(phrase), 0, 0
         while at >= 0:
-            start = line.count(b" ", 0, at)
+            start += line.count(b" ", counted, at)  # goes on from the last place, so a text is counted once
+            counted = at
             found.append({"label": label, "base": True, "start": start, "end": start + phrase.count(b" ") - 1})
             at = line.find(phrase, at + 1)
     for label, auto in automata:
-        if auto.wording in line:
+        if not auto.wording or auto.wording in line:
             for k, word in enumerate(held):
                 if (auto.any_first or word in auto.starters) and (end := auto.longest(held, k)) >= 0:
                     found.append({"label": label, "base": False, "start": k, "end": end})
