@@ -105,14 +105,17 @@ _REPEAT = ("", 0, COST_REPEAT)
 
 
 def decode(token: str, model: list[float]) -> str:
-    """The likeliest letters behind a lower-case token: Viterbi over the last two characters."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest letters behind a lower-case token: Viterbi over the last two characters.
+
+    Paths are chains of (path before, letter), so a character costs the same at the end of a long token.
+    """
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
     for c in token:
         options = _ASCII_OPTIONS.get(c) or _options(c)
         if c == before:
             options = [*options, _REPEAT]
-        reached: dict[tuple[int, int], tuple[float, str]] = {}
+        reached: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, path) in states.items():
             row = (a * _CLASSES + b) * _CLASSES
             for letter, k, cost in options:
@@ -122,11 +125,16 @@ def decode(token: str, model: list[float]) -> str:
                     state, value = (a, b), score + cost
                 held = reached.get(state)
                 if held is None or value > held[0]:
-                    reached[state] = (value, path + letter)
+                    reached[state] = (value, (path, letter) if letter else path)
         states = reached
         if not c.isspace():
             before = c
-    return max((score + model[(a * _CLASSES + b) * _CLASSES], path) for (a, b), (score, path) in states.items())[1]
+    path = max(((score + model[(a * _CLASSES + b) * _CLASSES], path) for (a, b), (score, path) in states.items()), key=lambda x: x[0])[1]
+    letters = []
+    while path:
+        path, letter = path
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 def restored(token: str, model: list[float], run: bool = False) -> list[str]:
