@@ -53,6 +53,22 @@ def id_crc32(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")))
 
 
+#: Rows of a few numbers that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def without(docs: DataFrame, bad: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of ``docs`` whose keys are not among the rows of ``bad``; nulls equal nulls.
+
+    ``keys`` maps a column of ``bad`` to a column of ``docs``. The rows to drop go to the texts while they
+    are few; more of them are met by a shuffle.
+    """
+    bad = settle(bad.select(*[F.col(k).alias(f"_bad_{k}") for k in keys]).distinct())
+    near = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
+    met = [own.eqNullSafe(bad[f"_bad_{k}"]) for k, own in keys.items()]
+    return docs.join(near, met, "left_anti")
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict | None]]) -> DataFrame:
     """Apply a function of Arrow batches to ``df``; ``make`` runs once in each task.
 

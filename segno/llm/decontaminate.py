@@ -17,6 +17,7 @@ Defined results
   window; an item of none has no window and occurs nowhere.
 * A document word inside any occurrence of any window is hit. A null text has no words.
 * Items whose identifier repeats count once; a null item identifier is left out.
+* Every row has a result of its own, those that repeat an identifier or have none too.
 * A document is contaminated if it has a hit and at least ``share`` of its words are hit.
 * Empty tables: no documents give no rows; no items give rows without hits.
 """
@@ -29,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_batches, settle, texts
+from .common import id_text, map_batches, settle, texts, without
 
 #: The bytes that make words: digits, lower-case letters, everything beyond ASCII; A-Z are lowered.
 _WORD = bytes(
@@ -202,14 +203,14 @@ def _search_segment(row: dict, q: Queries, slop: int, out: dict[str, list]) -> N
 
 
 def _query_parts(benchmark: DataFrame, item_col: str, text_col: str):
-    """The items in parts of bounded size, each of which may be broadcast. One part unless large."""
+    """For each part of the items, of bounded size, a function that reads it. One part unless large."""
     items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[text_col].cast("string").alias("text"))
     items = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-size // QUERY_BYTES))
     for k in range(parts):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else items
-        yield [(r["item_id"], r["text"]) for r in own.toLocalIterator()]
+        yield lambda own=own: [(r["item_id"], r["text"]) for r in own.toLocalIterator()]
 
 
 def contamination(
@@ -218,25 +219,30 @@ def contamination(
 ) -> DataFrame:
     """A row per document: doc_id, n_words, hit_words, items, near_items, n_hit, contaminated.
 
-    A benchmark beyond QUERY_BYTES is searched in parts, whose hits are put together by identifier.
+    A benchmark beyond QUERY_BYTES is searched in parts. Rows are numbered once before that, and the hits of
+    a row are put together by its number, so rows that share an identifier, or have none, stay apart.
     """
-    found = []
-    for part in _query_parts(benchmark, item_col, item_text):
-        queries = Queries(part, width)
-        index = settle(build_index(docs, queries, id_col, text_col, slop))
-        found.append(search(index, queries, slop))
-    whole = found[0]
-    if len(found) > 1:
-        together = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-        rows = reduce(DataFrame.unionByName, found)
-        whole = rows.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *[together(c) for c in ("hit_words", "items", "near_items")])
+    parts = list(_query_parts(benchmark, item_col, item_text))
+    if len(parts) == 1:
+        queries = Queries(parts[0](), width)
+        whole = search(settle(build_index(docs, queries, id_col, text_col, slop)), queries, slop)
+    else:
+        rows = settle(id_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+        found = []
+        for part in parts:
+            queries = Queries(part(), width)
+            found.append(search(settle(build_index(rows, queries, "row", "text", slop)), queries, slop))
+        together = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)  # noqa: E731  a row for each part
+        whole = reduce(DataFrame.unionByName, found).withColumnRenamed("doc_id", "row")
+        whole = whole.groupBy("row").agg(F.max("n_words").alias("n_words"), *[together(c) for c in ("hit_words", "items", "near_items")])
+        whole = rows.select("row", "doc_id").join(whole, "row").drop("row")
     whole = whole.withColumn("n_hit", F.size("hit_words").cast("long"))
     return whole.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.col("n_words") * F.lit(share)))
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's columns: 20 * n_hit >= n_words is a share of 0.05, held in whole numbers."""
-    found = contamination(docs, benchmark, slop=2)
+    found = contamination(docs, benchmark)
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select(
         "doc_id", "n_words", "n_hit",
@@ -247,10 +253,15 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
-    """The rows of documents that are not contaminated, with all their columns."""
-    found = contamination(docs, benchmark, width)
-    bad = found.where((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["_bad"], "left_anti")
+    """The rows of documents that are not contaminated, with all their columns.
+
+    A text alone decides, told by its hash: rows that share an identifier, or have none, are judged apart.
+    """
+    text = docs["text"].cast("string")
+    hashed = docs.select(F.xxhash64(text).alias("_hash"), text.alias("_text"))
+    found = contamination(hashed, benchmark, width, id_col="_hash", text_col="_text")
+    bad = found.where((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).select(F.col("doc_id").alias("hash"))
+    return without(docs, bad, {"hash": F.xxhash64(text)})
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
