@@ -25,11 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, map_batches, settle, texts
+from .common import id_text, map_batches, settle, texts, without
 from .components import components
 
 #: Shingles that are turned into bits at once; bounds memory for very long texts.
 BLOCK = 1 << 17
+#: Rows of one fingerprint beyond which they are spread, and fingerprints that can be so common at most.
+HOT_ROWS, MOST_HOT = 1000, 10_000
 
 
 def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
@@ -51,16 +53,16 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
+    """(doc_id, fp, hash): the fingerprint as a signed 64-bit number, and a hash of the text as it stands."""
 
     def make():
         def step(batch):
             found = np.array([fingerprint(t, width) for t in texts(batch)], dtype=np.uint64)
-            return {"doc_id": batch.column("doc_id"), "fp": found.view(np.int64)}
+            return {"doc_id": batch.column("doc_id"), "fp": found.view(np.int64), "hash": batch.column("hash")}
 
         return step
 
-    return map_batches(id_text(docs, id_col, text_col), "doc_id long, fp long", make)
+    return map_batches(id_text(docs, id_col, text_col).withColumn("hash", F.xxhash64("text")), "doc_id long, fp long, hash long", make)
 
 
 def ball(fp: str, half: int) -> list:
@@ -90,15 +92,21 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) for each row."""
+    """(doc_id, fp, hash, component_id) for each row."""
     prints = settle(fingerprints(docs, id_col, text_col, width))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     groups = components(links(nodes.select("fp"), radius))
     named = nodes.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left")
     named = named.withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "component").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = named.join(least, "component").select("fp", "component_id", "n")
+    # The rows of a hot fingerprint are spread over salts, of about so many rows each.
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    salts = F.ceil(F.col("n") / F.lit(max(HOT_ROWS, -(-total // MOST_HOT)))).cast("int")
+    hot = nodes.where(salts > 1).select("fp", salts.alias("salts"))  # at most MOST_HOT rows
+    salted = prints.join(F.broadcast(hot), "fp", "left").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("salts", F.lit(1))).cast("int"))
+    by_fp = by_fp.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    return salted.join(by_fp, ["fp", "salt"]).select("doc_id", "fp", "hash", "component_id")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
@@ -107,7 +115,10 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of the document that names its group, with all their columns."""
+    """The rows of the document that names its group, with all their columns.
+
+    Rows that repeat an identifier are judged by their own texts; those that repeat both stay or go together.
+    """
     found = simhash_groups(docs, id_col, text_col, width, radius)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    bad = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "hash")
+    return without(docs, bad, {"doc_id": docs[id_col].cast("long"), "hash": F.xxhash64(docs[text_col].cast("string"))})
