@@ -6,7 +6,7 @@ prefix sums give every partition its start, and the running sum inside a partiti
 Cutting the total at equal targets gives contiguous shards of nearly equal bytes.
 
 The unit that is placed is a group of equal texts, which so never spreads over two shards, unless it
-weighs more than ``tolerance`` of a shard: such a group is split by identifier into parts of about
+weighs more than ``tolerance`` of a shard, or has that share of its rows: such a group is split by identifier into parts of about
 that weight, which are units of their own. No shard is off its target by more than about two units.
 
 Defined results
@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import id_text, settle
 
+#: Rows that a unit may have whatever its share of all rows.
+HOT_ROWS = 1000
+
 
 def prefix_sums(units: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFrame:
     """Exclusive global prefix sums of columns in the order of ``keys``.
@@ -51,14 +54,16 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
         F.xxhash64(text).alias("_text"),
     )
     rows = settle(rows)  # about 40 bytes a document; the texts are read once
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    unit = max(1, int(total / shards * tolerance))
+    total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    unit, most = max(1, int(total / shards * tolerance)), max(HOT_ROWS, int(n_rows / shards * tolerance))
 
-    # Groups that outweigh a unit: fewer than shards / tolerance, whatever the number of rows.
-    heavy = rows.groupBy("_text").agg(F.sum("size").alias("_bytes")).where(F.col("_bytes") > unit)
-    heavy = heavy.select("_text", F.ceil(F.col("_bytes") / F.lit(unit)).cast("long").alias("_parts"))
+    # Groups that outweigh a unit, or have as many rows (of empty texts): a few for each shard and unit, whatever the number of rows.
+    heavy = rows.groupBy("_text").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_n")).where((F.col("_bytes") > unit) | (F.col("_n") > most))
+    heavy = heavy.select("_text", F.ceil(F.greatest(F.col("_bytes") / F.lit(unit), F.col("_n") / F.lit(most))).cast("long").alias("_parts"))
     rows = rows.join(F.broadcast(heavy), "_text", "left")
-    rows = rows.withColumn("_split", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("_parts")))).drop("_parts")
+    # Rows without an identifier are dealt out as they come.
+    deal = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id"))
+    rows = settle(rows.withColumn("_split", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(deal, F.col("_parts")))).drop("_parts"))
 
     units = rows.groupBy("_text", "_split").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
     units = prefix_sums(units, ["_text", "_split"], {"_bytes": "_byte0", "_rows": "_row0"})
