@@ -1,7 +1,8 @@
 """Exact deduplication by content sort.
 
 Sampled splitters deal the rows out by range over a short key of the normalised text (its first
-bytes, then a 64-bit hash of all of it); within each range an external sort places equal texts side
+characters, then a 64-bit hash of all of it, so that texts with a common beginning do not meet in one
+range and splitters stay small); within each range an external sort places equal texts side
 by side, and each row is compared in full with its neighbour. Texts whose hash is very common are
 not sorted: their copies are combined before the shuffle, by full text, so that no task receives a
 whole large group.
@@ -54,7 +55,7 @@ def _ranked(docs: DataFrame, id_col: str, text_col: str, keep: str, normalise, c
     common = common.withColumn("_nth", F.row_number().over(by_row))
 
     # All other texts: range partitioning, external sort, comparison with the neighbour.
-    rare = keyed.join(hot, "_hash", "left_anti").withColumn("_head", F.substring("_text", 1, 16))
+    rare = keyed.join(hot, "_hash", "left_anti").withColumn("_head", F.substring("_text", 1, 64))
     rare = rare.repartitionByRange("_head", "_hash")
     beside = Window.partitionBy("_head", "_hash").orderBy("_text", order)
     rare = rare.withColumn("_before", F.lag("_text").over(beside))
