@@ -4,6 +4,7 @@ import functools
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -441,9 +442,83 @@ def test_proximity(spark):
     assert got[1] == ([1], [1]) and got[2] == ([], [1]) and got[3] == ([], []) and got[4] == ([], [])
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 60])
+def test_decontamination_of_repeated_and_missing_identifiers(spark, monkeypatch, limit):
+    items = [(k, f"alpha beta gamma {k} delta epsilon") for k in range(9)]
+    rows = [(1, "alpha beta gamma 3 delta epsilon"), (1, "clean words"), (None, "alpha beta gamma 4 delta epsilon"), (None, "clean too"), (None, None), (2, "alpha beta gamma 3 delta epsilon")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "QUERY_BYTES", limit)
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in collect(decontaminate.contamination_digest(frame(spark, rows), benchmark)))
+    assert got == [("1", 2, 0, 0, False), ("1", 6, 6, 1, True), ("2", 6, 6, 1, True), ("None", 0, 0, 0, False), ("None", 2, 0, 0, False), ("None", 6, 6, 1, True)]
+    kept = collect(decontaminate.drop_contaminated(frame(spark, rows), benchmark))
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept) == [("1", "clean words"), ("None", "None"), ("None", "clean too")]
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_near_copies_are_judged_by_row(spark, monkeypatch, few):
+    monkeypatch.setattr("segno.llm.common.BROADCAST_ROWS", few)
+    rows = [(5, "one two three four five six"), (5, "other words are here now"), (3, "other  words are here now"), (None, "one two three four five  six"), (None, "lone text without any like it")]
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in collect(simhash.drop_near_copies(frame(spark, rows, True))))
+    assert kept == [("3", "other  words are here now"), ("5", "one two three four five six"), ("None", "lone text without any like it")]
+
+
+def test_hot_fingerprints_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_ROWS", 10)
+    monkeypatch.setattr(simhash, "MOST_HOT", 5)
+    rows = [(k, None) for k in range(300)] + [(400 + k, f"text number {k} of some") for k in range(5)] + [(None, "")] * 50
+    got = collect(simhash.simhash_digest(frame(spark, rows)))
+    assert len(got) == 355 and all(r["component_id"] == 0 for r in got if r["fingerprint"] == "0" * 16)
+
+
+def test_shards_of_many_empty_rows(spark):
+    from pyspark.sql import functions as F
+
+    empty = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    some = spark.range(200).select((F.col("id") + 900_000).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string"), F.lit("y" * 500)).alias("text"))
+    got = sharding.shard_by_bytes(empty.unionByName(some)).groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots")).collect()
+    mean = sum(r["bytes"] for r in got) / 16
+    assert len(got) == 16 and all(abs(r["bytes"] - mean) < 0.06 * mean and r["n"] == r["slots"] == r["last"] + 1 for r in got)
+
+
 # --- 1 ------------------------------------------------------------------------------------------
 
 
+def scan(text, templates=None):
+    automata = [(label, license_scan.compile_template(t)) for label, several in (templates or license_scan.TEMPLATES).items() for t in several]
+    base = {b" " + b" ".join(license_scan.words(p)) + b" ": label for p, label in license_scan.BASE.items()}
+    return license_scan.scan_text(text, base, automata)
+
+
+@pytest.mark.parametrize("template", ['<<var;match="foo bar|baz">>', '<<beginOptional>>the <<endOptional>><<var;match="foo bar|baz">>'])
+def test_templates_without_wording_at_the_top_match(template):
+    assert [(m["start"], m["end"]) for m in scan("the baz or foo bar", {"x": [template]})[1]][-1] == (3, 5) and not scan("foo the bar", {"x": [template]})[1]
+
+
+@pytest.mark.parametrize(
+    ("label", "text", "off"),
+    [
+        ("gpl-3.0", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License", "Software"),
+        ("lgpl-2.1", "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1", "Lesser"),
+        ("agpl-3.0", "licensed under the GNU Affero General Public License version 3", "Affero"),
+        ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Attribution"),
+        ("cc-by-sa-4.0", "licensed under CC BY-SA 4.0", "SA"),
+        ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla"),
+        ("bsd-2-clause", license_scan._BSD.replace("<<beginOptional>>", "").replace("<<endOptional>>", "") + "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED", "DISCLAIMED"),
+        ("cc0-1.0", "under CC0 1.0 Universal", "Universal"),
+    ],
+)
+def test_published_notices_match_and_near_misses_do_not(label, text, off):
+    assert label in {m["label"] for m in scan("Some words. " + text + " And more.")[1]}
+    assert label not in {m["label"] for m in scan(text.replace(off, "else"))[1]}
+
+
+def test_long_texts_take_time_in_proportion():
+    began = time.perf_counter()
+    assert len(scan("all rights reserved " * 250_000)[1]) == 250_000
+    assert toxicity.decode("1d10t" * 100_000, [-3.0] * 28**3)
+    assert time.perf_counter() - began < 30
+
+
 def test_licenses(spark):
     rows = [
         (1, "Released under the terms of the MIT License."), (2, "x CC-BY, cc by cc by. All Rights Reserved"), (3, None), (4, "This work is licensed under the GNU General Public License, version 3."),
