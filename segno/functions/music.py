@@ -189,3 +189,20 @@ def with_pitch_classes(chords: DataFrame) -> DataFrame:
         F.when(F.col("root_pc").isNull(), none).otherwise(above(pcs)).alias("pcs"),
         F.when(F.col("root_pc").isNull(), none).otherwise(above(scale)).alias("scale_pcs"),
     )
+
+
+def places(x: Column, n: int) -> Column:
+    """A double as text with ``n`` places, rounded from its exact binary value, ties to even.
+
+    Twice the scaled value tells a tie by being odd; what the product lost in rounding tells on which side
+    of the tie the number is. From 1e9 on, places are those of the shortest decimal of the double.
+    """
+    twice = float(2 * 10**n)
+    product = x * twice
+    high = x * 134217729.0 - (x * 134217729.0 - x)  # the upper half of the digits: both products are exact
+    lost = (high * twice - product) + (x - high) * twice
+    tie = (product == F.floor(product)) & (F.pmod(product, F.lit(2.0)) == 1.0)
+    near = F.when(tie & (lost > 0), (product + 1) / 2).when(tie & (lost < 0), (product - 1) / 2).when(tie, F.rint(product / 2)).otherwise(F.floor(product / 2 + 0.5).cast("double"))
+    text = F.format_string(f"%.{n}f", near / float(10**n))
+    signed = F.when((x < 0) & (near == 0), F.concat(F.lit("-"), F.format_string(f"%.{n}f", F.lit(0.0)))).otherwise(text)
+    return F.when(F.abs(x) < 1e9, signed).otherwise(F.format_string(f"%.{n}f", x))

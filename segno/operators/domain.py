@@ -50,20 +50,39 @@ def trimmed(measures: DataFrame, bars: int) -> DataFrame:
 # --- note lists ---------------------------------------------------------------------------------
 
 
-def slice_windows(notes: DataFrame, pieces: DataFrame, by: list[str], bars: int) -> DataFrame:
-    """Notes cut into windows of so many bars, counted from 0 and moved to its start.
+def _placed(notes: DataFrame, window: DataFrame, by: list[str], early: float) -> DataFrame:
+    """Notes in the window they start in, moved to its start; they end with it."""
+    placed = notes.join(window, by).withColumn("window", F.floor((F.col("start_s") + early) / F.col("win_s")).cast("int"))
+    start = F.col("window") * F.col("win_s")
+    return placed.withColumn("end_s", F.least(F.col("end_s"), start + F.col("win_s")) - start).withColumn("start_s", F.col("start_s") - start)
+
+
+def _bar_lengths(notes: DataFrame, pieces: DataFrame, by: list[str]) -> DataFrame:
+    bar = pieces.select(*by, music.bar_seconds(F.col("tempo_bpm"), F.col("ts_num"), F.col("ts_den")).alias("bar_s"))
+    return bar.join(notes.groupBy(*by).agg(F.max("end_s").alias("_end")), by)
+
+
+def slice_bars(notes: DataFrame, pieces: DataFrame, by: list[str], bars: int) -> DataFrame:
+    """Notes cut into windows of so many bars of equal length, counted from 0 and moved to its start.
 
-    Whole windows only; a note belongs to the window it starts in (a hair before counts) and ends
-    with it. Windows without notes stay, with null notes.
+    Whole windows that the last note's end reaches; windows without notes are left out.
     """
-    window = pieces.select(*by, (music.bar_seconds(F.col("tempo_bpm"), F.col("ts_num"), F.col("ts_den")) * bars).alias("win_s"))
-    ends = notes.groupBy(*by).agg(F.max("end_s").alias("_end"))
-    windows = window.join(ends, by).withColumn("_of", F.floor((F.col("_end") + 1e-6) / F.col("win_s")).cast("int")).where("_of > 0")
-    frames = windows.select(*by, "win_s", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("window"))
-    placed = notes.join(window, by).withColumn("window", F.floor((F.col("start_s") + EPSILON) / F.col("win_s")).cast("int"))
-    start = F.col("window") * F.col("win_s")
-    placed = placed.withColumn("end_s", F.least(F.col("end_s"), start + F.col("win_s")) - start).withColumn("start_s", F.greatest(F.col("start_s") - start, F.lit(0.0)))
-    return frames.drop("win_s").join(placed.drop("win_s"), [*by, "window"], "left")
+    window = _bar_lengths(notes, pieces, by).withColumn("win_s", F.col("bar_s") * bars)
+    window = window.select(*by, "win_s", F.floor((F.col("_end") + 1e-6) / F.col("win_s")).cast("int").alias("_of"))
+    return _placed(notes, window, by, 0.0).where(F.col("window") < F.col("_of")).drop("win_s", "_of")
+
+
+def slice_downbeats(notes: DataFrame, pieces: DataFrame, by: list[str], bars: int) -> DataFrame:
+    """Notes cut at every so-manyth downbeat; what lies behind the last whole window goes.
+
+    A piece has the downbeats before its end, and one bar less than downbeats. A note a hair before a
+    window belongs to it. Windows without notes stay, with null notes.
+    """
+    window = _bar_lengths(notes, pieces, by).withColumn("win_s", F.col("bar_s") * bars)
+    downbeats = F.ceil(F.col("_end") / F.col("bar_s") - EPSILON)
+    window = window.select(*by, "win_s", F.floor(F.greatest(downbeats - 1, F.lit(0)) / bars).cast("int").alias("_of")).where("_of > 0")
+    frames = window.select(*by, F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("window"))
+    return frames.join(_placed(notes, window.drop("_of"), by, EPSILON).drop("win_s"), [*by, "window"], "left")
 
 
 def second_half(notes: DataFrame, pieces: DataFrame, by: list[str]) -> DataFrame:

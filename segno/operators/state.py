@@ -82,9 +82,11 @@ def self_heal(themes: DataFrame, expected: DataFrame, samples: DataFrame, files:
     return healed, kept
 
 
-def failures(samples: DataFrame) -> DataFrame:
-    """One line of text for each failed sample."""
-    return samples.where("not ok").select(F.format_string("%-30s sample_%d %-8s — %s", "theme", "sample_idx", "model", F.coalesce("error", F.lit(""))).alias("value"))
+def failures(samples: DataFrame, themes: DataFrame) -> DataFrame:
+    """One line of text for each failed sample of a theme that is not removed; an error without a text, or with an empty one, is unknown."""
+    kept = samples.where("not ok").join(themes.where("not removed").select("theme"), "theme", "left_semi")
+    error = F.when(F.length("error") > 0, F.col("error")).otherwise("unknown")
+    return kept.select(F.format_string("%-30s sample_%d %-8s — %s", "theme", "sample_idx", "model", error).alias("value"))
 
 
 def drop_split(splits: DataFrame) -> DataFrame:

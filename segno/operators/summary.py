@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segno.functions import music
+
 from .relational import required_join
 
 STATS = ["mean", "std", "median", "p25", "p75", "min", "max", "kl", "oa", "value"]
@@ -60,7 +62,7 @@ def final_table(master: DataFrame, models: list[str], metrics=FINAL_METRICS) ->
 
 def cell(group: Column) -> Column:
     """A reader's cell: three places, a dash for null, a form for each group."""
-    f = lambda c: F.when(F.col(c).isNull(), "—").otherwise(F.format_string("%.3f", F.bround(c, 3)))
+    f = lambda c: F.when(F.col(c).isNull(), "—").otherwise(music.places(F.col(c), 3))
     spread = F.concat(F.lit("mean = "), f("mean"), F.lit(" ± "), f("std"), F.lit("\nmedian = "), f("median"), F.lit(" ("), f("p25"), F.lit("–"), f("p75"), F.lit(")"))
     divergence = F.concat(F.lit("KL = "), f("kl"), F.lit("\nOA = "), f("oa"))
     unknown = F.raise_error(F.concat(F.lit("unknown group "), group)).cast("string")

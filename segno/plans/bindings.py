@@ -121,11 +121,19 @@ def pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def piece_notes(spark: SparkSession, d: str) -> DataFrame:
-    """Notes of a piece: those of its first sample's first chunk."""
-    return notes(spark, d).where("sample_idx = 0 and chunk_idx = 0").drop("sample_idx", "chunk_idx")
-
-
-PIECE_NOTES = "piece_notes AS (SELECT * FROM notes WHERE sample_idx = 0 AND chunk_idx = 0)"
+    """Notes of a piece: those of all its segments, one after the other."""
+    line = Window.partitionBy(*PIECE).orderBy("sample_idx", "chunk_idx", "seq_no")
+    start = F.coalesce(F.sum("ticks").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    rows = notes(spark, d).select(*PIECE, "instr", F.row_number().over(line).alias("seq_no"), "pitch", "velocity", "ticks", start.alias("on_ticks"))
+    return rows.withColumn("start_s", F.col("on_ticks") * TICK_S).withColumn("end_s", (F.col("on_ticks") + F.col("ticks")) * TICK_S)
+
+
+PIECE_NOTES = f"""
+piece_notes AS (
+  SELECT *, on_ticks::DOUBLE * {TICK_S}::DOUBLE AS start_s, (on_ticks + ticks)::DOUBLE * {TICK_S}::DOUBLE AS end_s
+  FROM (SELECT theme, model, instr, row_number() OVER w AS seq_no, pitch, velocity, ticks, coalesce(sum(ticks) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS on_ticks
+        FROM (SELECT * RENAME (seq_no AS k) FROM notes) WINDOW w AS (PARTITION BY theme, model ORDER BY sample_idx, chunk_idx, k))
+)"""
 
 
 def measure_events(spark: SparkSession, d: str) -> DataFrame:

@@ -32,18 +32,30 @@ def bar_chunks(spark, d):
 
 
 WINDOWS = BASE + """,
-ends AS (SELECT theme, model, floor((max(end_s) + 1e-6::DOUBLE) / 4.0::DOUBLE)::INTEGER AS n FROM piece_notes GROUP BY ALL),
-frames AS (SELECT theme, model, unnest(range(n))::INTEGER AS "window" FROM ends WHERE n > 0),
-placed AS (SELECT theme, model, floor((start_s + 1e-9::DOUBLE) / 4.0::DOUBLE)::INTEGER AS "window", seq_no, pitch, start_s, end_s FROM piece_notes)
-SELECT theme, model, "window", seq_no, pitch, round(greatest(start_s - "window" * 4.0::DOUBLE, 0), 6) AS start_s, round(least(end_s, "window" * 4.0::DOUBLE + 4) - "window" * 4.0::DOUBLE, 6) AS end_s FROM frames LEFT JOIN placed USING (theme, model, "window")"""
+ends AS (SELECT theme, model, max(end_s) AS last_s FROM piece_notes GROUP BY ALL),
+placed AS (SELECT theme, model, floor(start_s / 4.0::DOUBLE)::INTEGER AS "window", seq_no, pitch, start_s, end_s FROM piece_notes)"""
+MOVED = """round(start_s - "window" * 4.0::DOUBLE, 6) AS start_s, round(least(end_s, "window" * 4.0::DOUBLE + 4) - "window" * 4.0::DOUBLE, 6) AS end_s"""
 
 
-@query("slice_windows", WINDOWS)
-def slice_windows(spark, d):
-    got = domain.slice_windows(piece_notes(spark, d), pieces(spark, d), PIECE, 2)
+def _moved(got):
     return got.select(*PIECE, "window", "seq_no", "pitch", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"))
 
 
+@query("slice_bars", WINDOWS + f"""
+SELECT theme, model, "window", seq_no, pitch, {MOVED} FROM placed JOIN ends USING (theme, model) WHERE "window" < floor((last_s + 1e-6::DOUBLE) / 4.0::DOUBLE)""")
+def slice_bars(spark, d):
+    """Windows of two bars of equal length; empty ones go."""
+    return _moved(domain.slice_bars(piece_notes(spark, d), pieces(spark, d), PIECE, 2))
+
+
+@query("slice_downbeats", WINDOWS + f""",
+frames AS (SELECT theme, model, unnest(range(n))::INTEGER AS "window" FROM (SELECT theme, model, floor((ceil(last_s / 2.0::DOUBLE) - 1) / 2)::INTEGER AS n FROM ends) WHERE n > 0)
+SELECT theme, model, "window", seq_no, pitch, {MOVED} FROM frames LEFT JOIN placed USING (theme, model, "window")""")
+def slice_downbeats(spark, d):
+    """Windows of two bars between downbeats; a piece that ends on a downbeat has no bar behind it."""
+    return _moved(domain.slice_downbeats(piece_notes(spark, d), pieces(spark, d), PIECE, 2))
+
+
 @query("extract_second_half", BASE + """,
 cuts AS (SELECT theme, model, floor(n / 2) * 2.0::DOUBLE AS cut FROM (SELECT theme, model, ceil(max(end_s) / 2.0::DOUBLE) AS n FROM piece_notes GROUP BY ALL) WHERE n >= 2)
 SELECT theme, model, seq_no, pitch, greatest(start_s - cut, 0) AS start_s, end_s - cut AS end_s FROM piece_notes JOIN cuts USING (theme, model) WHERE start_s >= cut - 1e-9::DOUBLE""")
@@ -115,10 +127,11 @@ base AS (SELECT theme, model, floor(min(pitch) / 12.0) * 12 AS base_note FROM pi
 spread AS (SELECT theme, model, seq_no, pitch - base_note AS rel, on_ticks AS onset, unnest(range(on_ticks, on_ticks + ticks)) AS frame FROM piece_notes JOIN base USING (theme, model)),
 tokens AS (SELECT theme, model, frame, CASE WHEN frame = onset THEN 2 ELSE 1 END AS rhythm, CASE WHEN frame = onset THEN rel ELSE 60 END AS pitch FROM spread)
 SELECT theme, model, frame::INTEGER AS frame, coalesce(rhythm, 0)::INTEGER AS rhythm, coalesce(pitch, 61)::INTEGER AS pitch, base_note::INTEGER AS base_note
-FROM base CROSS JOIN (SELECT unnest(range(64)) AS frame) LEFT JOIN tokens USING (theme, model, frame)""")
+FROM (SELECT theme, model, base_note, unnest(range(total)) AS frame FROM base JOIN (SELECT theme, model, max(on_ticks + ticks) AS total FROM piece_notes GROUP BY ALL) USING (theme, model)) LEFT JOIN tokens USING (theme, model, frame)""")
 def melody_track(spark, d):
     rows = piece_notes(spark, d).withColumn("offset_q", F.col("on_ticks") / 4).withColumn("length_q", F.col("ticks") / 4)
-    frames = rows.select(*PIECE).distinct().withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    total = rows.groupBy(*PIECE).agg(F.max(F.col("on_ticks") + F.col("ticks")).cast("int").alias("total"))
+    frames = total.select(*PIECE, F.explode(F.sequence(F.lit(0), F.col("total") - 1)).alias("frame"))
     return domain.melody_frames(rows, frames, PIECE, 4, 60)
 
 

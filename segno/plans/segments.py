@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,6 +155,11 @@ seqs AS (
 )"""
 
 
+def _pools(spark, d, n: int, models: list[str]) -> DataFrame:
+    rows = _sequences(spark, d)
+    return copying.pooled_overlap(rows.where(F.col("model") == REAL), rows.where(F.col("model").isin(models)), n)
+
+
 def _pool_sql(n: int) -> str:
     grams = f"SELECT model, seq[k:k + {n - 1}] AS gram FROM (SELECT model, seq, unnest(range(1, greatest(1, len(seq) - {n - 2}))) AS k FROM seqs)"
     return f"""{with_ctes(NOTES, SEQUENCES)}, grams AS ({grams}), train AS (SELECT DISTINCT gram FROM grams WHERE model = '{REAL}')
@@ -164,23 +171,22 @@ def _register_pools() -> None:
 
         @query(f"plagiarism_multiset_{n}", _pool_sql(n))
         def pool(spark, d, n=n):
-            rows = _sequences(spark, d)
-            out = copying.pooled_overlap(rows.where(F.col("model") == REAL), rows.where(F.col("model").isin(GENERATED)), n)
-            return out.withColumn("overlap", F.round("overlap", 6))
+            return _pools(spark, d, n, GENERATED).withColumn("overlap", F.round("overlap", 6))
 
 
 _register_pools()
 
 
-def _corpora(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Training pieces of all themes, generated segments of all: chunks of one place meet."""
-    rows = _sequences(spark, d).where("sample_idx = 0 and chunk_idx = 0")
-    train = rows.where(F.col("model") == REAL).select(F.col("theme").alias("piece"), "seq")
-    return rows.where(F.col("model").isin(GENERATED)).select("model", F.col("theme").alias("chunk"), "seq"), train
+def _corpora(spark, d, models: list[str] = GENERATED) -> tuple[DataFrame, DataFrame]:
+    """Training pieces are all real segments, chunks all generated ones, named by their place."""
+    name = F.concat_ws("-", "theme", "sample_idx", "chunk_idx")
+    rows = _sequences(spark, d)
+    train = rows.where(F.col("model") == REAL).select(name.alias("piece"), "seq")
+    return rows.where(F.col("model").isin(models)).select("model", name.alias("chunk"), "seq"), train
 
 
 LCS = f"""{with_ctes(NOTES, SEQUENCES)},
-s AS (SELECT theme, model, seq FROM seqs WHERE sample_idx = 0 AND chunk_idx = 0),
+s AS (SELECT theme || '-' || sample_idx || '-' || chunk_idx AS theme, model, seq FROM seqs),
 a AS (SELECT model, theme AS chunk, k, seq[k] AS v FROM (SELECT model, theme, seq, unnest(range(1, len(seq) + 1)) AS k FROM s WHERE model <> '{REAL}')),
 b AS (SELECT theme AS piece, k, seq[k] AS v FROM (SELECT theme, seq, unnest(range(1, len(seq) + 1)) AS k FROM s WHERE model = '{REAL}')),
 m AS (SELECT model, chunk, piece, a.k AS i, a.k - b.k AS diag FROM a JOIN b USING (v)),
@@ -240,9 +246,9 @@ SELECT model, round(sum(CASE WHEN a > 0 THEN a * ln(a / ((a + b) / 2)) ELSE 0 EN
        (SELECT sum(np) FROM p)::BIGINT AS n_real, sum(nq)::BIGINT AS n_gen, count(np) AS n_unique_real, count(nq) AS n_unique_gen, count(*) AS n_unique_union FROM f GROUP BY 1"""
 
 
-def _jsd(spark, d) -> DataFrame:
+def _jsd(spark, d, models: list[str] = GENERATED) -> DataFrame:
     rows = _patterns(spark, d)
-    return divergence.jensen_shannon(rows.where(F.col("model") == REAL), rows.where(F.col("model").isin(GENERATED)), "pattern")
+    return divergence.jensen_shannon(rows.where(F.col("model") == REAL), rows.where(F.col("model").isin(models)), "pattern")
 
 
 @query("bar_rhythm_jsd", JSD)
@@ -281,3 +287,43 @@ _CELL = "'mean = ' || " + _F.format("mean") + " || ' ± ' || " + _F.format("std"
 @query("final_human_pivot", FINAL + " SELECT metric, " + ", ".join(f"coalesce(max(CASE WHEN model = '{m}' THEN {_CELL} END), '') AS \"{m}\"" for m in MODELS) + " FROM final GROUP BY ord, metric ORDER BY ord")
 def final_human_pivot(spark, d):
     return summary.human_table(_final(spark, d), MODELS, SEGMENT_METRICS)
+
+
+# --- all four groups ----------------------------------------------------------------------------
+
+
+def plagiarism_rows(spark, d, models: list[str]) -> DataFrame:
+    """A row per model: the overlaps of three sizes and the seven numbers of the longest runs."""
+    runs = copying.lcs_summary(*_corpora(spark, d, models))
+    out = runs.select("model", "n_gen_chunks", "n_gen_chunks_lcs", *[F.col(c).alias(f"lcs_max_{c}") for c in summary.STATS[:7]])
+    for n in (3, 4, 5):
+        pool = _pools(spark, d, n, models)
+        out = out.join(pool.select("model", F.col("n_grams").alias(f"n_grams_n{n}"), F.col("n_copied").alias(f"n_copied_n{n}"), F.col("overlap").alias(f"ngram_overlap_n{n}")), "model", "left")
+    return out
+
+
+def full_table(spark, d) -> DataFrame:
+    """The final table of all metrics and models; the real pieces stand for one of the models too."""
+    from .corpora import features_against_real
+
+    found = seg.aggregates(_per_segment(spark, d)).withColumnRenamed("metric", "key")
+    copied = plagiarism_rows(spark, d, MODELS)
+    values = F.explode(F.array(*[F.struct(F.lit(f"ngram_overlap_n{n}").alias("key"), F.col(f"ngram_overlap_n{n}").alias("value")) for n in (3, 4, 5)])).alias("v")
+    parts = [
+        summary.master_rows(found, "aggregates", "key"),
+        summary.master_rows(features_against_real(spark, d, MODELS).withColumnRenamed("feature", "key"), "mgeval", "key"),
+        summary.master_rows(_jsd(spark, d, MODELS).select("model", F.lit("jsd").alias("key"), F.col("jsd").alias("value")), "bar_rhythm_jsd", "key"),
+        summary.master_rows(copied.select("model", values).select("model", "v.key", "v.value"), "plagiarism", "key"),
+        summary.master_rows(copied.select("model", F.lit("lcs_max").alias("key"), *[F.col(f"lcs_max_{c}").alias(c) for c in summary.STATS[:7]]), "plagiarism", "key"),
+    ]
+    return summary.final_table(reduce(DataFrame.unionByName, parts), MODELS)
+
+
+@query("plagiarism_driver")
+def plagiarism_driver(spark, d):
+    return plagiarism_rows(spark, d, GENERATED)
+
+
+@query("final_human_all_groups")
+def final_human_all_groups(spark, d):
+    return summary.human_table(full_table(spark, d), MODELS)

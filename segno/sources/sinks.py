@@ -13,12 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segno.functions import music
 from segno.shipping import ship_package
 
 
 def six_places(df: DataFrame) -> DataFrame:
     """Floating columns as text with six places; null as empty text."""
-    text = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.format_string("%.6f", F.bround(c, 6)))
+    text = lambda c: F.when(F.col(c).isNull(), "").otherwise(music.places(F.col(c).cast("double"), 6))
     return df.select(*[text(c).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes])
 
 

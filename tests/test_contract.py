@@ -19,7 +19,7 @@ def test_entry_has_rows(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
-@pytest.mark.parametrize("name", ["interval_histogram", "chord_metrics", "bar_rhythm_jsd", "lcs_max_stats", "derived_status", "split_80_10_10", "slice_windows"])
+@pytest.mark.parametrize("name", ["interval_histogram", "chord_metrics", "bar_rhythm_jsd", "lcs_max_stats", "derived_status", "split_80_10_10", "slice_bars", "slice_downbeats", "failures_report", "scalar_features", "mgeval_distances"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
 

@@ -204,3 +204,38 @@ def test_cells(spark):
             held = held.withColumn(c, F.lit(None).cast("double"))
     cells = [r[0] for r in held.select(summary.cell(F.col("grp"))).collect()]
     assert cells == ["mean = 1.562 ± —\nmedian = — (—–—)", "KL = 0.500\nOA = —", "—"]
+
+
+def test_places_are_those_of_exact_decimals(spark):
+    import random
+
+    from segno.functions import music
+
+    rng = random.Random(3)
+    values = [0.0025, 0.0005, 1.0005, 2.0015, -0.0005, -0.0001, 0.0, 2.5, 1e7 + 0.0005, 0.125, 0.0625, 0.1875, -3.0625] + [rng.randrange(10**6) / 2000 for _ in range(300)] + [rng.gauss(0, 50) for _ in range(300)]
+    df = spark.createDataFrame([(x,) for x in values], "x double").select("x", music.places(F.col("x"), 3).alias("a"), music.places(F.col("x"), 6).alias("b"))
+    assert [(r["a"], r["b"]) for r in df.collect()] == [(f"{x:.3f}", f"{x:.6f}") for x in values]
+
+
+def test_slices_of_bars_and_of_downbeats(spark):
+    notes = spark.createDataFrame([("p", k, 60, s, e) for k, (s, e) in enumerate([(0.0, 1.0), (6.0, 8.0)])], "piece string, seq_no int, pitch int, start_s double, end_s double")
+    pieces = spark.createDataFrame([("p", 120.0, 4, 4)], "piece string, tempo_bpm double, ts_num int, ts_den int")
+    bars = lambda n: sorted((r["window"], r["start_s"], r["end_s"]) for r in domain.slice_bars(notes, pieces, ["piece"], n).collect())
+    beats = lambda n: sorted((r["window"], r["pitch"]) for r in domain.slice_downbeats(notes, pieces, ["piece"], n).collect())
+    assert bars(1) == [(0, 0.0, 1.0), (3, 0.0, 2.0)] and bars(2) == [(0, 0.0, 1.0), (1, 2.0, 4.0)] and bars(5) == []
+    assert beats(2) == [(0, 60)] and beats(1) == [(0, 60), (1, None), (2, None)] and beats(4) == []
+
+
+def test_failures_of_removed_themes_and_without_error(spark):
+    from segno.operators import state
+
+    samples = spark.createDataFrame([("a", "alto", 0, False, "x"), ("a", "alto", 1, False, None), ("b", "alto", 0, False, "y"), ("a", "tenor", 0, True, None)], "theme string, model string, sample_idx int, ok boolean, error string")
+    themes = spark.createDataFrame([("a", False), ("b", True)], "theme string, removed boolean")
+    assert sorted(r["value"].split("— ")[1] for r in state.failures(samples, themes).collect()) == ["unknown", "x"]
+
+
+def test_rank_tests_of_few_and_of_no_values(spark):
+    rows = [("m", "x", float(k)) for k in range(6)] + [("m", "y", float(k)) for k in range(3)] + [("empty", "x", None), ("empty", "y", None)]
+    got = {r["metric"]: r for r in divergence.mann_whitney(spark.createDataFrame(rows, "metric string, model string, value double"), ["metric"], ["x", "y"]).collect()}
+    assert (got["m"]["n_a"], got["m"]["n_b"], got["m"]["u_statistic"], got["m"]["p_value"], got["m"]["significant"]) == (6, 3, None, None, False)
+    assert (got["empty"]["n_a"], got["empty"]["n_b"], got["empty"]["u_statistic"]) == (0, 0, None)
