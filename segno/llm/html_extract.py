@@ -51,6 +51,8 @@ MARKED = frozenset(
     " header masthead topbar footer contentinfo sidebar sidebars aside complementary rail comment comments commentlist respond replies disqus cookie cookies consent gdpr"
     " notice notices notification alert popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager skip search".split()
 )
+#: Those of them that mark reader comments, which may be articles of their own (fixed values).
+COMMENTS = frozenset("comment comments commentlist respond replies disqus".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that close an open paragraph (fixed values).
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -61,7 +63,8 @@ CLOSES_OWN = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "
 BROADCAST_TOKENS = 2_000_000
 SALTS = 64
 
-_TAG = re.compile(r"""<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""")
+#: Quotes hold a value only behind an equals sign; elsewhere, as in an apostrophe, they are characters like others.
+_TAG = re.compile(r"""<!--|<(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+)>|<[!?][^>]*+>""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _NAMES = re.compile(r"[^a-z0-9]+")
 
@@ -84,9 +87,9 @@ class Piece:
     breaks: bool
 
 
-def _marks(attributes: str) -> tuple[bool, bool, bool]:
-    """Whether attributes mark an element as no main text, whether only a part of a compound name does, and whether its role is main."""
-    marked = part = main = False
+def _marks(attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Whether attributes mark an element as no main text, whether only a part of a compound name does, whether its role is main, and whether it has reader comments."""
+    marked = part = main = comments = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name == "hidden":
@@ -95,15 +98,17 @@ def _marks(attributes: str) -> tuple[bool, bool, bool]:
             names = (values[0] or values[1] or values[2]).lower().split()
             main = main or name == "role" and "main" in names
             marked = marked or not MARKED.isdisjoint(names)
+            comments = comments or not COMMENTS.isdisjoint(names)
             part = part or any(not MARKED.isdisjoint(_NAMES.split(x)) for x in names)
         elif name == "style" and "display:none" in "".join(values).replace(" ", "").lower():
             marked = True
-    return marked, part, main
+    return marked, part, main, comments
 
 
 def read_page(page: str) -> tuple[list[str], list[Piece]]:
     """Tag tokens of a page in order (a path, closing ones with a slash), and its pieces of text."""
     root = Element("", "", False, False)
+    last = max(page.rfind(">") + 1, page.rfind("<!--") + 4)  # no tag ends and no comment begins behind it, so none is looked for there
     stack = [root]
     tokens: list[str] = []
     pieces: list[Piece] = []
@@ -121,7 +126,7 @@ def read_page(page: str) -> tuple[list[str], list[Piece]]:
             tokens.append("/" + stack.pop().path)
 
     while True:
-        found = _TAG.search(page, at)
+        found = _TAG.search(page, at, max(at, last))
         if not found:
             text(len(page))
             break
@@ -159,13 +164,14 @@ def read_page(page: str) -> tuple[list[str], list[Piece]]:
                     break
         above = stack[-1]
         attributes = found.group(3)
-        marked, part, main = _marks(attributes) if attributes else (False, False, False)
+        marked, part, main, comments = _marks(attributes) if attributes else (False, False, False, False)
         main = main or tag in ("article", "main")
         strict = above.outside and not above.loose
         outside = above.outside
         if tag in HEADINGS and above.article and above.tag == "header":
             strict = outside = False  # an article's own heading
         elif main:
+            strict = strict or comments and tag == "article"
             outside = strict
         elif tag not in ("html", "body"):
             strict = strict or tag in OUTSIDE or marked

@@ -638,6 +638,22 @@ def test_only_the_main_role_makes_an_article():
     assert html_extract.main_text('<div role="main"><p>a</p></div><p>b') == "a" and html_extract.main_text("<div class='x' ROLE=main>a</div><p>b") == "a"
 
 
+def test_quotes_in_tags_and_in_text():
+    assert html_extract.main_text("<a title=don't>two</a><p>three isn't four") == "two three isn't four"
+    assert html_extract.main_text("""<p title='a > "b"' class = "x>y">text</p> it's <b data-x=1>bold</b>""") == "text it's bold"
+    assert html_extract.main_text("""<a href="x"">link</a> 'quoted' <p class="a" b>end""") == "link 'quoted' end"
+    assert html_extract.main_text('<p>a <b title="never closed>b</b> c') == "a b c"
+    began = time.perf_counter()
+    for odd in ("<a b='", '<a b="x ', "<a <", "<p =' ", "<!x"):
+        html_extract.main_text(odd * 100_000)
+        html_extract.main_text(odd * 100_000 + ">")
+    assert time.perf_counter() - began < 20
+
+
+def test_comments_that_are_articles_are_left_out():
+    assert html_extract.main_text('<main><article><p>Body</p></article><article class="comment"><p>reader</p></article></main>') == "Body"
+
+
 def test_an_article_resets_what_a_compound_name_marks():
     for wrapper in ('class="layout has-sidebar"', 'id="search-page"', 'class="no-ads with_menu"'):
         for tag in ("article", "main", 'div role="main"'):
