@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from dataclasses import dataclass
+from array import array
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -39,13 +40,17 @@ SEPARATORS = ".-_*~'"
 #: Log-probability of each liberty that the writer takes.
 COST_LEET, COST_SEPARATOR, COST_REPEAT = -1.5, -0.7, -0.7
 
+#: Characters after which a path of the decoder is laid down.
+FOLD = 64
+_FIRST_SIGN = 0xE000  # of as many as there are states, fewer than _CLASSES squared
+
 #: A word counts as bad from this score.
 BAD_WORD = 0.3
 
 #: Features are counted in so many buckets; this bounds what reaches the driver.
 BUCKETS = 1 << 20
-#: Scored tokens that one Python task keeps; a full cache takes no more.
-CACHE_TOKENS = 400_000
+#: Scored tokens that one Python worker keeps; a full cache takes no more.
+CACHE_TOKENS = 700_000
 
 _CLASSES = 28  # 0: between words, 1-26: a-z, 27: any other letter
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -107,34 +112,40 @@ _REPEAT = ("", 0, COST_REPEAT)
 def decode(token: str, model: list[float]) -> str:
     """The likeliest letters behind a lower-case token: Viterbi over the last two characters.
 
-    Paths are chains of (path before, letter), so a character costs the same at the end of a long token.
+    Every FOLD characters the paths so far are laid down, and each goes on from one sign that tells its
+    number, so a character costs the same at the end of a long token.
     """
-    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    laid: list[list[str]] = []
     before = ""
-    for c in token:
-        options = _ASCII_OPTIONS.get(c) or _options(c)
-        if c == before:
-            options = [*options, _REPEAT]
-        reached: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        for (a, b), (score, path) in states.items():
-            row = (a * _CLASSES + b) * _CLASSES
-            for letter, k, cost in options:
-                if letter:
-                    state, value = (b, k), score + cost + model[row + k]
-                else:
-                    state, value = (a, b), score + cost
-                held = reached.get(state)
-                if held is None or value > held[0]:
-                    reached[state] = (value, (path, letter) if letter else path)
-        states = reached
-        if not c.isspace():
-            before = c
-    path = max(((score + model[(a * _CLASSES + b) * _CLASSES], path) for (a, b), (score, path) in states.items()), key=lambda x: x[0])[1]
-    letters = []
-    while path:
-        path, letter = path
-        letters.append(letter)
-    return "".join(reversed(letters))
+    for begin in range(0, len(token), FOLD):
+        if begin:
+            laid.append([path for _, path in states.values()])
+            states = {state: (score, chr(_FIRST_SIGN + k)) for k, (state, (score, _)) in enumerate(states.items())}
+        for c in token[begin : begin + FOLD]:
+            options = _ASCII_OPTIONS.get(c) or _options(c)
+            if c == before:
+                options = [*options, _REPEAT]
+            reached: dict[tuple[int, int], tuple[float, str]] = {}
+            for (a, b), (score, path) in states.items():
+                row = (a * _CLASSES + b) * _CLASSES
+                for letter, k, cost in options:
+                    if letter:
+                        state, value = (b, k), score + cost + model[row + k]
+                    else:
+                        state, value = (a, b), score + cost
+                    held = reached.get(state)
+                    if held is None or value > held[0]:
+                        reached[state] = (value, path + letter)
+            states = reached
+            if not c.isspace():
+                before = c
+    path = max((score + model[(a * _CLASSES + b) * _CLASSES], path) for (a, b), (score, path) in states.items())[1]
+    parts = []
+    for paths in reversed(laid):
+        parts.append(path[1:])
+        path = paths[ord(path[0]) - _FIRST_SIGN]
+    return "".join(reversed([*parts, path]))
 
 
 def restored(token: str, model: list[float], run: bool = False) -> list[str]:
@@ -144,7 +155,7 @@ def restored(token: str, model: list[float], run: bool = False) -> list[str]:
         return own + _WORDS.findall(decode(" ".join(token), model)) if own else own
     # Separators at the ends part no letters; an exclamation mark there may be one or a letter.
     core = token.strip(SEPARATORS)
-    forms = {x for x in (core, core.rstrip("!" + SEPARATORS)) if _SUSPECT.search(x)}
+    forms = {x for x in {core, core.rstrip("!" + SEPARATORS)} if _SUSPECT.search(x)}
     return own + [w for x in sorted(forms) for w in _WORDS.findall(decode(x, model))]
 
 
@@ -183,11 +194,15 @@ def _copy_key(text: str) -> int:
 
 @dataclass
 class Lexicon:
-    """Scores by bucket, the character model, and weights of the evidence (the first is the bias)."""
+    """Scores by bucket, the character model, and weights of the evidence (the first is the bias).
+
+    ``known`` keeps the scores of tokens in a worker, from one task to the next.
+    """
 
-    scores: np.ndarray
+    scores: array
     model: list[float]
     weights: np.ndarray | None = None
+    known: dict[str, float] = field(default_factory=dict)
 
 
 def train(rows: DataFrame, model: list[float], z: float = 3.0) -> Lexicon:
@@ -224,13 +239,13 @@ def train(rows: DataFrame, model: list[float], z: float = 3.0) -> Lexicon:
     p = got["toxic"].to_numpy(np.float64) / np.maximum(n, 1)
     low = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)  # Wilson's bound
     scores[got["bucket"].to_numpy(np.int64)] = np.clip(low, 0, 1)
-    return Lexicon(scores, model)
+    return Lexicon(array("d", scores.tolist()), model)  # read one by one, which is faster than in numpy
 
 
-def evidence(text: str, lexicon: Lexicon, known: dict[str, float]) -> list[float]:
+def evidence(text: str, lexicon: Lexicon) -> list[float]:
     """What a text holds: its worst word, the next worst, how many bad words there are and how dense."""
     text = text.lower()
-    tokens = text.split()
+    tokens, known = text.split(), lexicon.known
     got = list(map(known.get, tokens))
     for k, value in enumerate(got):
         if value is None:
@@ -248,11 +263,11 @@ def evidence(text: str, lexicon: Lexicon, known: dict[str, float]) -> list[float
 
 
 def _token_score(token: str, lexicon: Lexicon, run: bool = False) -> float:
-    return max((float(lexicon.scores[b]) for w in restored(token, lexicon.model, run) for b in features(w)), default=0.0)
+    return max((lexicon.scores[b] for w in restored(token, lexicon.model, run) for b in features(w)), default=0.0)
 
 
-def score_text(text: str, lexicon: Lexicon, known: dict[str, float]) -> float:
-    held = evidence(text, lexicon, known)
+def score_text(text: str, lexicon: Lexicon) -> float:
+    held = evidence(text, lexicon)
     if lexicon.weights is None:  # too few labels to weigh by
         p = float(1 / (1 + np.exp(-held[0])))
         return p if p > 0.01 else 0.0
@@ -282,10 +297,8 @@ def weigh(rows: DataFrame, lexicon: Lexicon, sample: int = 50_000, least: int =
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     def make():
-        known: dict[str, float] = {}
-
         def step(batch):
-            return {"x": [evidence(t, shared.value, known) for t in texts(batch)], "y": batch.column("toxic")}
+            return {"x": [evidence(t, shared.value) for t in texts(batch)], "y": batch.column("toxic")}
 
         return step
 
@@ -301,10 +314,8 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # BUCKETS numbers and the character model
 
     def make():
-        known: dict[str, float] = {}
-
         def step(batch):
-            return {"doc_id": batch.column("doc_id"), "score": [score_text(t, shared.value, known) for t in texts(batch)]}
+            return {"doc_id": batch.column("doc_id"), "score": [score_text(t, shared.value) for t in texts(batch)]}
 
         return step
 
