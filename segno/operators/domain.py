@@ -115,6 +115,27 @@ def cyclic_chords(chords: DataFrame, by: list[str], cycle_q: float, total_q: flo
     return out.where(F.col("offset_q") < total_q).drop("_k")
 
 
+def quarter_snapped(notes: DataFrame, by: list[str]) -> DataFrame:
+    """Notes at ``snapped_q``, with the ``grid`` of their quarter: triplets where its onsets lie nearer to them in sum, else sixteenths."""
+    quarter = notes.withColumn("_quarter", F.floor("offset_q"))
+    off = F.col("offset_q") - F.col("_quarter")
+    gap = lambda n: F.abs(off - F.rint(off * n) / n)
+    sums = quarter.groupBy(*by, "_quarter").agg(F.round(F.sum(gap(4)), 9).alias("_straight"), F.round(F.sum(gap(3)), 9).alias("_triplet"))
+    met = quarter.join(sums, [*by, "_quarter"]).withColumn("grid", F.when(F.col("_triplet") < F.col("_straight"), 3).otherwise(4))
+    return met.withColumn("snapped_q", F.col("_quarter") + F.rint(off * F.col("grid")) / F.col("grid")).drop("_quarter", "_straight", "_triplet")
+
+
+def melody_measures(notes: DataFrame, bar_q: float = 4.0) -> DataFrame:
+    """Notes (offset_q, length_q) cut at barlines: measure_no from 1, place in the measure, and ties between the parts."""
+    end = F.col("offset_q") + F.col("length_q")
+    first, last = F.floor(F.col("offset_q") / bar_q), F.ceil(end / bar_q) - 1
+    cut = notes.where("length_q > 0").select("*", F.explode(F.sequence(first, last)).alias("_bar"), first.alias("_first"), last.alias("_last"))
+    start = F.greatest(F.col("offset_q"), F.col("_bar") * bar_q)
+    tie = F.when(F.col("_first") == F.col("_last"), None).when(F.col("_bar") == F.col("_first"), "start").when(F.col("_bar") == F.col("_last"), "stop").otherwise("continue")
+    placed = cut.withColumn("measure_no", (F.col("_bar") + 1).cast("int")).withColumn("offset_in_measure_q", start - F.col("_bar") * bar_q).withColumn("tie", tie)
+    return placed.withColumn("length_q", F.least(end, (F.col("_bar") + 1) * bar_q) - start).drop("_bar", "_first", "_last")
+
+
 # --- ties and durations -------------------------------------------------------------------------
 
 

@@ -29,9 +29,10 @@ def trials(df: DataFrame, key: str, k: int, seeds: list[int]) -> DataFrame:
 def halves(df: DataFrame, key: str, seeds: list[int]) -> DataFrame:
     """Every trial's random halves: ``half`` is 'a' for the first half of the draw, else 'b'."""
     spread = df.withColumn("trial", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    line = Window.partitionBy("trial").orderBy(draw_key(F.col("trial"), F.col(key)), key)
-    of = F.count(F.lit(1)).over(Window.partitionBy("trial"))
-    return spread.withColumn("half", F.when(F.row_number().over(line) <= F.floor(of / 2), "a").otherwise("b"))
+    sizes = spread.groupBy("trial").agg(F.count(F.lit(1)).alias("_of"))  # a row per trial
+    ranked = _with_rank(spread.withColumn("_draw", draw_key(F.col("trial"), F.col(key))), ["_draw", key], ["trial"])
+    met = ranked.join(F.broadcast(sizes), "trial")
+    return met.withColumn("half", F.when(F.col("_rank") <= F.floor(F.col("_of") / 2), "a").otherwise("b")).drop("_draw", "_rank", "_of")
 
 
 def split(df: DataFrame, key: str, seed: int = 0, share: float = 0.1, excluded: list[str] | None = None) -> DataFrame:
@@ -52,13 +53,15 @@ def split(df: DataFrame, key: str, seed: int = 0, share: float = 0.1, excluded:
     return out
 
 
-def _with_rank(df: DataFrame, order: list[str]) -> DataFrame:
-    """Global ranks from 1: hashed draws fall into 256 even buckets by their first two digits."""
+def _with_rank(df: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """Ranks from 1, of the whole or of each ``by``: hashed draws fall into 256 even buckets by their first two digits."""
+    by = by or []
     bucketed = df.withColumn("_bucket", F.substring(order[0], 1, 2))
-    counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_of"))  # 256 rows at most
-    before = counts.select("_bucket", F.coalesce(F.sum("_of").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return bucketed.join(F.broadcast(before), "_bucket").withColumn("_rank", F.col("_before") + inside).drop("_bucket", "_before")
+    counts = bucketed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_in"))  # 256 rows at most for each
+    line = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*by, "_bucket", F.coalesce(F.sum("_in").over(line), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order))
+    return bucketed.join(F.broadcast(before), [*by, "_bucket"]).withColumn("_rank", F.col("_before") + inside).drop("_bucket", "_before")
 
 
 def trial_summary(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:

@@ -22,5 +22,5 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-for _part in ("exploration", "segments", "corpora", "scores", "runs"):
+for _part in ("exploration", "segments", "corpora", "scores", "runs", "studies"):
     import_module(f"segno.plans.{_part}")

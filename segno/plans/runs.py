@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -144,20 +145,20 @@ def dropped(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("name")).join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("name")), "name", "left_anti")
 
 
-@query("wide_outer_merge", "SELECT coalesce(a.k, b.k) AS feature, coalesce(a.n::VARCHAR, '') AS orders, coalesce(b.n::VARCHAR, '') AS customers FROM (SELECT c_nationkey AS k, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' AND o_totalprice > 480000 GROUP BY 1) a FULL JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) b ON a.k = b.k")
+@query("wide_outer_merge", "SELECT coalesce(a.k, b.k) AS feature, coalesce(a.n::VARCHAR, '') AS orders, coalesce(b.n::VARCHAR, '') AS supplies FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1) b ON a.k = b.k")
 def wide_merge(spark, d):
-    customers = table(spark, d, "customer")
-    big = table(spark, d, "orders").where("o_orderstatus = 'P' and o_totalprice > 480000").join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    a = big.groupBy(F.col("c_nationkey").alias("feature")).agg(F.count(F.lit(1)).cast("string").alias("orders"))
-    b = customers.where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("feature")).agg(F.count(F.lit(1)).cast("string").alias("customers"))
-    return a.join(b, "feature", "full").na.fill("", ["orders", "customers"])
+    """Two tables of one key side by side: a key that only one of them has keeps an empty cell."""
+    a = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("feature")).agg(F.count(F.lit(1)).cast("string").alias("orders"))
+    b = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("feature")).agg(F.count(F.lit(1)).cast("string").alias("supplies"))
+    return a.join(b, "feature", "full").na.fill("", ["orders", "supplies"])
 
 
-@query("union_stitch", "SELECT l_partkey AS id, 'single' AS part FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45 UNION ALL SELECT l_partkey, 'bootstrap' FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 3")
+@query("union_stitch", "SELECT l_partkey AS id, 'single' AS part FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT l_partkey, 'bootstrap' FROM lineitem WHERE l_returnflag <> 'A'")
 def union_stitch(spark, d):
+    """Features of one group from one table, those of the others from another."""
     rows = table(spark, d, "lineitem")
-    a = rows.where("l_returnflag = 'A' and l_quantity > 45").select(F.col("l_partkey").alias("id"), F.lit("single").alias("part"))
-    return a.unionByName(rows.where("l_returnflag = 'R' and l_quantity < 3").select(F.col("l_partkey").alias("id"), F.lit("bootstrap").alias("part")))
+    a = rows.where("l_returnflag = 'A'").select(F.col("l_partkey").alias("id"), F.lit("single").alias("part"))
+    return a.unionByName(rows.where("l_returnflag <> 'A'").select(F.col("l_partkey").alias("id"), F.lit("bootstrap").alias("part")))
 
 
 @query("unpivot_pivot_round", "SELECT metric, max(value) FILTER (model = 'A') AS \"A\", max(value) FILTER (model = 'N') AS \"N\", max(value) FILTER (model = 'R') AS \"R\" FROM (SELECT l_returnflag AS model, unnest(['quantity', 'lines']) AS metric, unnest([sum(l_quantity), count(*)::DOUBLE]) AS value FROM lineitem GROUP BY 1) GROUP BY 1")
@@ -203,20 +204,32 @@ def summary_of_curve(spark, d):
 
 @query("stream_tumbling_counts", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_counts(spark, d):
-    """Events as a stream in one available-now run, whose result is read back."""
-    schema = table(spark, d, "events").schema
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="segno-stream-")
-    run = f"{folder.rstrip('/')}/stream-{abs(hash((d, id(schema))))}-{spark.sparkContext.startTime}"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d)
-    hours = stream.select(F.date_trunc("hour", "ts").alias("window_start"), "event_type")
-    streams.run_available(hours, f"{run}/out", f"{run}/state")
-    out = spark.read.parquet(f"{run}/out").groupBy("window_start", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return out
+    """Events as a stream with a watermark: windowed counts in its state, upserted batch by batch."""
+    run = _run_folder(spark)
+    return streams.upsert_counts(_event_stream(spark, d), f"{run}/out", f"{run}/state")
+
+
+def _run_folder(spark) -> str:
+    """A new folder for a stream's output and state, shared by driver and executors."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="segno-stream-")
+    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _event_stream(spark, d) -> DataFrame:
+    rows = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet*").parquet(d)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark wants an instant
 
 
 @query("stream_dedupe", "SELECT user_id, event_type FROM events GROUP BY ALL")
 def stream_dedupe(spark, d):
-    return streams.without_repeats(table(spark, d, "events").select("user_id", "event_type", "ts"), ["user_id", "event_type"]).select("user_id", "event_type")
+    """The first event of each user and type of a stream, whose state holds every key."""
+    run = _run_folder(spark)
+    streams.run_available(streams.without_repeats(_event_stream(spark, d).select("user_id", "event_type"), ["user_id", "event_type"], late=None), f"{run}/out", f"{run}/state")
+    return spark.read.parquet(f"{run}/out")
 
 
 @query("tumbling_window_batch", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")

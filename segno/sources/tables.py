@@ -48,9 +48,28 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of results with their line's place in the file; the last of a task counts."""
+    """JSON lines of results with ``line_no``, their place by file, part of the file and line; the last of a task counts.
+
+    A part of a file is read by one task from its start to its end, so places order lines as the files do.
+    """
     rows = spark.read.schema(RESULT).json(path)
-    return rows.withColumn("line_no", F.monotonically_increasing_id())
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line"))
+    return rows.withColumn("line_no", place)
+
+
+def read_vocabulary(spark: SparkSession, path: str, divisions: int = 96) -> DataFrame:
+    """(num, den, ticks): note lengths of a JSON file of pairs, as fractions of a whole note and in ticks of it."""
+    body = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<array<int>>")).alias("p"))
+    return body.select(F.col("p")[0].alias("num"), F.col("p")[1].alias("den"), (F.col("p")[0] * divisions / F.col("p")[1]).alias("ticks"))
+
+
+def materialised(df: DataFrame, path: str) -> DataFrame:
+    """A table that is written once and read from then on; a run that ended before its end is written again."""
+    spark = df.sparkSession
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"), "_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def read_manifest(spark: SparkSession, path: str, models: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -12,9 +12,9 @@ def tumbling_counts(events: DataFrame, at: str = "ts", by: str = "event_type", w
     return events.groupBy(F.window(at, window).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), by, "n")
 
 
-def without_repeats(events: DataFrame, keys: list[str], at: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """The first event of each key; a stream forgets keys behind the watermark."""
-    return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
+def without_repeats(events: DataFrame, keys: list[str], at: str = "ts", late: str | None = "10 minutes") -> DataFrame:
+    """The first event of each key; a stream forgets keys behind the watermark, or none without one."""
+    return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys) if late and events.isStreaming else events.dropDuplicates(keys)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -23,6 +23,21 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     query.awaitTermination()
 
 
+def upsert_counts(events: DataFrame, path: str, checkpoint: str, **window) -> DataFrame:
+    """Windowed counts of a stream, kept up to date as it arrives: (window_start, by, n) after one available-now run.
+
+    Counts live in the stream's state until the watermark passes. Each batch lays down the counts that
+    it changed in a folder of its own number, so a batch that runs twice writes the same; the last
+    batch of a window and group holds.
+    """
+    counts = tumbling_counts(events, **window)
+    sink = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/run={number}")
+    counts.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = events.sparkSession.read.parquet(path)
+    keys = [c for c in counts.columns if c != "n"]
+    return rows.groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))
+
+
 def append_results(results: DataFrame, sink, checkpoint: str) -> None:
     """Hand each batch of new results to ``sink(df, number)``, which may upsert them."""
     results.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
