@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segno.functions import music
 
 from .relational import eight_numbers
+from .suffixes import longest_common_runs
 
 
 def pooled_overlap(train: DataFrame, generated: DataFrame, n: int) -> DataFrame:
@@ -24,35 +23,6 @@ def pooled_overlap(train: DataFrame, generated: DataFrame, n: int) -> DataFrame:
     return met.select("model", "n_grams", "n_copied", (F.col("n_copied") / F.col("n_grams")).alias("overlap"))
 
 
-#: Symbols of the places that meet, from the most selective on.
-SEEDS = (8, 4, 3, 2, 1)
-
-
-def longest_common_runs(generated: DataFrame, train: DataFrame, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
-    """(model, chunk, lcs): for each generated piece the longest run of symbols it shares with any training piece.
-
-    Long seeds come first, as few places meet on them; only pieces without a run of that length are
-    looked up by a shorter seed. A piece that has such a run has its longest one among them.
-    """
-    left, found = generated, []
-    for seed in seeds:
-        best = _runs(left, train, seed)
-        found.append(best)
-        left = left.join(best, ["model", "chunk"], "left_anti")
-    found.append(left.select("model", "chunk", F.lit(0).cast("long").alias("lcs")))
-    return reduce(DataFrame.unionByName, found)
-
-
-def _runs(generated: DataFrame, train: DataFrame, seed: int) -> DataFrame:
-    """The longest runs of at least ``seed`` symbols: places with equal seeds meet in an equi-join, neighbours on one diagonal form islands."""
-    grams = lambda df, cols: df.select(*cols, F.posexplode(music.ngrams(F.col("seq"), seed)).alias("at", "gram"))
-    a, b = grams(generated, ["model", "chunk"]), grams(train, ["piece"]).withColumnRenamed("at", "bt")
-    met = a.join(b, "gram").select("model", "chunk", "piece", "at", (F.col("at") - F.col("bt")).alias("diagonal"))
-    line = Window.partitionBy("model", "chunk", "piece", "diagonal").orderBy("at")
-    runs = met.withColumn("island", F.col("at") - F.row_number().over(line)).groupBy("model", "chunk", "piece", "diagonal", "island").agg((F.count(F.lit(1)) + (seed - 1)).alias("run"))
-    return runs.groupBy("model", "chunk").agg(F.max("run").cast("long").alias("lcs"))
-
-
 def lcs_summary(generated: DataFrame, train: DataFrame) -> DataFrame:
     """Seven numbers of the longest runs by model (population spread); empty pieces count but have no run."""
     runs = longest_common_runs(generated.where(F.size("seq") > 0), train)

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segno.shared import written
+
+from .quantiles import SMALL, quantiles
+
 
 def _fields(df: DataFrame, name: str) -> Column:
     return F.struct(*[F.col(c) for c in df.columns]).alias(name)
@@ -88,17 +92,21 @@ def unpivot(df: DataFrame, ids: list[str], columns: list[str], name: str, value:
     return df.unpivot(ids, columns, name, value)
 
 
-def eight_numbers(df: DataFrame, by: list[str], value: str, sample: bool = True) -> DataFrame:
-    """n, mean, std, median, p25, p75, min and max of the values that are there.
+def eight_numbers(df: DataFrame, by: list[str], value: str, sample: bool = True, small: int = SMALL) -> DataFrame:
+    """n, mean, std, median, p25, p75, min and max of the values that are there; NaN counts as missing.
 
-    ``std`` is that of a sample (null for one value) or, as asked, of the population.
+    ``std`` is that of a sample (null for one value) or, as asked, of the population. A group without
+    values has n = 0. Quantiles of groups beyond ``small`` values are selected by rank, not in one task.
     """
     spread = F.stddev_samp if sample else F.stddev_pop
-    quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), spread(value).alias("std"), quartiles.alias("_q"), F.min(value).alias("min"), F.max(value).alias("max")
-    )
-    return out.select(*by, "n", "mean", "std", F.col("_q")[1].alias("median"), F.col("_q")[0].alias("p25"), F.col("_q")[2].alias("p75"), "min", "max")
+    number = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    held = written(df.select(*by, number.alias("x")))
+    out = held.groupBy(*by).agg(F.avg("x").alias("mean"), spread("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    ranks = quantiles(held.where("x is not null"), by, [0.25, 0.5, 0.75], small)
+    same = [F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")) for c in by] or [F.lit(True)]
+    met = out.alias("_a").join(ranks.alias("_b"), same, "left")
+    n, q = F.coalesce("_b.n", F.lit(0)).cast("long").alias("n"), F.col("_b.q")
+    return met.select(*[F.col(f"_a.{c}").alias(c) for c in by], n, "_a.mean", "_a.std", q[1].alias("median"), q[0].alias("p25"), q[2].alias("p75"), "_a.min", "_a.max")
 
 
 def required_join(wanted: DataFrame, found: DataFrame, keys: list[str], message: str) -> DataFrame:

@@ -89,9 +89,9 @@ def per_segment(segments: DataFrame, notes: DataFrame, chords: DataFrame, melodi
 
 
 def theme_means(rows: DataFrame, metrics: list[str] | None = None) -> DataFrame:
-    """(model, theme, metric, value): means over samples and chunks; text that is no number is null."""
+    """(model, theme, metric, value): means over samples and chunks; text that is no number, and NaN, count as missing."""
     metrics = metrics or METRICS
-    means = rows.groupBy("model", "theme").agg(*[F.avg(F.col(m).try_cast("double")).alias(m) for m in metrics])
+    means = rows.groupBy("model", "theme").agg(*[F.avg(F.when(~F.isnan(F.col(m).try_cast("double")), F.col(m).try_cast("double"))).alias(m) for m in metrics])
     return means.unpivot(["model", "theme"], metrics, "metric", "value")
 
 
