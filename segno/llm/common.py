@@ -2,43 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segno.shared import join_counted, settle, shared_folder, written
 from segno.shipping import ship_package
 
+__all__ = ["join_counted", "settle", "shared_folder", "written"]
+
 
 #: Arrow batches are handled in slices of about so many bytes.
 BATCH_BYTES = 8 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which the driver and all executors share.
-
-    Only a session on one machine may go without it, as in tests; it then gets a folder of its own.
-    """
-    context = spark.sparkContext
-    held = context._jsc.sc().getCheckpointDir()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
-    if not folder:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="segno-checkpoint-")
-    if held.isEmpty():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

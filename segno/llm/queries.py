@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, langid, license_scan, line_dedup, packing, periodic_runs, sharding, simhash, toxicity
+from . import decontaminate, exact_dedup, html_extract, langid, license_scan, line_dedup, packing, periodic_runs, sharding, simhash, toxicity, vector_codes, warc
 from .common import table
 
 QUERIES = {
     "op10_html_extraction": lambda spark, d: html_extract.extract_digest(table(spark, d, "pages")),
     "op11_periodic_runs": lambda spark, d: periodic_runs.runs_digest(table(spark, d, "documents")),
+    "op12_vector_codes": lambda spark, d: vector_codes.codes_digest(table(spark, d, "embeddings")),
+    "op13_warc": lambda spark, d: warc.archive_digest(table(spark, d, "pages")),
     "op1_license_scan": lambda spark, d: license_scan.license_digest(table(spark, d, "documents")),
     "op2_sharding": lambda spark, d: sharding.sharding_digest(table(spark, d, "documents")),
     "op3_line_dedup": lambda spark, d: line_dedup.dedup_lines(table(spark, d, "documents")),
@@ -21,6 +23,8 @@ QUERIES = {
 
 ORACLES = {
     "op11_periodic_runs": periodic_runs.SQL,
+    "op12_vector_codes": vector_codes.SQL,
+    "op13_warc": warc.SQL,
     "op1_license_scan": license_scan.SQL,
     "op6_decontamination": decontaminate.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
