@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import divergence, sampling
+from .distances import distance_samples
 
 
 def selections(df: DataFrame, key: str, k: int, seeds: list[int]) -> DataFrame:
@@ -28,8 +29,7 @@ def half_noise(vectors: DataFrame, by: list[str], seeds: list[int]) -> DataFrame
     a = cut.where("half = 'a'").drop("half")
     b = cut.where("half = 'b'").withColumnRenamed("half", "model")
     key = [*by, "trial"]
-    bins = divergence.binned(divergence.pair_distances(a, b, key), key).persist()  # BINS rows a sample, read by every density
-    return divergence.kl_and_overlap(bins, key).drop("model")
+    return divergence.kl_and_overlap(distance_samples(a, b, key), key).drop("model")
 
 
 def bias(real: DataFrame, generated: DataFrame, by: list[str], k: int, seeds: list[int]) -> DataFrame:
@@ -39,8 +39,7 @@ def bias(real: DataFrame, generated: DataFrame, by: list[str], k: int, seeds: li
     """
     chosen = selections(real, "id", k, seeds)
     key = [*by, "trial"]
-    bins = divergence.binned(divergence.pair_distances(real.join(chosen, "id"), generated.join(chosen, "id"), key), key).persist()  # BINS rows a sample
-    return divergence.kl_and_overlap(bins, key)
+    return divergence.kl_and_overlap(distance_samples(real.join(chosen, "id"), generated.join(chosen, "id"), key), key)
 
 
 def summary(measured: DataFrame, by: list[str]) -> DataFrame:

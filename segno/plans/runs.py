@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segno.operators import relational, sampling, state
+from segno.shared import shared_folder
 from segno.sources.tables import curve_summary, loss_curve
 from segno.streaming import streams
 
@@ -211,12 +211,7 @@ def stream_counts(spark, d):
 
 def _run_folder(spark) -> str:
     """A new folder for a stream's output and state, shared by driver and executors."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="segno-stream-")
-    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _event_stream(spark, d) -> DataFrame:
@@ -226,10 +221,14 @@ def _event_stream(spark, d) -> DataFrame:
 
 @query("stream_dedupe", "SELECT user_id, event_type FROM events GROUP BY ALL")
 def stream_dedupe(spark, d):
-    """The first event of each user and type of a stream, whose state holds every key."""
+    """Each user and type of a stream, told once in all: what the state forgot behind the watermark is met again in the output.
+
+    The state holds the keys of the last half year of events; the output, which is read back, has the rest.
+    """
     run = _run_folder(spark)
-    streams.run_available(streams.without_repeats(_event_stream(spark, d).select("user_id", "event_type"), ["user_id", "event_type"], late=None), f"{run}/out", f"{run}/state")
-    return spark.read.parquet(f"{run}/out")
+    rows = _event_stream(spark, d).select("ts", "user_id", "event_type")
+    streams.run_available(streams.without_repeats(rows, ["user_id", "event_type"], late="180 days").drop("ts"), f"{run}/out", f"{run}/state")
+    return spark.read.parquet(f"{run}/out").distinct()
 
 
 @query("tumbling_window_batch", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")

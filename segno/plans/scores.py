@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from segno.functions import music
 from segno.operators import domain, relational
+from segno.shared import shared_folder, written
+from segno.sources import score_source, sinks
+from segno.streaming import streams
 
 from .bindings import CHORDS, NOTES, PIECE, PIECE_NOTES, chords, notes, piece_notes, pieces, table, with_ctes
 from .registry import query
@@ -90,12 +95,41 @@ opened AS (SELECT *, coalesce(last_value(CASE WHEN tie = 'start' THEN 1 WHEN tie
 chained AS (SELECT *, sum(CASE WHEN tie IN ('continue', 'stop') AND o = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY theme, model, sample_idx, chunk_idx ORDER BY seq_no) AS chain FROM opened)"""
 
 
-@query("tie_chain_sessions", with_ctes(NOTES, TIES) + " SELECT theme, model, sample_idx, chunk_idx, chain::BIGINT AS chain, count(*) AS n, sum(ticks)::BIGINT AS ticks FROM chained GROUP BY ALL")
+CHAINS = " SELECT theme, model, sample_idx, chunk_idx, chain::BIGINT AS chain, count(*) AS n, sum(ticks)::BIGINT AS ticks FROM chained GROUP BY ALL"
+
+
+@query("tie_chain_sessions", with_ctes(NOTES, TIES) + CHAINS)
 def tie_chains(spark, d):
     got = domain.tie_chains(_tied(spark, d), BY, ["seq_no"])
     return got.groupBy(*BY, "chain").agg(F.count(F.lit(1)).alias("n"), F.sum("ticks").alias("ticks"))
 
 
+@query("stream_tie_chains", with_ctes(NOTES, TIES) + CHAINS)
+def stream_tie_chains(spark, d):
+    """The same chains from a stream: notes arrive in three portions, and chains stay open from one to the next."""
+    folder = f"{shared_folder(spark).rstrip('/')}/chains-{uuid.uuid4().hex}"
+    tied = written(_tied(spark, d).select(*BY, "seq_no", "tie", "ticks"))
+    for low, high in ((1, 5), (6, 9), (10, None)):
+        tied.where(F.col("seq_no") >= low).where(F.lit(True) if high is None else F.col("seq_no") <= high).write.parquet(f"{folder}/in/from={low}")
+        stream = spark.readStream.schema(tied.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        streams.upsert_chains(stream, BY, "seq_no", f"{folder}/out", f"{folder}/state")
+    return streams.latest_chains(spark, f"{folder}/out", BY)
+
+
+@query("score_round_trip", BASE + " SELECT theme::VARCHAR AS theme, model, (row_number() OVER (PARTITION BY theme, model ORDER BY start_s, pitch) - 1)::INTEGER AS seq_no, pitch, velocity, start_s, end_s, 120.0::DOUBLE AS bpm FROM piece_notes")
+def score_round_trip(spark, d):
+    """Pieces written as MIDI files by the data source, all or nothing, and read back by it."""
+    folder = f"{shared_folder(spark).rstrip('/')}/scores-{uuid.uuid4().hex}"
+    score_source.register(spark)
+    made = sinks.encoded_scores(piece_notes(spark, d), PIECE)
+    made = made.select(F.concat(F.col("theme").cast("string"), F.lit("/"), F.col("model"), F.lit(".mid")).alias("path"), "content")
+    made.write.format("segno_scores").mode("append").save(folder)
+    read = spark.read.format("segno_scores").option("kind", "midi").load(folder)
+    failed = F.when(F.col("error").isNotNull(), F.raise_error(F.concat("path", F.lit(": "), "error")).cast("string"))
+    theme, model = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), F.regexp_extract("path", r"([^/]+)\.mid$", 1)
+    return read.select(F.coalesce(failed, theme).alias("theme"), model.alias("model"), "seq_no", "pitch", "velocity", "start_s", "end_s", "bpm")
+
+
 VOCABULARY = [1, 2, 4, 6, 8, 12, 16]
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from segno.functions import music
 from segno.operators import copying, divergence, domain, relational, summary
 from segno.operators import segment_metrics as seg
+from segno.shared import written
 
 from .bindings import CHORDS, GENERATED, MEASURES, MODELS, NOTES, REAL, SEGMENTS, chords, measure_events, melodies, notes, segments, with_ctes
 from .registry import query
@@ -185,26 +186,30 @@ def _corpora(spark, d, models: list[str] = GENERATED) -> tuple[DataFrame, DataFr
     return rows.where(F.col("model").isin(models)).select("model", name.alias("chunk"), "seq"), train
 
 
-LCS = f"""{with_ctes(NOTES, SEQUENCES)},
+def lcs_sql(models: list[str]) -> str:
+    """CTEs that end in ``s``, the pieces, and ``g`` (model, chunk, x), the longest run of each chunk of these models."""
+    names = ", ".join(f"'{m}'" for m in models)
+    return f"""
 s AS (SELECT theme || '-' || sample_idx || '-' || chunk_idx AS theme, model, seq FROM seqs),
-a AS (SELECT model, theme AS chunk, k, seq[k] AS v FROM (SELECT model, theme, seq, unnest(range(1, len(seq) + 1)) AS k FROM s WHERE model <> '{REAL}')),
+a AS (SELECT model, theme AS chunk, k, seq[k] AS v FROM (SELECT model, theme, seq, unnest(range(1, len(seq) + 1)) AS k FROM s WHERE model IN ({names}))),
 b AS (SELECT theme AS piece, k, seq[k] AS v FROM (SELECT theme, seq, unnest(range(1, len(seq) + 1)) AS k FROM s WHERE model = '{REAL}')),
 m AS (SELECT model, chunk, piece, a.k AS i, a.k - b.k AS diag FROM a JOIN b USING (v)),
 r AS (SELECT model, chunk, piece, diag, i - row_number() OVER (PARTITION BY model, chunk, piece, diag ORDER BY i) AS island FROM m),
 l AS (SELECT model, chunk, max(n) AS lcs FROM (SELECT model, chunk, count(*) AS n FROM r GROUP BY model, chunk, piece, diag, island) GROUP BY ALL),
-g AS (SELECT s.model, theme AS chunk, coalesce(lcs, 0)::DOUBLE AS x FROM s LEFT JOIN l ON s.model = l.model AND s.theme = l.chunk WHERE s.model <> '{REAL}' AND len(seq) > 0)
-"""
+g AS (SELECT s.model, theme AS chunk, coalesce(lcs, 0)::DOUBLE AS x FROM s LEFT JOIN l ON s.model = l.model AND s.theme = l.chunk WHERE s.model IN ({names}) AND len(seq) > 0)"""
 
 
-@query("lcs_runs", LCS + " SELECT model, chunk, x::BIGINT AS lcs FROM g")
+LCS_NUMBERS = "count(x) AS n_gen_chunks_lcs, avg(x) AS mean, stddev_pop(x) AS std, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.75) AS p75, min(x) AS min, max(x) AS max"
+
+
+@query("lcs_runs", with_ctes(NOTES, SEQUENCES, lcs_sql(GENERATED)) + " SELECT model, chunk, x::BIGINT AS lcs FROM g")
 def lcs_runs(spark, d):
     generated, train = _corpora(spark, d)
-    return copying.longest_common_runs(generated.where(F.size("seq") > 0), train).withColumn("lcs", F.col("lcs").cast("long"))
+    return copying.longest_common_runs(generated.where(F.size("seq") > 0), train)
 
 
-@query("lcs_max_stats", LCS + f""" SELECT model, n_gen_chunks, n_gen_chunks_lcs, {EIGHT.replace('n, ', '', 1)} FROM
-(SELECT model, count(*) AS n_gen_chunks FROM s WHERE model <> '{REAL}' GROUP BY 1) LEFT JOIN
-(SELECT model, count(x) AS n_gen_chunks_lcs, avg(x) AS mean, stddev_pop(x) AS std, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.75) AS p75, min(x) AS min, max(x) AS max FROM g GROUP BY 1) USING (model)""")
+@query("lcs_max_stats", with_ctes(NOTES, SEQUENCES, lcs_sql(GENERATED)) + f""" SELECT model, n_gen_chunks, n_gen_chunks_lcs, {EIGHT.replace('n, ', '', 1)} FROM
+(SELECT model, count(*) AS n_gen_chunks FROM s WHERE model <> '{REAL}' GROUP BY 1) LEFT JOIN (SELECT model, {LCS_NUMBERS} FROM g GROUP BY 1) USING (model)""")
 def lcs_stats(spark, d):
     out = copying.lcs_summary(*_corpora(spark, d))
     return out.select("model", "n_gen_chunks", "n_gen_chunks_lcs", *[F.round(c, 12).alias(c) for c in ("mean", "std", "median", "p25", "p75", "min", "max")])
@@ -292,14 +297,30 @@ def final_human_pivot(spark, d):
 # --- all four groups ----------------------------------------------------------------------------
 
 
+def plagiarism_sql(models: list[str]) -> str:
+    """CTEs from ``seqs`` that end in ``copied``, a row per model."""
+    names = ", ".join(f"'{m}'" for m in models)
+    grams = lambda n: f"SELECT model, {n} AS size, seq[k:k + {n - 1}] AS gram FROM (SELECT model, seq, unnest(range(1, greatest(1, len(seq) - {n - 2}))) AS k FROM seqs)"
+    wide = ", ".join(f"max(overlap) FILTER (size = {n}) AS ngram_overlap_n{n}, max(n) FILTER (size = {n}) AS n_gen_ngrams_n{n}" for n in copying.SIZES)
+    return f"""{lcs_sql(models)},
+grams AS ({" UNION ALL ".join(grams(n) for n in copying.SIZES)}),
+pools AS (SELECT model, size, count(*) AS n, count(train.gram)::DOUBLE / count(*) AS overlap FROM (SELECT * FROM grams WHERE model IN ({names})) LEFT JOIN (SELECT DISTINCT size, gram FROM grams WHERE model = '{REAL}') train USING (size, gram) GROUP BY ALL),
+copied AS (SELECT * FROM (SELECT model, {wide} FROM pools GROUP BY 1) JOIN (SELECT model, count(*) AS n_gen_chunks FROM s GROUP BY 1) USING (model) JOIN (SELECT model, {LCS_NUMBERS} FROM g GROUP BY 1) USING (model))"""
+
+
 def plagiarism_rows(spark, d, models: list[str]) -> DataFrame:
-    """A row per model: the overlaps of three sizes and the seven numbers of the longest runs."""
-    runs = copying.lcs_summary(*_corpora(spark, d, models))
-    out = runs.select("model", "n_gen_chunks", "n_gen_chunks_lcs", *[F.col(c).alias(f"lcs_max_{c}") for c in summary.STATS[:7]])
-    for n in (3, 4, 5):
-        pool = _pools(spark, d, n, models)
-        out = out.join(pool.select("model", F.col("n_grams").alias(f"n_grams_n{n}"), F.col("n_copied").alias(f"n_copied_n{n}"), F.col("overlap").alias(f"ngram_overlap_n{n}")), "model", "left")
-    return out
+    return copying.plagiarism(*_corpora(spark, d, models), models)
+
+
+SHARES = [f"ngram_overlap_n{n}" for n in copying.SIZES]
+SEVEN = summary.STATS[:7]
+
+
+@query("plagiarism_driver", with_ctes(NOTES, SEQUENCES, plagiarism_sql(GENERATED)) + f""" SELECT model, {", ".join(f"round({c}, 9) AS {c}" for c in SHARES)}, {", ".join(f"round({c}, 9) AS lcs_max_{c}" for c in SEVEN)},
+n_gen_chunks, n_gen_chunks_lcs, {", ".join(f"n_gen_ngrams_n{n}" for n in copying.SIZES)}, (SELECT count(*) FROM s WHERE model = '{REAL}') AS n_train_pieces FROM copied""")
+def plagiarism_driver(spark, d):
+    out = plagiarism_rows(spark, d, GENERATED)
+    return out.select(*[F.round(c, 9).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes])
 
 
 def full_table(spark, d) -> DataFrame:
@@ -307,23 +328,36 @@ def full_table(spark, d) -> DataFrame:
     from .corpora import features_against_real
 
     found = seg.aggregates(_per_segment(spark, d)).withColumnRenamed("metric", "key")
-    copied = plagiarism_rows(spark, d, MODELS)
-    values = F.explode(F.array(*[F.struct(F.lit(f"ngram_overlap_n{n}").alias("key"), F.col(f"ngram_overlap_n{n}").alias("value")) for n in (3, 4, 5)])).alias("v")
+    copied = written(plagiarism_rows(spark, d, MODELS))
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c in SHARES])).alias("v")
     parts = [
         summary.master_rows(found, "aggregates", "key"),
         summary.master_rows(features_against_real(spark, d, MODELS).withColumnRenamed("feature", "key"), "mgeval", "key"),
         summary.master_rows(_jsd(spark, d, MODELS).select("model", F.lit("jsd").alias("key"), F.col("jsd").alias("value")), "bar_rhythm_jsd", "key"),
         summary.master_rows(copied.select("model", values).select("model", "v.key", "v.value"), "plagiarism", "key"),
-        summary.master_rows(copied.select("model", F.lit("lcs_max").alias("key"), *[F.col(f"lcs_max_{c}").alias(c) for c in summary.STATS[:7]]), "plagiarism", "key"),
+        summary.master_rows(copied.select("model", F.lit("lcs_max").alias("key"), *[F.col(f"lcs_max_{c}").alias(c) for c in SEVEN]), "plagiarism", "key"),
     ]
-    return summary.final_table(reduce(DataFrame.unionByName, parts), MODELS)
+    return summary.final_table(reduce(DataFrame.unionByName, [written(p) for p in parts]), MODELS)
 
 
-@query("plagiarism_driver")
-def plagiarism_driver(spark, d):
-    return plagiarism_rows(spark, d, GENERATED)
+def _full_sql() -> str:
+    """The whole final table: the CTEs of all four groups, each in a subquery of its own."""
+    from .corpora import features_sql
+
+    blank = ", ".join(f"NULL::DOUBLE AS {c}" for c in SEVEN)
+    aggregates = f"{ALL}, {LONG} SELECT 'aggregates' AS source, model, metric AS key, mean, std, median, p25, p75, min, max, NULL::DOUBLE AS kl, NULL::DOUBLE AS oa, NULL::DOUBLE AS value FROM (SELECT model, metric, {NUMBERS} FROM means GROUP BY ALL)"
+    features = f"{features_sql(MODELS)} SELECT 'mgeval', model, grp, {blank}, kl, oa, NULL FROM measured"
+    rhythm = JSD.split("\nSELECT")[0].replace(f"WHERE model <> '{REAL}'", "") + f" SELECT 'bar_rhythm_jsd', model, 'jsd', {blank}, NULL, NULL, sum(CASE WHEN a > 0 THEN a * ln(a / ((a + b) / 2)) ELSE 0 END) * 0.5::DOUBLE + sum(CASE WHEN b > 0 THEN b * ln(b / ((a + b) / 2)) ELSE 0 END) * 0.5::DOUBLE FROM f GROUP BY model"
+    copied = f"""{with_ctes(NOTES, SEQUENCES, plagiarism_sql(MODELS))} SELECT 'plagiarism', model, 'lcs_max', {", ".join(SEVEN)}, NULL, NULL, NULL FROM copied
+UNION ALL SELECT 'plagiarism', model, key, {blank}, NULL, NULL, value FROM (UNPIVOT (SELECT model, {", ".join(SHARES)} FROM copied) ON {", ".join(SHARES)} INTO NAME key VALUE value)"""
+    wanted = ", ".join(f"({k}, '{m[0]}', '{m[1]}', '{m[2]}', '{m[3]}')" for k, m in enumerate(summary.FINAL_METRICS))
+    cell = f"CASE WHEN grp IN ('A', 'D') THEN {_CELL} WHEN grp = 'B' THEN 'KL = ' || {_F.format('kl')} || chr(10) || 'OA = ' || {_F.format('oa')} ELSE {_F.format('value')} END"
+    return f"""SELECT metric, {", ".join(f"coalesce(max(CASE WHEN model = '{m}' THEN {cell} END), '') AS \"{m}\"" for m in MODELS)}
+FROM (VALUES {wanted}) v(ord, metric, grp, source, key) JOIN (
+(SELECT * FROM ({aggregates})) UNION ALL (SELECT * FROM ({features})) UNION ALL (SELECT * FROM ({rhythm})) UNION ALL (SELECT * FROM ({copied}))) found USING (source, key)
+GROUP BY ord, metric ORDER BY ord"""
 
 
-@query("final_human_all_groups")
+@query("final_human_all_groups", _full_sql())
 def final_human_all_groups(spark, d):
     return summary.human_table(full_table(spark, d), MODELS)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from segno.operators import checks, domain, loading, state, studies
 
 from .bindings import NOTES, PIECE, PIECE_NOTES, piece_notes, table, with_ctes
-from .corpora import KDE_SQL
+from .corpora import densities_sql
 from .registry import query
 from .runs import NAMES, STATE, _files, _samples, _themes
 
@@ -154,28 +154,17 @@ def union_of_trials(spark, d):
 
 
 NOISE = f"""WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings),
-cut AS (SELECT trial::VARCHAR AS model, id, vec, row_number() OVER p <= n // 2 AS a FROM (SELECT *, count(*) OVER (PARTITION BY trial) AS n FROM v, (SELECT unnest({TRIALS}) AS trial)) WINDOW p AS (PARTITION BY trial ORDER BY md5(trial || '-' || id), id)),
-dists AS (SELECT x.model, 'intra' AS kind, list_distance(x.vec, y.vec) AS dist, 2 AS w FROM cut x JOIN cut y ON x.model = y.model AND x.id < y.id WHERE x.a AND y.a
-          UNION ALL SELECT x.model, 'inter', list_distance(x.vec, y.vec), 1 FROM cut x JOIN cut y ON x.model = y.model WHERE x.a AND NOT y.a),"""
-OWN = "j AS (SELECT model, kind, low, high, x, w, n, h FROM s),"
-
-
-def _noise_sql(last: str) -> str:
-    """The SQL of KL and overlap over samples that each trial has for itself."""
-    begin, end = KDE_SQL.index("ends AS"), KDE_SQL.index("SELECT model, round(kl, 5)")
-    body = KDE_SQL[begin:end]
-    own = body.index("models AS"), body.index("e AS (SELECT DISTINCT")
-    return f"{NOISE}\n{body[: own[0]]}{OWN}\n{body[own[1] :]}{last}"
-
-
-@query("half_noise_kl_oa", _noise_sql("SELECT model::INTEGER AS trial, round(kl, 5) AS kl, round(oa, 5) AS oa FROM kl JOIN oa USING (model)"))
+cut AS (SELECT trial AS grp, id, vec, row_number() OVER p <= n // 2 AS a FROM (SELECT *, count(*) OVER (PARTITION BY trial) AS n FROM v, (SELECT unnest({TRIALS}) AS trial)) WINDOW p AS (PARTITION BY trial ORDER BY md5(trial || '-' || id), id)),
+dists AS (SELECT x.grp, NULL AS model, 'intra' AS kind, list_distance(x.vec, y.vec) AS dist, 2 AS w FROM cut x JOIN cut y ON x.grp = y.grp AND x.id < y.id WHERE x.a AND y.a
+          UNION ALL SELECT x.grp, 'b', 'inter', list_distance(x.vec, y.vec), 1 FROM cut x JOIN cut y ON x.grp = y.grp WHERE x.a AND NOT y.a),{densities_sql(8192)}"""
+@query("half_noise_kl_oa", NOISE + " SELECT grp::INTEGER AS trial, round(kl, 5) AS kl, round(oa, 5) AS oa FROM measured")
 def half_noise(spark, d):
     """All embeddings as one corpus: half of it against the other, in five trials."""
     vectors = table(spark, d, "embeddings").select(F.lit("embedding").alias("feature"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
     return studies.half_noise(vectors, ["feature"], TRIALS).select("trial", F.round("kl", 5).alias("kl"), F.round("oa", 5).alias("oa"))
 
 
-@query("half_noise_summary", _noise_sql("SELECT count(*) AS n_trials, " + ", ".join(f"round(avg({v}), 4) AS {v}_mean, round(stddev_pop({v}), 4) AS {v}_std, round(min({v}), 4) AS {v}_min, round(max({v}), 4) AS {v}_max" for v in ("kl", "oa")) + " FROM kl JOIN oa USING (model)"))
+@query("half_noise_summary", NOISE + " SELECT count(*) AS n_trials, " + ", ".join(f"round(avg({v}), 4) AS {v}_mean, round(stddev_pop({v}), 4) AS {v}_std, round(min({v}), 4) AS {v}_min, round(max({v}), 4) AS {v}_max" for v in ("kl", "oa")) + " FROM measured")
 def half_noise_summary(spark, d):
     vectors = table(spark, d, "embeddings").select(F.lit("embedding").alias("feature"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
     out = studies.summary(studies.half_noise(vectors, ["feature"], TRIALS), ["feature"])

@@ -1,9 +1,15 @@
-"""Streaming forms: counts in windows, deduplication, and results that arrive bit by bit."""
+"""Streaming forms: counts in windows, deduplication, tie chains that stay open, and results that arrive bit by bit."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from segno.shipping import ship_package
 
 
 def tumbling_counts(events: DataFrame, at: str = "ts", by: str = "event_type", window: str = "1 hour", late: str | None = "10 minutes") -> DataFrame:
@@ -41,3 +47,58 @@ def upsert_counts(events: DataFrame, path: str, checkpoint: str, **window) -> Da
 def append_results(results: DataFrame, sink, checkpoint: str) -> None:
     """Hand each batch of new results to ``sink(df, number)``, which may upsert them."""
     results.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def tie_chains(notes: DataFrame, by: list[str], order: str, quiet: str | None = None) -> DataFrame:
+    """(by, chain, n, ticks, open): the tie chains of a stream of notes, told whenever a batch changes them.
+
+    ``notes`` has ``by``, ``order``, tie and ticks; a piece's notes come in order from batch to batch, in any
+    order within one. The state of a piece is its open chain: number, notes, length, and whether a tie may go
+    on. A start opens one; continue and stop go on if one is open. With ``quiet`` the state of a piece that had no
+    notes for so long (processing time, as "1 hour") goes, and a later note begins at chain 1 again.
+    """
+    ship_package(notes.sparkSession)
+    wait = None if quiet is None else int(pd.Timedelta(quiet).total_seconds() * 1000)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in notes.select(*by).schema)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        chain, n, ticks, may = state.get if state.exists else (0, 0, 0, False)
+        rows = pd.concat(batches).sort_values(order, kind="stable")
+        out = []
+        for tie, length in zip(rows["tie"], rows["ticks"], strict=True):
+            if may and tie in ("continue", "stop"):
+                n, ticks = n + 1, ticks + int(length)
+            else:
+                if n:
+                    out.append((chain, n, ticks, False))
+                chain, n, ticks = chain + 1, 1, int(length)
+            may = tie == "start" or (may and isinstance(tie, str))
+        out.append((chain, n, ticks, True))
+        state.update((chain, n, ticks, bool(may)))
+        if wait is not None:
+            state.setTimeoutDuration(wait)
+        told = pd.DataFrame(out, columns=["chain", "n", "ticks", "open"])
+        for place, name in enumerate(by):
+            told.insert(place, name, key[place])
+        yield told
+
+    timer = GroupStateTimeout.NoTimeout if wait is None else GroupStateTimeout.ProcessingTimeTimeout
+    return notes.select(*by, order, "tie", "ticks").groupBy(*by).applyInPandasWithState(step, f"{kinds}, chain long, n long, ticks long, open boolean", "chain long, n long, ticks long, may boolean", "update", timer)
+
+
+def upsert_chains(notes: DataFrame, by: list[str], order: str, path: str, checkpoint: str, quiet: str | None = None) -> None:
+    """Lay down the chains that each batch of a stream changed, in a folder of its own number, and stop when what arrived is read.
+
+    The next call goes on from the checkpoint, with the chains that were open.
+    """
+    sink = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/run={number}")
+    tie_chains(notes, by, order, quiet).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest_chains(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
+    """(by, chain, n, ticks): every chain as the last batch that changed it told it."""
+    rows = spark.read.parquet(path).groupBy(*by, "chain").agg(F.max_by(F.struct("n", "ticks"), "batch").alias("x"))
+    return rows.select(*by, "chain", "x.n", "x.ticks")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segno.functions import music
-from segno.operators import copying, corpus_features, divergence, domain, relational, sampling, state, summary
+from segno.operators import copying, corpus_features, distances, divergence, domain, relational, sampling, state, summary
 from segno.operators import segment_metrics as seg
 
 NOTE = "theme long, model string, sample_idx int, chunk_idx int, seq_no int, pitch int, start_s double, end_s double"
@@ -110,8 +110,8 @@ def test_kl_and_overlap_separate_equal_from_distant_corpora(spark):
     real = spark.createDataFrame([("f", i, v) for i, v in vec("r", 0)], "feature string, id string, vec array<double>")
     rows = [("f", i, v, "same") for i, v in vec("s", 0)] + [("f", i, v, "far") for i, v in vec("t", 50)]
     made = spark.createDataFrame(rows, "feature string, id string, vec array<double>, model string")
-    bins = divergence.binned(divergence.pair_distances(real, made, ["feature"]), ["feature"])
-    got = {r["model"]: r for r in divergence.kl_and_overlap(bins, ["feature"]).collect()}
+    samples = distances.distance_samples(real, made, ["feature"], block=16)
+    got = {r["model"]: r for r in divergence.kl_and_overlap(samples, ["feature"]).collect()}
     assert got["same"]["oa"] > 0.8 and got["far"]["oa"] < 0.05 and got["same"]["kl"] < 0.3
 
 
