@@ -16,7 +16,8 @@ Defined results
 * A window is ``width`` consecutive words of an item; an item of fewer words, but not none, is one
   window; an item of none has no window and occurs nowhere.
 * A document word inside any occurrence of any window is hit. A null text has no words.
-* Items whose identifier repeats count once; a null item identifier is left out.
+* Identifiers of items are read as text. Items whose identifier repeats count once. Items without one are
+  searched like others and count as one item, which the list of identifiers does not name.
 * Every row has a result of its own, those that repeat an identifier or have none too.
 * A document is contaminated if it has a hit and at least ``share`` of its words are hit.
 * Empty tables: no documents give no rows; no items give rows without hits.
@@ -48,14 +49,18 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORD).split()
 
 
+def _null_last(item: str | None) -> tuple[bool, str]:
+    return item is None, item or ""
+
+
 class Queries:
     """Distinct phrases as rows of term numbers, and the items that hold them."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int):
+    def __init__(self, items: list[tuple[str | None, str]], width: int):
         self.width = width
         self.terms: dict[bytes, int] = {}
         phrases: dict[tuple[int, ...], int] = {}
-        holders: list[set[int]] = []
+        holders: list[set[str | None]] = []
         for item, text in items:
             ids = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
             for k in range(max(1, len(ids) - width + 1) if ids else 0):
@@ -66,7 +71,7 @@ class Queries:
         self.sizes = np.array([len(p) for p in phrases], dtype=np.int64)
         #: Short phrases repeat their first term, which asks for nothing new.
         self.phrases = np.array([p + (p[0],) * (width - len(p)) for p in phrases], dtype=np.int32).reshape(len(phrases), width)
-        self.holders = [sorted(h) for h in holders]
+        self.holders = [sorted(h, key=_null_last) for h in holders]
 
 
 def postings(batch_words: list[list[int]], n_terms: int, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,7 +172,7 @@ def search(index: DataFrame, queries: Queries, slop: int = 0) -> DataFrame:
 
         return step
 
-    return map_batches(index, "doc_id long, n_words long, hit_words array<int>, items array<long>, near_items array<long>", make)
+    return map_batches(index, "doc_id long, n_words long, hit_words array<int>, items array<string>, near_items array<string>", make)
 
 
 def _search_segment(row: dict, q: Queries, slop: int, out: dict[str, list]) -> None:
@@ -178,8 +183,8 @@ def _search_segment(row: dict, q: Queries, slop: int, out: dict[str, list]) -> N
     counts[np.frombuffer(row["terms"], dtype=np.int32)] = np.frombuffer(row["counts"], dtype=np.int32)
     begins = np.concatenate([[0], np.cumsum(counts)])
     change = np.zeros(int(starts[-1]) + 1, dtype=np.int32)
-    held: list[set[int]] = [set() for _ in range(n_docs)]
-    near: list[set[int]] = [set() for _ in range(n_docs)]
+    held: list[set[str | None]] = [set() for _ in range(n_docs)]
+    near: list[set[str | None]] = [set() for _ in range(n_docs)]
     possible = np.flatnonzero((counts[q.phrases] > 0).all(axis=1)) if len(q.phrases) else ()
     for p in possible:
         size = int(q.sizes[p])
@@ -198,18 +203,18 @@ def _search_segment(row: dict, q: Queries, slop: int, out: dict[str, list]) -> N
     out["doc_id"] += row["docs"]
     out["n_words"] += row["n_words"]
     out["hit_words"] += [hit[within[d] : within[d + 1]] - starts[d] for d in range(n_docs)]
-    out["items"] += [sorted(h) for h in held]
-    out["near_items"] += [sorted(h) for h in near]
+    out["items"] += [sorted(h, key=_null_last) for h in held]
+    out["near_items"] += [sorted(h, key=_null_last) for h in near]
 
 
 def _query_parts(benchmark: DataFrame, item_col: str, text_col: str):
     """For each part of the items, of bounded size, a function that reads it. One part unless large."""
-    items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[text_col].cast("string").alias("text"))
-    items = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    items = benchmark.select(benchmark[item_col].cast("string").alias("item_id"), benchmark[text_col].cast("string").alias("text"))
+    items = items.where(F.col("text").isNotNull())
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-size // QUERY_BYTES))
     for k in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else items
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else items
         yield lambda own=own: [(r["item_id"], r["text"]) for r in own.toLocalIterator()]
 
 
@@ -243,7 +248,7 @@ def contamination(
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's columns: 20 * n_hit >= n_words is a share of 0.05, held in whole numbers."""
     found = contamination(docs, benchmark)
-    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    ids = F.array_join(F.array_sort("items"), ",")
     return found.select(
         "doc_id", "n_words", "n_hit",
         F.size("items").cast("long").alias("n_items"),
