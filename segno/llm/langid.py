@@ -224,16 +224,33 @@ def language_digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", (id_crc32(F.col("doc_id")) % 3 == 1).alias("held_out"), "lang_pred", "score")
 
 
+#: N-grams below which a text is too short to be told from one in no language.
+TELLING = 16
+
+
+def rejected(text: str, filters: Filters) -> bool:
+    """Whether a text is in no language: it has no letter, or is long enough and no learned language has any of it."""
+    if not has_letter(text):
+        return True
+    if not filters.languages:
+        return False
+    return predict_text(text, filters)[1] == 0 and len(ngrams(text[:CHARS], filters.width)) >= TELLING
+
+
 def drop_unknown_language(docs: DataFrame) -> DataFrame:
-    """The rows whose language is known, with all their columns."""
+    """The rows that language ID does not reject, with all their columns.
+
+    Rejected are texts that are null, empty or without a letter, and those of TELLING n-grams and more whose
+    corrected counts are zero in every learned language. Where no row has a language to learn from, only the
+    former go. A text alone decides: repeated rows and rows without an identifier stay or go together. Texts
+    are read whole; an empty table gives no rows; names of other columns do not matter.
+    """
     filters = learn(docs)
-    if not filters.languages:
-        return docs.where(F.lit(False))
     ship_package(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # n_slots masks
 
     @F.pandas_udf("boolean")
     def known(text):
-        return text.map(lambda t: predict_text(t or "", shared.value)[0] != UNKNOWN)
+        return text.map(lambda t: not rejected(t or "", shared.value))
 
     return docs.where(known(docs["text"].cast("string")))
