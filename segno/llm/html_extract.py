@@ -29,6 +29,7 @@ import html
 import re
 import zlib
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +54,10 @@ MARKED = frozenset(
 )
 #: Those of them that mark reader comments, which may be articles of their own (fixed values).
 COMMENTS = frozenset("comment comments commentlist respond replies disqus".split())
+#: First parts of names by which an article is a teaser of another one (fixed values).
+TEASERS = frozenset("related recommended recommendations promo sponsored".split())
+#: Elements that can hold a list of comments (fixed values).
+CONTAINERS = frozenset("div section ul ol li article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that close an open paragraph (fixed values).
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -76,6 +81,8 @@ class Element:
     outside: bool  # within a part that holds no main text
     article: bool  # within an article or main element
     loose: bool = False  # outside only by a part of a compound name, which an article or main element within resets
+    story: bool = False  # within an article element
+    commented: bool = False  # within a container whose name is one of comments by its first or last part
 
 
 @dataclass
@@ -87,9 +94,19 @@ class Piece:
     breaks: bool
 
 
-def _marks(attributes: str) -> tuple[bool, bool, bool, bool]:
-    """Whether attributes mark an element as no main text, whether only a part of a compound name does, whether its role is main, and whether it has reader comments."""
-    marked = part = main = comments = False
+class Marks(NamedTuple):
+    """What attributes say of an element."""
+
+    marked: bool = False  # a whole name says that it is no main text
+    part: bool = False  # a part of a compound name does
+    main: bool = False  # its role is main
+    comments: bool = False  # a whole name says that it has reader comments
+    commented: bool = False  # the first or last part of a compound name does
+    teaser: bool = False  # a name begins like those of teasers
+
+
+def _marks(attributes: str) -> Marks:
+    marked = part = main = comments = commented = teaser = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name == "hidden":
@@ -99,10 +116,16 @@ def _marks(attributes: str) -> tuple[bool, bool, bool, bool]:
             main = main or name == "role" and "main" in names
             marked = marked or not MARKED.isdisjoint(names)
             comments = comments or not COMMENTS.isdisjoint(names)
-            part = part or any(not MARKED.isdisjoint(_NAMES.split(x)) for x in names)
+            parts = [_NAMES.split(x) for x in names]
+            part = part or any(not MARKED.isdisjoint(x) for x in parts)
+            commented = commented or any(x[0] in COMMENTS or x[-1] in COMMENTS for x in parts)
+            teaser = teaser or any(x[0] in TEASERS for x in parts)
         elif name == "style" and "display:none" in "".join(values).replace(" ", "").lower():
             marked = True
-    return marked, part, main, comments
+    return Marks(marked, part, main, comments, commented, teaser)
+
+
+NOTHING = Marks()
 
 
 def read_page(page: str) -> tuple[list[str], list[Piece]]:
@@ -164,19 +187,21 @@ def read_page(page: str) -> tuple[list[str], list[Piece]]:
                     break
         above = stack[-1]
         attributes = found.group(3)
-        marked, part, main, comments = _marks(attributes) if attributes else (False, False, False, False)
-        main = main or tag in ("article", "main")
+        marks = _marks(attributes) if attributes else NOTHING
+        main = marks.main or tag in ("article", "main")
+        commented = above.commented or marks.commented and tag in CONTAINERS
         strict = above.outside and not above.loose
         outside = above.outside
         if tag in HEADINGS and above.article and above.tag == "header":
             strict = outside = False  # an article's own heading
         elif main:
-            strict = strict or comments and tag == "article"
+            strict = strict or tag == "article" and (marks.comments or commented or marks.teaser)
             outside = strict
         elif tag not in ("html", "body"):
-            strict = strict or tag in OUTSIDE or marked
-            outside = outside or strict or part
-        element = Element(tag, f"{above.path}>{tag}", outside, above.article or main, outside and not strict)
+            # Within a story a part of a name says nothing: a search-results list or a share-price is of the text.
+            strict = strict or tag in OUTSIDE or marks.marked or commented and not above.story
+            outside = outside or strict or marks.part and not above.story
+        element = Element(tag, f"{above.path}>{tag}", outside, above.article or main, outside and not strict, above.story or tag == "article", commented)
         tokens.append(element.path)
         if tag in VOID or attributes.endswith("/") and tag not in RAW:
             continue
@@ -202,9 +227,18 @@ def _clean(piece: str) -> str:
     return " ".join(html.unescape(piece).split())
 
 
+#: A sentence: some words up to a full stop or the like.
+_SENTENCE = re.compile(r"(?:\S+\s+){3,}\S*[.!?\u2026][\"'\u2019\u201d)]*$")
+
+
 def _of_template(piece: Piece, template: frozenset[int]) -> bool:
-    """Whether a piece is a text token of the template, nested in an element of it; other pieces are in slots."""
+    """Whether a piece is a text token of the template, nested in an element of it; other pieces are in slots.
+
+    That pages share a sentence inside their articles does not make it template: it may be what they tell.
+    """
     path = piece.element.path
+    if piece.element.article and _SENTENCE.search(_clean(piece.text)):
+        return False
     return (not path or token_hash(path) in template) and token_hash(f"{path}|{_clean(piece.text)}") in template
 
 
