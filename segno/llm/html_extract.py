@@ -227,8 +227,13 @@ def _clean(piece: str) -> str:
     return " ".join(html.unescape(piece).split())
 
 
-#: A sentence: some words up to a full stop or the like.
-_SENTENCE = re.compile(r"(?:\S+\s+){3,}\S*[.!?\u2026][\"'\u2019\u201d)]*$")
+#: What a sentence ends with, behind closing quotes and brackets (fixed values).
+SENTENCE_ENDS = (".", "!", "?", "\u2026")
+
+
+def _is_sentence(text: str) -> bool:
+    """Four words or more, up to a full stop or the like."""
+    return text.rstrip("\"'\u2019\u201d)").endswith(SENTENCE_ENDS) and text.count(" ") >= 3
 
 
 def _of_template(piece: Piece, template: frozenset[int]) -> bool:
@@ -237,9 +242,10 @@ def _of_template(piece: Piece, template: frozenset[int]) -> bool:
     That pages share a sentence inside their articles does not make it template: it may be what they tell.
     """
     path = piece.element.path
-    if piece.element.article and _SENTENCE.search(_clean(piece.text)):
+    if path and token_hash(path) not in template:
         return False
-    return (not path or token_hash(path) in template) and token_hash(f"{path}|{_clean(piece.text)}") in template
+    text = _clean(piece.text)
+    return token_hash(f"{path}|{text}") in template and not (piece.element.article and _is_sentence(text))
 
 
 def _slots(pieces: list[Piece], template: frozenset[int]) -> list[Piece]:
