@@ -6,12 +6,18 @@ tempo and meter. A feature that a piece lacks has no row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segno.functions import music
+from segno.shipping import ship_package
+
+Maker = Callable[[DataFrame, DataFrame, list[str]], DataFrame]
 
 FEATURES = [
     "total_used_pitch", "total_used_note", "pitch_range", "avg_pitch_interval", "avg_ioi",
@@ -89,6 +95,41 @@ def note_length_features(notes: DataFrame, pieces: DataFrame, by: list[str]) ->
     return shares.unionByName(_vectors(counts, by, 144, "note_length_transition_matrix", unit=False))
 
 
-def all_features(notes: DataFrame, pieces: DataFrame, by: list[str]) -> DataFrame:
-    parts = [scalar_features(notes, by), pitch_class_histogram(notes, by), pitch_class_transitions(notes, by), note_length_features(notes, pieces, by)]
-    return reduce(DataFrame.unionByName, parts)
+#: What computes features: (notes, pieces, by) -> (by, feature, vec), with the names of the features that it gives.
+MAKERS: list[tuple[tuple[str, ...], Maker]] = [
+    (tuple(FEATURES[:5]), lambda notes, pieces, by: scalar_features(notes, by)),
+    (("total_pitch_class_histogram",), lambda notes, pieces, by: pitch_class_histogram(notes, by)),
+    (("pitch_class_transition_matrix",), lambda notes, pieces, by: pitch_class_transitions(notes, by)),
+    (("note_length_hist", "note_length_transition_matrix"), note_length_features),
+]
+
+
+def add_feature(name: str, vector: Callable[[dict[str, np.ndarray]], list[float] | None]) -> None:
+    """A feature that a function of one piece gives: its notes as arrays (pitch, velocity, start_s, end_s) in order
+    of start and pitch. None stands for a piece that lacks it. Pieces are dealt to tasks; a task holds one at a time."""
+    if any(name in names for names, _ in MAKERS):
+        raise ValueError(f"a feature is named {name} already")
+    fields = ["pitch", "velocity", "start_s", "end_s"]
+
+    def make(notes: DataFrame, pieces: DataFrame, by: list[str]) -> DataFrame:
+        ship_package(notes.sparkSession)
+
+        def run(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by([(c, "ascending") for c in ("start_s", "pitch", "seq_no")])
+            vec = vector({c: rows.column(c).to_numpy() for c in fields})
+            held = rows.slice(0, 0 if vec is None else 1).select(by)
+            return held.append_column("feature", pa.array([name] * len(held))).append_column("vec", pa.array([[float(x) for x in vec]] * len(held) if vec is not None else [], pa.list_(pa.float64())))
+
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in notes.select(*by).schema)
+        return notes.select(*by, "seq_no", *fields).groupBy(*by).applyInArrow(run, f"{schema}, feature string, vec array<double>")
+
+    MAKERS.append(((name,), make))
+
+
+def all_features(notes: DataFrame, pieces: DataFrame, by: list[str], names: list[str] | None = None) -> DataFrame:
+    """The asked features of all pieces; the nine of the library unless others are named. What makes none is not run."""
+    asked = set(FEATURES if names is None else names)
+    if unknown := asked - {n for given, _ in MAKERS for n in given}:
+        raise ValueError(f"no feature is named {', '.join(sorted(unknown))}")
+    parts = [make(notes, pieces, by) for given, make in MAKERS if asked & set(given)]
+    return reduce(DataFrame.unionByName, parts).where(F.col("feature").isin(*asked))

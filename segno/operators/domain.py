@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from segno.functions import music
 
-from .relational import asof_join, chains, chunk_rows
+from .relational import asof_join, chains, chunk_rows, required_join
 
 EPSILON = 1e-9
 #: Rhythm tokens (fixed values).
 REST, HOLD, ONSET = 0, 1, 2
+#: Beats a minute of a theme that states none (a fixed value).
+DEFAULT_BPM = 180.0
 
 
 # --- scores -------------------------------------------------------------------------------------
@@ -22,6 +24,24 @@ def melody_parts(score_notes: DataFrame) -> DataFrame:
     return score_notes.groupBy("piece_id").agg(F.min("part_no").alias("part_no"))
 
 
+def melody_of(pieces: DataFrame, score_notes: DataFrame) -> DataFrame:
+    """(piece_id, part_no) of every piece; one without a note in any part is an error that names it."""
+    return required_join(pieces.select("piece_id").distinct(), melody_parts(score_notes), ["piece_id"], "no part with notes in ")
+
+
+def generated_measures(pieces: DataFrame, measures: DataFrame, score_notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(piece_id, status) of every generated piece, and the measures of the melody of those that are ok.
+
+    A piece without a part with notes, or whose melody has no measure, is skipped and reported.
+    """
+    melody = melody_parts(score_notes)
+    held = measures.join(melody, ["piece_id", "part_no"], "left_semi")
+    bars = held.groupBy("piece_id").agg(F.count(F.lit(1)).alias("_bars"))
+    met = pieces.select("piece_id").distinct().join(melody, "piece_id", "left").join(bars, "piece_id", "left")
+    status = F.when(F.col("part_no").isNull(), "no_melody").when(F.col("_bars").isNull(), "no_measures").otherwise("ok")
+    return met.select("piece_id", status.alias("status")), held
+
+
 def bar_counts(measures: DataFrame) -> DataFrame:
     """(piece_id, bars): numbered measures of the first part."""
     return measures.where("part_no = 0 and measure_no > 0").groupBy("piece_id").agg(F.count(F.lit(1)).alias("bars"))
@@ -43,8 +63,10 @@ def theme_chunks(measures: DataFrame, size: int) -> DataFrame:
 
 
 def trimmed(measures: DataFrame, bars: int) -> DataFrame:
-    """The first bars of each piece; shorter pieces stay as they are."""
-    return measures.where(F.col("measure_no").between(1, bars))
+    """Measures 1 to ``bars`` of pieces that have more measures; others stay as they are, pickups included."""
+    sizes = measures.groupBy("piece_id").agg(F.count(F.lit(1)).alias("_n"))
+    met = measures.join(sizes, "piece_id")
+    return met.where((F.col("_n") <= bars) | F.col("measure_no").between(1, bars)).drop("_n")
 
 
 # --- note lists ---------------------------------------------------------------------------------
@@ -99,6 +121,47 @@ def retempo(notes: DataFrame, current: Column, target: Column) -> DataFrame:
     return notes.withColumn("start_s", F.col("start_s") * current / target).withColumn("end_s", F.col("end_s") * current / target)
 
 
+def tempo_map(tempos: DataFrame, by: list[str]) -> DataFrame:
+    """(by, offset_q, bpm, at_s): tempo changes with the second at which each begins, summed piece by piece.
+
+    ``tempos`` has (by, offset_q, bpm); the first holds from the start of the piece on. Of changes at one place
+    the one with the larger bpm counts.
+    """
+    one = tempos.groupBy(*by, "offset_q").agg(F.max("bpm").alias("bpm"))
+    line = Window.partitionBy(*by).orderBy("offset_q")
+    one = one.withColumn("offset_q", F.when(F.row_number().over(line) == 1, F.least(F.col("offset_q"), F.lit(0.0))).otherwise(F.col("offset_q")))
+    spent = (F.col("offset_q") - F.lag("offset_q").over(line)) * 60 / F.lag("bpm").over(line)
+    return one.withColumn("_spent", F.coalesce(spent, F.lit(0.0))).withColumn("at_s", F.sum("_spent").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("_spent")
+
+
+def with_tempi(notes: DataFrame, tempos: DataFrame, by: list[str]) -> DataFrame:
+    """Notes (offset_q, length_q) with start_s and end_s under tempi that change within a piece.
+
+    A start and an end each take the tempo that holds at their place: the tempo changes are joined as of both.
+    Pieces without a tempo go at DEFAULT_BPM.
+    """
+    known = tempo_map(tempos, by).withColumn("_tie", F.lit(0))
+    placed = notes.withColumn("_end_q", F.col("offset_q") + F.col("length_q"))
+    for place, out in (("offset_q", "start_s"), ("_end_q", "end_s")):
+        met = asof_join(placed, known, by, place, "offset_q", "_tie", "_tempo")
+        second = F.coalesce(F.col("_tempo.at_s"), F.lit(0.0)) + (F.col(place) - F.coalesce(F.col("_tempo.offset_q"), F.lit(0.0))) * 60 / F.coalesce(F.col("_tempo.bpm"), F.lit(DEFAULT_BPM))
+        placed = met.withColumn(out, second).drop("_tempo")
+    return placed.drop("_end_q")
+
+
+def score_state(notes: DataFrame, pieces: DataFrame, by: list[str]) -> DataFrame:
+    """What a written piece carries: tempo, key number, 4/4, and the piano for every instrument.
+
+    ``pieces`` has ``by`` and bpm (null: DEFAULT_BPM); the key is the one that fits the notes' pitch classes best.
+    """
+    from .corpus_features import pitch_class_histogram
+
+    found = keys(pitch_class_histogram(notes, by), by)
+    number = music.key_number(F.col("tonic"), F.col("mode")).alias("key_number")
+    met = pieces.select(*by, F.coalesce("bpm", F.lit(DEFAULT_BPM)).alias("bpm")).join(found, by, "left")
+    return met.select(*by, "bpm", number, F.lit(4).alias("ts_num"), F.lit(4).alias("ts_den"), F.lit(0).alias("program"), F.lit("Piano").alias("instrument"))
+
+
 def to_seconds(notes: DataFrame, bpm: Column) -> DataFrame:
     """Score places and lengths in quarters as seconds."""
     return notes.withColumn("start_s", F.col("offset_q") * 60 / bpm).withColumn("end_s", (F.col("offset_q") + F.col("length_q")) * 60 / bpm)
@@ -200,6 +263,26 @@ def multi_hot(pcs: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.when(F.array_contains(pcs, k), 1.0).otherwise(0.0).cast("float"))
 
 
+def tensors(notes: DataFrame, chords: DataFrame, pieces: DataFrame, by: list[str], bars: int, theme_bars: int, frames_per_bar: int, pitch_range: int = 48) -> DataFrame:
+    """(by, base_note, rhythm, pitch, chord): the three tensors of each piece as arrays, frame by frame.
+
+    Rhythm and pitch cover the theme's bars; the chord's rows of twelve cover all bars and one frame more, which
+    repeats the first of the theme. A piece without notes, or with a chord that has no pitch class, is an error.
+    """
+    quarter = frames_per_bar // 4
+    theme, every = theme_bars * frames_per_bar, bars * frames_per_bar
+    frames = lambda n: pieces.select(*by, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("frame"))
+    asked = pieces.select(*by)
+    melody = melody_frames(notes, frames(theme), by, quarter, pitch_range)
+    in_order = lambda column: F.transform(F.sort_array(F.collect_list(F.struct("frame", column))), lambda x: x[column]).alias(column)
+    melody = melody.groupBy(*by).agg(F.first("base_note").alias("base_note"), in_order("rhythm"), in_order("pitch"))
+    empty = F.raise_error(F.lit("a chord has no pitch class")).cast("array<int>")
+    sound = chords.withColumn("pcs", F.when(F.size("pcs") == 0, empty).otherwise(F.col("pcs")))
+    held = chord_frames(sound, frames(every + 1), by, quarter, F.lit(theme)).withColumn("chord", multi_hot(F.col("pcs")))
+    held = held.groupBy(*by).agg(in_order("chord"))
+    return required_join(asked, melody, by, "no notes in ").join(held, by)
+
+
 def melody_frames(notes: DataFrame, frames: DataFrame, by: list[str], frames_per_quarter: int, pitch_range: int = 48) -> DataFrame:
     """(by, frame, rhythm, pitch, base_note): tokens of each frame; a later note overwrites an earlier one.
 

@@ -5,7 +5,9 @@ Parsed notes have a name, seq_no, pitch and an error, which is null unless the f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from segno.functions import music
@@ -14,6 +16,7 @@ from segno.sources.scores import file_parts
 from .domain import bar_chunks
 from .sampling import draw_key
 
+STATUSES = ("ok", "missing", "parse_error", "too_short")
 #: Notes that a piece needs to have an interval.
 LEAST_NOTES = 2
 
@@ -29,6 +32,12 @@ def names(paths: DataFrame) -> DataFrame:
     return paths.select(F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("name")).where("name <> ''").distinct().orderBy("name")
 
 
+def whole_files(paths: DataFrame, active: DataFrame, per_theme: int, name: str = "gen_full.mid") -> DataFrame:
+    """The files of whole generated pieces, which have no chunk, of active themes and of the samples asked for."""
+    found = file_parts(paths).where(F.col("path").endswith(f"/{name}") & F.col("sample_idx").isNotNull() & (F.col("sample_idx") < per_theme))
+    return found.join(active.select("theme").distinct(), "theme", "left_semi").drop("chunk_idx")
+
+
 def generated_files(paths: DataFrame, active: DataFrame, per_theme: int) -> DataFrame:
     """Files of active themes and of the samples asked for, with theme, model, sample and chunk."""
     found = file_parts(paths).where(F.col("sample_idx").isNotNull() & F.col("chunk_idx").isNotNull() & (F.col("sample_idx") < per_theme))
@@ -47,6 +56,18 @@ def piece_status(wanted: DataFrame, parsed: DataFrame) -> DataFrame:
     return met.select("name", status.alias("status"), F.when(status == "ok", F.col("_notes.pitch")).alias("pitches"))
 
 
+def observed_status(wanted: DataFrame, parsed: DataFrame) -> tuple[DataFrame, Observation]:
+    """``piece_status`` of the pieces that are ok, and an observation of how many were not, and why.
+
+    The counts are taken as the rows go by: whatever reads the pieces fills the observation, without a job of
+    its own. Its numbers are there when the first action over the pieces has ended.
+    """
+    seen = Observation(f"pieces-{uuid.uuid4().hex}")
+    count = lambda status: F.count(F.when(F.col("status") == status, 1)).alias(status)
+    held = piece_status(wanted, parsed).observe(seen, *[count(s) for s in STATUSES])
+    return held.where("status = 'ok'"), seen
+
+
 def generated_intervals(wanted: DataFrame, parsed: DataFrame) -> DataFrame:
     """(name, intervals) of every wanted piece: one that cannot be read or is too short keeps an empty list, as it counts."""
     held = piece_status(wanted, parsed)

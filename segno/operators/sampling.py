@@ -19,11 +19,21 @@ def sample(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     return df.withColumn("_draw", draw_key(seed, F.col(key))).orderBy("_draw", key).limit(k).drop("_draw")
 
 
+#: Rows of a trial up to which Spark limits every task's share before the rows are dealt (its own bound).
+GROUP_LIMIT = 1000
+
+
 def trials(df: DataFrame, key: str, k: int, seeds: list[int]) -> DataFrame:
-    """Rows of every trial (a column), each a sample of ``k`` without replacement."""
-    spread = df.withColumn("trial", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    line = Window.partitionBy("trial").orderBy(draw_key(F.col("trial"), F.col(key)), key)
-    return spread.withColumn("_n", F.row_number().over(line)).where(F.col("_n") <= k).drop("_n")
+    """Rows of every trial (a column), each a sample of ``k`` without replacement.
+
+    Small samples are the first rows of a window, of which each task hands on ``k`` at most; in larger ones the
+    rows are ranked by buckets of their draw. So no task gets a trial's whole table.
+    """
+    spread = df.withColumn("trial", F.explode(F.array(*[F.lit(s) for s in seeds]))).withColumn("_draw", draw_key(F.col("trial"), F.col(key)))
+    if k < GROUP_LIMIT:
+        line = Window.partitionBy("trial").orderBy("_draw", key)
+        return spread.withColumn("_n", F.row_number().over(line)).where(F.col("_n") <= k).drop("_n", "_draw")
+    return _with_rank(spread, ["_draw", key], ["trial"]).where(F.col("_rank") <= k).drop("_rank", "_draw")
 
 
 def halves(df: DataFrame, key: str, seeds: list[int]) -> DataFrame:

@@ -9,7 +9,7 @@ from segno.functions import music
 from segno.operators import relational as rel
 
 from .bindings import NOTES, notes, table, with_ctes
-from .registry import query
+from .book import query
 
 ORDERED = "l_orderkey, l_linenumber, l_partkey, l_extendedprice"
 

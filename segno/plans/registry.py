@@ -1,26 +1,12 @@
-"""Registry of named queries and of the DuckDB SQL that checks them."""
+"""All named queries and the DuckDB SQL that checks them."""
 
 from __future__ import annotations
 
 from importlib import import_module
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .book import ORACLES, QUERIES
 
+__all__ = ["ORACLES", "QUERIES"]
 
-def query(name: str, sql: str | None = None):
-    """Register a function (spark, folder) -> DataFrame under a name, with SQL of the same result."""
-
-    def keep(function):
-        if name in QUERIES:
-            raise ValueError(f"two queries are named {name}")
-        QUERIES[name] = function
-        if sql is not None:
-            ORACLES[name] = sql
-        return function
-
-    return keep
-
-
-for _part in ("exploration", "segments", "corpora", "scores", "runs", "studies"):
+for _part in ("exploration", "segments", "corpora", "scores", "runs", "studies", "measures", "files"):
     import_module(f"segno.plans.{_part}")

@@ -13,7 +13,7 @@ from segno.sources.tables import curve_summary, loss_curve
 from segno.streaming import streams
 
 from .bindings import table, with_ctes
-from .registry import query
+from .book import query
 
 NAMES = ["alto", "tenor", "baritone"]
 

@@ -8,13 +8,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from segno.functions import music
-from segno.operators import domain, relational
+from segno.operators import assembly, domain, relational
 from segno.shared import shared_folder, written
 from segno.sources import score_source, sinks
 from segno.streaming import streams
 
 from .bindings import CHORDS, NOTES, PIECE, PIECE_NOTES, chords, notes, piece_notes, pieces, table, with_ctes
-from .registry import query
+from .book import query
 
 BASE = with_ctes(NOTES, PIECE_NOTES)
 
@@ -169,14 +169,6 @@ def melody_track(spark, d):
     return domain.melody_frames(rows, frames, PIECE, 4, 60)
 
 
-@query("key_detection")
-def key_detection(spark, d):
-    """The likeliest key of every piece from its pitch classes."""
-    from segno.operators.corpus_features import pitch_class_histogram
-
-    return domain.keys(pitch_class_histogram(piece_notes(spark, d), PIECE), PIECE)
-
-
 @query("nearest_downbeat", "SELECT event_id, abs(s - round_even(s / 3600.0, 0) * 3600) <= 225 AS near FROM (SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS s FROM events)")
 def nearest_downbeat(spark, d):
     """Events within a sixteenth of an hour's begin."""
@@ -196,3 +188,36 @@ def middle_downbeat(spark, d):
     line = Window.partitionBy("user_id")
     placed = days.withColumn("k", F.row_number().over(line.orderBy("bar"))).withColumn("n", F.count(F.lit(1)).over(line))
     return placed.where(F.col("k") == F.floor(F.col("n") / 2) + 1).select("user_id", F.col("bar").alias("middle"))
+
+
+LINE = BASE + """,
+lined AS (SELECT theme, model, seq_no, pitch, on_ticks, ticks, CASE WHEN theme % 2 = 0 THEN 16 ELSE 12 END AS u FROM piece_notes),
+cut AS (SELECT *, on_ticks + ticks AS end_ticks, unnest(range(on_ticks // u, (on_ticks + ticks - 1) // u + 1)) AS bar FROM lined),
+totals AS (SELECT theme, model, max((on_ticks + ticks + u - 1) // u) AS bars FROM lined GROUP BY ALL)"""
+
+
+@query("score_assembly", with_ctes(NOTES, PIECE_NOTES, CHORDS) + LINE.removeprefix(BASE) + """
+SELECT theme::VARCHAR AS theme, model, 'note' AS kind, (bar + 1)::INTEGER AS measure_no, round((greatest(on_ticks, bar * u) - bar * u) * 4.0::DOUBLE / u, 6) AS place, round((least(end_ticks, bar * u + u) - greatest(on_ticks, bar * u)) * 4.0::DOUBLE / u, 6) AS length_q, pitch AS value,
+       CASE WHEN on_ticks // u = (end_ticks - 1) // u THEN NULL WHEN bar = on_ticks // u THEN 'start' WHEN bar = (end_ticks - 1) // u THEN 'stop' ELSE 'continue' END AS word FROM cut
+UNION ALL SELECT theme::VARCHAR, model, 'chord', (floor((offset_q + k * 16) / 4) + 1)::INTEGER, (offset_q + k * 16) % 4, NULL, root_pc, kind
+FROM chords JOIN totals USING (theme) CROSS JOIN (SELECT unnest(range(10000)) AS k) WHERE chunk_idx = 0 AND root_pc IS NOT NULL AND offset_q + k * 16 < bars * 4""")
+def score_assembly(spark, d):
+    """Pieces from seconds to MusicXML and back: sixteenths or triplets, ties at barlines, the theme's chords repeated.
+
+    The pieces of even themes are in sixteenths, those of odd ones in triplets.
+    """
+    folder = f"{shared_folder(spark).rstrip('/')}/scores-{uuid.uuid4().hex}"
+    score_source.register(spark)
+    unit = F.when(F.col("theme") % 2 == 0, 4).otherwise(3)
+    rows = piece_notes(spark, d).select(*PIECE, "seq_no", "pitch", (F.col("on_ticks") / unit / 2).alias("start_s"), ((F.col("on_ticks") + F.col("ticks")) / unit / 2).alias("end_s"))
+    line = assembly.melody_line(rows, PIECE, F.lit(120.0))
+    own = chords(spark, d).where("chunk_idx = 0").join(rows.select(*PIECE).distinct(), "theme").select(*PIECE, "offset_q", "root_pc", "kind")
+    made = sinks.assembled_scores(assembly.with_chords(line, own, PIECE, 16.0), PIECE)
+    made = made.select(F.concat(F.col("theme").cast("string"), F.lit("/"), F.col("model"), F.lit(".musicxml")).alias("path"), "content")
+    made.write.format("segno_scores").mode("append").save(folder)
+    read = spark.read.format("segno_scores").option("kind", "musicxml").load(folder).where("kind in ('note', 'chord')")
+    theme, model = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), F.regexp_extract("path", r"([^/]+)\.musicxml$", 1)
+    value = F.when(F.col("kind") == "note", F.col("pitch")).otherwise(F.col("root_pc"))
+    word = F.when(F.col("kind") == "note", F.col("tie")).otherwise(F.col("chord_kind"))
+    length = F.when(F.col("kind") == "note", F.round("length_q", 6))
+    return read.select(theme.alias("theme"), model.alias("model"), "kind", "measure_no", F.round("offset_in_measure_q", 6).alias("place"), length.alias("length_q"), value.alias("value"), word.alias("word"))

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segno.functions import music
-from segno.operators import copying, divergence, domain, relational, summary
+from segno.operators import copying, divergence, domain, metrics, phase, relational, summary
 from segno.operators import segment_metrics as seg
-from segno.shared import written
+from segno.shared import shared_folder, written
 
 from .bindings import CHORDS, GENERATED, MEASURES, MODELS, NOTES, REAL, SEGMENTS, chords, measure_events, melodies, notes, segments, with_ctes
-from .registry import query
+from .book import query
 
 KEY = "theme, model, sample_idx, chunk_idx"
 
@@ -95,8 +96,8 @@ def theme_overlap(spark, d):
     return out.select(*seg.SEGMENT, *[F.round(f"ngram_{n}_overlap", 6).alias(f"ngram_{n}_overlap") for n in (3, 4, 5)])
 
 
-def _per_segment(spark, d) -> DataFrame:
-    return seg.per_segment(segments(spark, d), notes(spark, d), chords(spark, d), melodies(spark, d))
+def _per_segment(spark, d, names: list[str] | None = None) -> DataFrame:
+    return metrics.per_segment(segments(spark, d), notes(spark, d), chords(spark, d), melodies(spark, d), names=names)
 
 
 @query("per_segment", ALL + " SELECT * FROM per_segment")
@@ -104,6 +105,20 @@ def per_segment(spark, d):
     return _per_segment(spark, d)
 
 
+#: Metrics that are plugged in beside the standard ones.
+PLUGGED = {"mean_pitch": ("pitch_mean", lambda n: F.avg(n.pitch)), "longest_s": ("length_most", lambda n: F.max(n.length))}
+for _name, (_part, _make) in PLUGGED.items():
+    metrics.add_part(_part, _make)
+    metrics.add(metrics.Metric(_name, (_part,), lambda p, part=_part: p[part]))
+
+
+@query("plugged_metrics", with_ctes(NOTES, SEGMENTS) + f""" SELECT {KEY}, coalesce(n, 0)::BIGINT AS n_notes, round(coalesce(n, 0) / 8.0::DOUBLE, 6) AS note_density, round(mean_pitch, 6) AS mean_pitch, round(longest_s, 6) AS longest_s
+FROM segments LEFT JOIN (SELECT {KEY}, count(*) AS n, avg(pitch) AS mean_pitch, max(greatest(end_s - start_s, 0)) AS longest_s FROM notes GROUP BY ALL) USING ({KEY})""")
+def plugged_metrics(spark, d):
+    """Two metrics that the library does not have, beside one that it has, in one aggregation."""
+    return _per_segment(spark, d, ["note_density", *PLUGGED])
+
+
 LONG = "means AS (UNPIVOT (SELECT model, theme, " + ", ".join(f"avg({m}) AS {m}" for m in seg.METRICS) + " FROM per_segment GROUP BY ALL) ON " + ", ".join(seg.METRICS) + " INTO NAME metric VALUE value)"
 
 
@@ -136,9 +151,22 @@ def mann_whitney_u(spark, d):
     return got.select("metric", "model_a", "model_b", "n_a", "n_b", F.round("u_statistic", 6).alias("u_statistic"))
 
 
-@query("significance")
+#: Twice the normal tail by Simpson's rule, as SQL has no error function; samples are beyond the exact test's eight.
+SIGNIFICANCE = RANKS[: RANKS.index("SELECT metric, model_a, model_b, count(*) FILTER (own) AS n_a")].rstrip() + f""",
+sums AS (SELECT metric, model_a, model_b, count(*) FILTER (own) AS n_a, count(*) FILTER (NOT own) AS n_b, sum(CASE WHEN own THEN r ELSE 0 END) AS r FROM ranked GROUP BY ALL),
+ties AS (SELECT metric, model_a, model_b, sum(t * t * t - t)::DOUBLE AS ties FROM (SELECT metric, model_a, model_b, value, count(*) AS t FROM held GROUP BY ALL) GROUP BY ALL),
+tested AS (SELECT *, r - n_a * (n_a + 1) / 2.0::DOUBLE AS u, n_a * n_b / 12.0::DOUBLE * ((n_a + n_b + 1) - ties / ((n_a + n_b) * (n_a + n_b - 1))) AS variance FROM sums JOIN ties USING (metric, model_a, model_b)),
+scored AS (SELECT *, (greatest(u, n_a * n_b - u) - n_a * n_b / 2.0::DOUBLE - 0.5) / sqrt(variance) AS z FROM tested),
+valued AS (SELECT *, CASE WHEN variance <= 0 THEN 1 ELSE least(1, 2 * 0.001 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 12001), lambda k: CASE WHEN k IN (0, 12000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * (z + 0.003 * k) * (z + 0.003 * k))))) END AS p FROM scored),
+asked AS (SELECT metric, model_a, model_b FROM (VALUES {", ".join(f"('{m}')" for m in seg.METRICS)}) v(metric), pairs)
+SELECT metric, model_a, model_b, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b, CASE WHEN least(n_a, n_b) >= 5 THEN round(u, 6) END AS u_statistic, CASE WHEN least(n_a, n_b) >= 5 THEN round(p, 9) END AS p_value, coalesce(least(n_a, n_b) >= 5 AND p < 0.05, false) AS significant
+FROM asked LEFT JOIN valued USING (metric, model_a, model_b)"""
+
+
+@query("significance", SIGNIFICANCE)
 def significance(spark, d):
-    return divergence.mann_whitney(seg.theme_means(_per_segment(spark, d)), ["metric"], MODELS)
+    got = divergence.mann_whitney(seg.theme_means(_per_segment(spark, d)), ["metric"], MODELS)
+    return got.withColumn("u_statistic", F.round("u_statistic", 6)).withColumn("p_value", F.round("p_value", 9))
 
 
 # --- copying and rhythm -------------------------------------------------------------------------
@@ -361,3 +389,35 @@ GROUP BY ord, metric ORDER BY ord"""
 @query("final_human_all_groups", _full_sql())
 def final_human_all_groups(spark, d):
     return summary.human_table(full_table(spark, d), MODELS)
+
+
+# --- the whole phase ----------------------------------------------------------------------------
+
+
+def reports(spark, d, models: list[str]) -> list[phase.Report]:
+    """The corpus measures of a run, with the fixed columns of their files."""
+    from .corpora import features_against_real
+
+    seven = ", ".join(f"lcs_max_{s} double" for s in SEVEN)
+    return [
+        phase.Report(
+            "mgeval", "feature string, model string, kl double, oa double, n_real_pieces long, n_gen_pieces long", lambda: features_against_real(spark, d, models), ("feature", "model"),
+            lambda df: df.withColumnRenamed("feature", "key"),
+        ),
+        phase.Report(
+            "bar_rhythm_jsd", "model string, jsd double, n_real long, n_gen long, n_unique_real long, n_unique_gen long, n_unique_union long", lambda: _jsd(spark, d, models), ("model",),
+            lambda df: phase.wide_values(df, ["jsd"]),
+        ),
+        phase.Report(
+            "plagiarism", f"model string, {', '.join(f'{s} double' for s in SHARES)}, {seven}, n_gen_chunks long, n_gen_chunks_lcs long, {', '.join(f'n_gen_ngrams_n{n} long' for n in copying.SIZES)}, n_train_pieces long",
+            lambda: plagiarism_rows(spark, d, models), ("model",),
+            lambda df: phase.wide_values(df, SHARES).unionByName(phase.wide_numbers(df, "lcs_max", "lcs_max"), allowMissingColumns=True),
+        ),
+    ]
+
+
+@query("metrics_phase", _full_sql())
+def metrics_phase(spark, d):
+    """All reports of a run written as CSVs, the final table built from what is read back, and read back itself."""
+    folder = f"{shared_folder(spark).rstrip('/')}/metrics-{uuid.uuid4().hex}"
+    return phase.run(_per_segment(spark, d), reports(spark, d, MODELS), folder, MODELS)

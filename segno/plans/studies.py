@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segno.operators import checks, domain, loading, state, studies
+from segno.operators import checks, corpus_features, distances, divergence, domain, loading, state, studies
+from segno.shared import shared_folder, written
+from segno.sources import sinks
+from segno.sources.tables import read_csv
 
-from .bindings import NOTES, PIECE, PIECE_NOTES, piece_notes, table, with_ctes
+from .bindings import NOTES, PIECE, PIECE_NOTES, notes, piece_notes, table, with_ctes
 from .corpora import densities_sql
-from .registry import query
+from .book import query
 from .runs import NAMES, STATE, _files, _samples, _themes
 
 TRIALS = [42, 123, 7, 999, 2024]
@@ -190,3 +195,60 @@ SELECT event_id, grid, round(q + round_even(f * grid, 0) / grid, 6) AS snapped_q
 def quarter_snapping(spark, d):
     rows = table(spark, d, "events").select("user_id", "event_id", (F.unix_timestamp(F.date_trunc("second", "ts")) % 3600 / 60.0).alias("offset_q"))
     return domain.quarter_snapped(rows, ["user_id"]).select("event_id", "grid", F.round("snapped_q", 6).alias("snapped_q"))
+
+
+# --- a factorial study --------------------------------------------------------------------------
+
+FACTORS, LEVELS = ("slicing", "source"), {"slicing": ("full", "chunked"), "source": ("first", "second")}
+STUDIED = ["total_used_pitch", "total_used_note", "pitch_range", "avg_pitch_interval", "avg_ioi"]
+
+UNITS = f"""
+ordered AS (SELECT theme, model, sample_idx, chunk_idx, instr, pitch, ticks, row_number() OVER w AS seq_no, coalesce(sum(ticks) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 0.125::DOUBLE AS start_s
+            FROM (SELECT * EXCLUDE (seq_no, start_s, end_s), seq_no AS k FROM notes) WINDOW w AS (PARTITION BY theme, model, sample_idx ORDER BY chunk_idx, k)),
+placed AS (SELECT 'full' AS slicing, sample_idx, theme::VARCHAR AS unit, model, pitch, seq_no, start_s, start_s + ticks * 0.125::DOUBLE AS end_s FROM ordered
+           UNION ALL SELECT 'chunked', sample_idx, theme || '-' || chunk_idx, model, pitch, seq_no, start_s, end_s FROM notes),
+stepped AS (SELECT *, abs(pitch - lag(pitch) OVER (PARTITION BY slicing, sample_idx, unit, model ORDER BY start_s, pitch, seq_no)) AS step, floor(end_s * 100) - floor(start_s * 100) AS frames FROM placed),
+scalars AS (SELECT slicing, CASE sample_idx WHEN 0 THEN 'first' ELSE 'second' END AS source, unit, model, count(DISTINCT pitch)::DOUBLE AS total_used_pitch, count(*)::DOUBLE AS total_used_note,
+             (max(pitch) FILTER (frames > 0) - min(pitch) FILTER (frames > 0))::DOUBLE AS pitch_range, CASE WHEN count(*) >= 2 THEN avg(step) END AS avg_pitch_interval,
+             CASE WHEN count(*) >= 2 THEN (max(start_s) - min(start_s)) / (count(*) - 1) END AS avg_ioi FROM stepped GROUP BY ALL),
+vectors AS (SELECT feature || '/' || slicing || '/' || source AS grp, unit, model, x FROM (UNPIVOT scalars ON {", ".join(STUDIED)} INTO NAME feature VALUE x)),
+dists AS (SELECT a.grp, NULL AS model, 'intra' AS kind, abs(a.x - b.x) AS dist, 2 AS w FROM vectors a JOIN vectors b ON a.grp = b.grp AND a.unit < b.unit WHERE a.model = 'N' AND b.model = 'N'
+          UNION ALL SELECT a.grp, b.model, 'inter', abs(a.x - b.x), 1 FROM vectors a JOIN vectors b ON a.grp = b.grp WHERE a.model = 'N' AND b.model = 'A'),"""
+_WIDE = ", ".join(f"max({v}) FILTER (term = '{t}') AS {t}_{v}" for t in ("full", "chunked", "first", "second", *[f"{x}_{y}" for x in LEVELS["slicing"] for y in LEVELS["source"]]) for v in ("kl", "oa"))
+CELLS = f"""
+cells AS (SELECT split_part(grp, '/', 1) AS feature, split_part(grp, '/', 2) AS slicing, split_part(grp, '/', 3) AS source, kl, oa FROM measured),
+terms AS (SELECT feature, CASE WHEN slicing IS NOT NULL AND source IS NOT NULL THEN slicing || '_' || source ELSE coalesce(slicing, source, 'all') END AS term, avg(kl) AS kl, avg(oa) AS oa FROM cells GROUP BY GROUPING SETS ((feature, slicing, source), (feature, slicing), (feature, source), (feature))),
+spread AS (SELECT feature, {_WIDE} FROM terms GROUP BY 1)"""
+
+
+def _effects() -> str:
+    rows = {"slicing": "{x}chunked{v} - {x}full{v}", "source": "{x}second{v} - {x}first{v}", "interaction": "({x}chunked_second{v} - {x}full_second{v}) - ({x}chunked_first{v} - {x}full_first{v})"}
+    one = lambda form: ", ".join(f"round({form.format(x='', v='_' + v)}, 3) + 0.0::DOUBLE AS {v}" for v in ("kl", "oa"))
+    return " UNION ALL ".join(f"SELECT feature, 'effect_{k}' AS term, {one(form)} FROM spread" for k, form in rows.items())
+
+
+@query("factorial_2x2", f"WITH {NOTES}, {UNITS}{densities_sql(8192)}, {CELLS} SELECT feature, term, round(kl, 3) AS kl, round(oa, 3) AS oa FROM terms UNION ALL {_effects()}")
+def factorial(spark, d):
+    """KL and overlap of one model by slicing and source, written as the study's wide report and taken from it again.
+
+    Pieces are themes or their chunks, the source is the sample; the real pieces are cut alike.
+    """
+    rows = notes(spark, d).where("model in ('N', 'A')")
+    line = Window.partitionBy("theme", "model", "sample_idx").orderBy("chunk_idx", "seq_no")
+    start = F.coalesce(F.sum("ticks").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * 0.125
+    full = rows.select("model", "sample_idx", "instr", "pitch", F.row_number().over(line).alias("seq_no"), "ticks", start.alias("start_s"), F.lit("full").alias("slicing"), F.col("theme").cast("string").alias("id"))
+    full = full.withColumn("end_s", F.col("start_s") + F.col("ticks") * 0.125)
+    cut = rows.select("model", "sample_idx", "instr", "pitch", "seq_no", "ticks", "start_s", F.lit("chunked").alias("slicing"), F.concat_ws("-", "theme", "chunk_idx").alias("id"), "end_s")
+    source = F.when(F.col("sample_idx") == 0, "first").otherwise("second")
+    by = ["slicing", "source", "id", "model"]
+    vec = written(corpus_features.scalar_features(full.unionByName(cut).withColumn("source", source), by))
+    key = ["feature", *FACTORS]
+    samples = distances.distance_samples(vec.where("model = 'N'").drop("model"), vec.where("model = 'A'"), key)
+    cells = divergence.kl_and_overlap(samples, key).where(F.col("feature").isin(STUDIED)).select(*key, "kl", "oa")
+    values = ["kl", "oa"]
+    wide = studies.wide_cells(cells, ["feature"], FACTORS, LEVELS, values)
+    path = f"{shared_folder(spark).rstrip('/')}/study-{uuid.uuid4().hex}/result.csv"
+    sinks.write_csv(wide, path, ["feature"])
+    read = read_csv(spark, path, ", ".join(f"{c} {kind}" for c, kind in wide.dtypes))
+    out = studies.factorial(studies.read_cells(read, ["feature"], FACTORS, LEVELS, values), ["feature"], FACTORS, LEVELS, values)
+    return out.select("feature", "term", *[(F.round(v, 3) + F.lit(0.0)).alias(v) for v in values])  # no negative zero

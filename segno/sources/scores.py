@@ -135,6 +135,13 @@ def musicxml(notes: list[dict], chords: list[dict] | None = None, bpm: float = 1
     ET.SubElement(ET.SubElement(ET.SubElement(score, "part-list"), "score-part", id="P1"), "part-name").text = "Melody"
     part = ET.SubElement(score, "part", id="P1")
     end = max([n["offset_q"] + n["length_q"] for n in notes], default=4.0)
+    sounding: dict[int, list[dict]] = {}
+    for n in sorted(notes, key=lambda n: n["offset_q"]):
+        for bar in range(int(n["offset_q"] // 4), -int(-(n["offset_q"] + n["length_q"]) // 4)):
+            sounding.setdefault(bar, []).append(n)
+    held: dict[int, list[dict]] = {}
+    for c in chords or []:
+        held.setdefault(int(c["offset_q"] // 4), []).append(c)
     for bar in range(max(1, -int(-end // 4))):
         measure = ET.SubElement(part, "measure", number=str(bar + 1))
         if bar == 0:
@@ -145,17 +152,16 @@ def musicxml(notes: list[dict], chords: list[dict] | None = None, bpm: float = 1
             ET.SubElement(measure, "sound", tempo=str(bpm))
         at = 0.0
         low, high = 4.0 * bar, 4.0 * bar + 4
-        for c in chords or []:
-            if low <= c["offset_q"] < high:
-                harmony = ET.SubElement(measure, "harmony")
-                root = ET.SubElement(harmony, "root")
-                name = names[c["root_pc"]]
-                ET.SubElement(root, "root-step").text = name[0]
-                if len(name) > 1:
-                    ET.SubElement(root, "root-alter").text = "1"
-                ET.SubElement(harmony, "kind").text = c["kind"]
-                ET.SubElement(harmony, "offset").text = str(round((c["offset_q"] - low) * divisions))
-        for n in sorted(notes, key=lambda n: n["offset_q"]):
+        for c in held.get(bar, []):
+            harmony = ET.SubElement(measure, "harmony")
+            root = ET.SubElement(harmony, "root")
+            name = names[c["root_pc"]]
+            ET.SubElement(root, "root-step").text = name[0]
+            if len(name) > 1:
+                ET.SubElement(root, "root-alter").text = "1"
+            ET.SubElement(harmony, "kind").text = c["kind"]
+            ET.SubElement(harmony, "offset").text = str(round((c["offset_q"] - low) * divisions))
+        for n in sounding.get(bar, []):
             start, stop = max(n["offset_q"], low), min(n["offset_q"] + n["length_q"], high)
             if start >= stop:
                 continue
@@ -170,11 +176,15 @@ def musicxml(notes: list[dict], chords: list[dict] | None = None, bpm: float = 1
             if len(name) > 1:
                 ET.SubElement(pitch, "alter").text = "1"
             ET.SubElement(pitch, "octave").text = str(n["pitch"] // 12 - 1)
-            ET.SubElement(note, "duration").text = str(round((stop - start) * divisions))
+            length = round((stop - start) * divisions)
+            ET.SubElement(note, "duration").text = str(length)
             if start > n["offset_q"]:
                 ET.SubElement(note, "tie", type="stop")
             if stop < n["offset_q"] + n["length_q"]:
                 ET.SubElement(note, "tie", type="start")
+            if length * 4 % divisions:  # no multiple of a sixteenth: three in the place of two
+                changed = ET.SubElement(note, "time-modification")
+                ET.SubElement(changed, "actual-notes").text, ET.SubElement(changed, "normal-notes").text = "3", "2"
             at = stop - low
         if at < 4:
             rest = ET.SubElement(measure, "note")

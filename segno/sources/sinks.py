@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segno.functions import music
+from segno.operators.checks import guard_resume
 from segno.shipping import ship_package
 
 
@@ -23,12 +22,17 @@ def six_places(df: DataFrame) -> DataFrame:
     return df.select(*[text(c).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes])
 
 
-def write_csv(df: DataFrame, path: str, order: list[str] | None = None, quote_all: bool = False) -> None:
-    """A small report as one CSV in a folder that appears whole: written aside by Spark, then renamed."""
-    out = six_places(df)
-    out = out.orderBy(*order) if order else out
+def write_csv(df: DataFrame, path: str, order: list[str] | None = None, quote_all: bool = False, whole: bool = True, rounded: bool = True) -> None:
+    """A CSV in a folder that appears whole: written aside by Spark, then renamed.
+
+    ``whole`` puts a small report into one file; a large table is written in parts. Numbers have six places
+    unless ``rounded`` is false.
+    """
+    out = six_places(df) if rounded else df
+    out = out.orderBy(*order) if order and whole else out
+    out = out.coalesce(1) if whole else out
     aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
-    out.coalesce(1).write.csv(aside, header=True, quoteAll=quote_all, emptyValue="", nullValue="")
+    out.write.csv(aside, header=True, quoteAll=quote_all, emptyValue="", nullValue="", escape='"')
     jvm = df.sparkSession.sparkContext._jvm
     target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
     fs = target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
@@ -58,20 +62,60 @@ def manifest_rows(themes: DataFrame, samples: DataFrame) -> DataFrame:
 def write_manifest(themes: DataFrame, samples: DataFrame, path: str, **head) -> None:
     """One JSON file of the run's state, replaced whole. A manifest is read by its runner, so it is small."""
     body = {r["theme"]: json.loads(r["json"]) for r in manifest_rows(themes, samples).toLocalIterator()}
-    replace(path, json.dumps(head | {"themes": body}, indent=2, ensure_ascii=False))
+    replace(themes.sparkSession, path, json.dumps(head | {"themes": body}, indent=2, ensure_ascii=False))
 
 
 def write_split(split: DataFrame, path: str) -> None:
     rows = split.groupBy("bucket").agg(F.sort_array(F.collect_list("name")).alias("names")).collect()
     names = {r["bucket"]: r["names"] for r in rows}
-    replace(path, json.dumps({b: names.get(b, []) for b in ("train", "eval", "test")}, indent=2, ensure_ascii=False))
+    replace(split.sparkSession, path, json.dumps({b: names.get(b, []) for b in ("train", "eval", "test")}, indent=2, ensure_ascii=False))
+
+
+def replace(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in any store that Spark writes to: written aside, then renamed."""
+    jvm = spark.sparkContext._jvm
+    target, aside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(aside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    fs.delete(target, False)
+    if not fs.rename(aside, target):
+        raise OSError(f"{aside} could not be renamed to {path}")
 
 
-def replace(path: str, text: str) -> None:
-    """A local file of the driver, replaced in one step."""
-    aside = Path(f"{path}.tmp")
-    aside.write_text(text, encoding="utf-8")
-    os.replace(aside, path)
+def config_snapshot(spark: SparkSession, config: dict, folder: str) -> str:
+    """Lay down the configuration of a run beside its results, or refuse to go on with another one; its digest.
+
+    The digest that the folder holds is that of the run's first configuration.
+    """
+    digest = config_digest(config)
+    name = f"{folder.rstrip('/')}/config_snapshot.json"
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        held = json.loads(spark.read.text(name, wholetext=True).first()["value"])
+        guard_resume(held["config_hash"], digest)
+        return digest
+    replace(spark, name, json.dumps({"config_hash": digest, "config": config}, indent=2, ensure_ascii=False, sort_keys=True))
+    return digest
+
+
+def set_aside(spark: SparkSession, paths: DataFrame, root: str, trash: str) -> DataFrame:
+    """(path, moved): move files or folders (``path``, below ``root``) into ``trash``, under the same names, so that
+    they can be taken back; one that is not there is not moved. The list is one that a user gives, so it is small."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for r in paths.select("path").distinct().toLocalIterator():
+        source, target = (jvm.org.apache.hadoop.fs.Path(f"{x.rstrip('/')}/{r['path']}") for x in (root, trash))
+        fs = source.getFileSystem(conf)
+        moved = bool(fs.exists(source)) and not fs.exists(target)
+        if moved:
+            fs.mkdirs(target.getParent())
+            moved = bool(fs.rename(source, target))
+        out.append((r["path"], moved))
+    return spark.createDataFrame(out, "path string, moved boolean")
 
 
 def config_digest(config: dict) -> str:
@@ -101,3 +145,18 @@ def encoded_scores(notes: DataFrame, by: list[str], form: str = "midi", bpm: flo
             yield batch[by].assign(content=content)
 
     return pieces.mapInPandas(run, schema)
+
+
+def assembled_scores(pieces: DataFrame, by: list[str], bpm: float = 120.0) -> DataFrame:
+    """(by, content): MusicXML of pieces with notes and chords as arrays (``assembly.with_chords``), made on the executors."""
+    ship_package(pieces.sparkSession)
+    schema = ", ".join(f"{c} {kind}" for c, kind in pieces.select(*by).dtypes) + ", content binary"
+    plain = lambda rows: [dict(r.asDict() if hasattr(r, "asDict") else r) for r in rows]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from segno.sources import scores
+
+        for batch in batches:
+            yield batch[by].assign(content=[scores.musicxml(plain(n), plain(c), bpm).encode() for n, c in zip(batch["notes"], batch["chords"], strict=True)])
+
+    return pieces.select(*by, "notes", "chords").mapInPandas(run, schema)

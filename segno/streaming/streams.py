@@ -89,13 +89,13 @@ def tie_chains(notes: DataFrame, by: list[str], order: str, quiet: str | None =
     return notes.select(*by, order, "tie", "ticks").groupBy(*by).applyInPandasWithState(step, f"{kinds}, chain long, n long, ticks long, open boolean", "chain long, n long, ticks long, may boolean", "update", timer)
 
 
-def upsert_chains(notes: DataFrame, by: list[str], order: str, path: str, checkpoint: str, quiet: str | None = None) -> None:
+def upsert_chains(notes: DataFrame, by: list[str], order: str, path: str, checkpoint: str) -> None:
     """Lay down the chains that each batch of a stream changed, in a folder of its own number, and stop when what arrived is read.
 
     The next call goes on from the checkpoint, with the chains that were open.
     """
     sink = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/run={number}")
-    tie_chains(notes, by, order, quiet).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    tie_chains(notes, by, order).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def latest_chains(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
