@@ -1,7 +1,7 @@
 """Tables of a SQLite database as a Spark data source: ``segno_sqlite``.
 
     register(spark)
-    spark.read.format("segno_sqlite").option("table", "melody").load("/data/wjazzd.db")
+    spark.read.format("segno_sqlite").option("table", "melody").load("/data/solos.db")
 
 Reading plans its partitions as ranges of row numbers (rowid), a task opens the database read-only and scans its
 range in the order of rowid. Filters on columns that compare with a constant go into the scan. Columns have the
