@@ -16,7 +16,7 @@ Defined results
 * A window is ``width`` consecutive words of an item; an item of fewer words, but not none, is one
   window; an item of none has no window and occurs nowhere.
 * A document word inside any occurrence of any window is hit. A null text has no words.
-* Identifiers of items are read as text. Items whose identifier repeats count once. Items without one are
+* Identifiers of items are whole numbers or are read as text. Items whose identifier repeats count once. Items without one are
   searched like others and count as one item, which the list of identifiers does not name.
 * Every row has a result of its own, those that repeat an identifier or have none too.
 * A document is contaminated if it has a hit and at least ``share`` of its words are hit.
@@ -30,6 +30,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import id_text, map_batches, settle, texts, without
 
@@ -49,18 +50,22 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORD).split()
 
 
-def _null_last(item: str | None) -> tuple[bool, str]:
-    return item is None, item or ""
+Item = int | str | None
+
+
+def _null_last(item: Item) -> tuple:
+    return item is None, item
 
 
 class Queries:
     """Distinct phrases as rows of term numbers, and the items that hold them."""
 
-    def __init__(self, items: list[tuple[str | None, str]], width: int):
+    def __init__(self, items: list[tuple[Item, str]], width: int, kind: str | None = None):
         self.width = width
+        self.kind = kind or ("string" if any(isinstance(i, str) for i, _ in items) else "long")
         self.terms: dict[bytes, int] = {}
         phrases: dict[tuple[int, ...], int] = {}
-        holders: list[set[str | None]] = []
+        holders: list[set[Item]] = []
         for item, text in items:
             ids = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
             for k in range(max(1, len(ids) - width + 1) if ids else 0):
@@ -172,7 +177,7 @@ def search(index: DataFrame, queries: Queries, slop: int = 0) -> DataFrame:
 
         return step
 
-    return map_batches(index, "doc_id long, n_words long, hit_words array<int>, items array<string>, near_items array<string>", make)
+    return map_batches(index, f"doc_id long, n_words long, hit_words array<int>, items array<{queries.kind}>, near_items array<{queries.kind}>", make)
 
 
 def _search_segment(row: dict, q: Queries, slop: int, out: dict[str, list]) -> None:
@@ -183,8 +188,8 @@ def _search_segment(row: dict, q: Queries, slop: int, out: dict[str, list]) -> N
     counts[np.frombuffer(row["terms"], dtype=np.int32)] = np.frombuffer(row["counts"], dtype=np.int32)
     begins = np.concatenate([[0], np.cumsum(counts)])
     change = np.zeros(int(starts[-1]) + 1, dtype=np.int32)
-    held: list[set[str | None]] = [set() for _ in range(n_docs)]
-    near: list[set[str | None]] = [set() for _ in range(n_docs)]
+    held: list[set[Item]] = [set() for _ in range(n_docs)]
+    near: list[set[Item]] = [set() for _ in range(n_docs)]
     possible = np.flatnonzero((counts[q.phrases] > 0).all(axis=1)) if len(q.phrases) else ()
     for p in possible:
         size = int(q.sizes[p])
@@ -207,9 +212,14 @@ def _search_segment(row: dict, q: Queries, slop: int, out: dict[str, list]) -> N
     out["near_items"] += [sorted(h, key=_null_last) for h in near]
 
 
+def _item_kind(benchmark: DataFrame, item_col: str) -> str:
+    return "long" if isinstance(benchmark.schema[item_col].dataType, IntegralType) else "string"
+
+
 def _query_parts(benchmark: DataFrame, item_col: str, text_col: str):
     """For each part of the items, of bounded size, a function that reads it. One part unless large."""
-    items = benchmark.select(benchmark[item_col].cast("string").alias("item_id"), benchmark[text_col].cast("string").alias("text"))
+    kind = _item_kind(benchmark, item_col)
+    items = benchmark.select(benchmark[item_col].cast(kind).alias("item_id"), benchmark[text_col].cast("string").alias("text"))
     items = items.where(F.col("text").isNotNull())
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-size // QUERY_BYTES))
@@ -227,15 +237,15 @@ def contamination(
     A benchmark beyond QUERY_BYTES is searched in parts. Rows are numbered once before that, and the hits of
     a row are put together by its number, so rows that share an identifier, or have none, stay apart.
     """
-    parts = list(_query_parts(benchmark, item_col, item_text))
+    parts, kind = list(_query_parts(benchmark, item_col, item_text)), _item_kind(benchmark, item_col)
     if len(parts) == 1:
-        queries = Queries(parts[0](), width)
+        queries = Queries(parts[0](), width, kind)
         whole = search(settle(build_index(docs, queries, id_col, text_col, slop)), queries, slop)
     else:
         rows = settle(id_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
         found = []
         for part in parts:
-            queries = Queries(part(), width)
+            queries = Queries(part(), width, kind)
             found.append(search(settle(build_index(rows, queries, "row", "text", slop)), queries, slop))
         together = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)  # noqa: E731  a row for each part
         whole = reduce(DataFrame.unionByName, found).withColumnRenamed("doc_id", "row")
@@ -248,7 +258,7 @@ def contamination(
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's columns: 20 * n_hit >= n_words is a share of 0.05, held in whole numbers."""
     found = contamination(docs, benchmark)
-    ids = F.array_join(F.array_sort("items"), ",")
+    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select(
         "doc_id", "n_words", "n_hit",
         F.size("items").cast("long").alias("n_items"),

@@ -83,3 +83,21 @@ def test_a_sentence_that_articles_share_stays(spark):
     rows = [(k, "http://host/x", page(k)) for k in range(6)]
     got = {r["page_id"]: r["text"] for r in html_extract.extract_digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[k] == f"Case {k} was told. The court found the defendant guilty." for k in range(6))
+
+
+def test_the_pipeline_on_odd_and_on_empty_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    same = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(1, same, None), (1, same, None), (2, same, None), (2, same, None), (None, "words that no other document has at all", None), (5, None, None), (6, " ...", None), (7, "", None)]
+    rows += [(8, "item words that a benchmark holds too", None), (9, f"{GERMAN} {GERMAN}", None), (9, "another text of the same identifier", None)]
+    for name, held in (("odd", rows), ("empty", [])):
+        df = docs_of(spark, held)
+        for c in ("row", "hash", "_bad_hash", "_bad_doc_id", "fp", "known", "_row", "_id", "component"):
+            df = df.withColumn(c, F.lit("x"))
+        df.coalesce(1).write.parquet(str(tmp_path / name / "documents.parquet"))
+        items = spark.createDataFrame([(None, "item words that a benchmark holds too")], "item_id long, text string")
+        items.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == [(False, 2), (False, 9), (False, 9), (True, 0)]
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
