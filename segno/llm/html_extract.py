@@ -56,6 +56,8 @@ MARKED = frozenset(
 COMMENTS = frozenset("comment comments commentlist respond replies disqus".split())
 #: First parts of names by which an article is a teaser of another one (fixed values).
 TEASERS = frozenset("related recommended recommendations promo sponsored".split())
+#: Parts of names that say how a thing is built, not what it is (fixed values).
+STRUCTURE = frozenset("bar bars block box boxes button buttons container group icons inner item items link links list outer panel row section slot strip tools top bottom left right wrap wrapper".split())
 #: Elements that can hold a list of comments (fixed values).
 CONTAINERS = frozenset("div section ul ol li article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -99,6 +101,7 @@ class Marks(NamedTuple):
 
     marked: bool = False  # a whole name says that it is no main text
     part: bool = False  # a part of a compound name does
+    built: bool = False  # a compound name does whose other parts say only how the thing is built, as in share-bar
     main: bool = False  # its role is main
     comments: bool = False  # a whole name says that it has reader comments
     commented: bool = False  # the first or last part of a compound name does
@@ -106,7 +109,7 @@ class Marks(NamedTuple):
 
 
 def _marks(attributes: str) -> Marks:
-    marked = part = main = comments = commented = teaser = False
+    marked = part = built = main = comments = commented = teaser = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name == "hidden":
@@ -118,11 +121,12 @@ def _marks(attributes: str) -> Marks:
             comments = comments or not COMMENTS.isdisjoint(names)
             parts = [_NAMES.split(x) for x in names]
             part = part or any(not MARKED.isdisjoint(x) for x in parts)
+            built = built or any(not MARKED.isdisjoint(x) and all(y in MARKED or y in STRUCTURE for y in x) for x in parts)
             commented = commented or any(x[0] in COMMENTS or x[-1] in COMMENTS for x in parts)
             teaser = teaser or any(x[0] in TEASERS for x in parts)
         elif name == "style" and "display:none" in "".join(values).replace(" ", "").lower():
             marked = True
-    return Marks(marked, part, main, comments, commented, teaser)
+    return Marks(marked, part, built, main, comments, commented, teaser)
 
 
 NOTHING = Marks()
@@ -198,9 +202,9 @@ def read_page(page: str) -> tuple[list[str], list[Piece]]:
             strict = strict or tag == "article" and (marks.comments or commented or marks.teaser)
             outside = strict
         elif tag not in ("html", "body"):
-            # Within a story a part of a name says nothing: a search-results list or a share-price is of the text.
+            # Within a story a part of a name says nothing alone: a search-results list or a share-price is of the text.
             strict = strict or tag in OUTSIDE or marks.marked or commented and not above.story
-            outside = outside or strict or marks.part and not above.story
+            outside = outside or strict or (marks.built if above.story else marks.part)
         element = Element(tag, f"{above.path}>{tag}", outside, above.article or main, outside and not strict, above.story or tag == "article", commented)
         tokens.append(element.path)
         if tag in VOID or attributes.endswith("/") and tag not in RAW:
