@@ -28,6 +28,11 @@ def against_sql(spark, folder, name, **changed):
     return rows(entry.queries()[name](spark, str(folder)).select(*columns).collect()), rows(want.fetchall())
 
 
+def test_a_theme_without_a_melody_has_no_overlap(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "theme_ngram_overlap", lineitem="select * from {} where not (l_returnflag = 'N' and l_suppkey % 2 = 0)")
+    assert got == want and any(r.count("None") == 3 for r in want)
+
+
 def test_a_gap_in_percent_of_zero(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "curve_summary", events="select * replace (case when user_id % 2 = 0 then 0.0 when event_id % 3 = 0 then 0.0 else value end as value) from {}")
     assert got == want and {"inf", "nan"} <= {x for r in want for x in r}
