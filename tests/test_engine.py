@@ -413,3 +413,37 @@ def test_sqlite_is_scanned_by_ranges_with_its_filters(spark, tmp_path):
         read("other").count()
     assert sqlite_source.write_table(spark.createDataFrame([(1, "a", 2.5), (2, None, None)], "i int, s string, d double"), path, "made") == 2
     assert sorted(map(tuple, read("made").collect())) == [(1, "a", 2.5), (2, None, None)]
+
+
+def test_copies_of_vectors_are_paired_once_and_weigh(spark):
+    rng = random.Random(11)
+    some = [[float(rng.randrange(4)), float(rng.randrange(3))] for _ in range(12)]
+    real = [("f", k, some[rng.randrange(12)]) for k in range(300)]
+    made = [("f", k, some[rng.randrange(12)], "u") for k in range(200)]
+    df = spark.createDataFrame(real, "feature string, id long, vec array<float>"), spark.createDataFrame(made, "feature string, id long, vec array<float>, model string")
+    for block in (5, distances.BLOCK):
+        found = distances.distance_samples(*df, ["feature"], block=block)
+        got = {r["kind"]: r for r in distances.distance_summary(found, ["feature"]).collect()}
+        own = [math.dist(a[2], b[2]) for a in real for b in real if a[1] != b[1]]
+        other = [math.dist(a[2], b[2]) for a in real for b in made]
+        for kind, want in (("intra", own), ("inter", other)):
+            r = got[kind]
+            assert r["n"] == len(want) and (r["low"], r["high"], r["mean"]) == pytest.approx((min(want), max(want), sum(want) / len(want)))
+        # What is written is a row per distinct distance at most for each task, not a row per pair of blocks.
+        assert found.count() <= 2 * len({round(x, 9) for x in other}) * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_strips_put_together_keep_weight_mean_and_spread(monkeypatch):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(0, 1, (150, 3)), rng.normal(1, 2, (170, 3))
+    wa, wb = rng.integers(1, 5, 150), rng.integers(1, 5, 170)
+    monkeypatch.setattr(distances, "STRIP", 600)
+    monkeypatch.setattr(distances, "FINE", 128)
+    monkeypatch.setattr(distances, "WAITING", 512)
+    every = np.repeat(a, wa, axis=0)
+    own = distances.pairwise(every, every)[np.triu_indices(len(every), 1)]
+    other = distances.pairwise(every, np.repeat(b, wb, axis=0)).ravel()
+    for found, want in ((distances.block_clusters(a, None, wa, None), own), (distances.block_clusters(a, b, wa, wb), other)):
+        w, mean, m2 = found.all(128)
+        assert w.sum() == len(want) and (w * mean).sum() == pytest.approx(want.sum()) and len(w) <= 128
+        assert (m2 + w * (mean - want.mean()) ** 2).sum() == pytest.approx(((want - want.mean()) ** 2).sum()) and (found.low, found.high) == pytest.approx((want.min(), want.max()), abs=1e-9)
