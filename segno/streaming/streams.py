@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -89,13 +89,47 @@ def tie_chains(notes: DataFrame, by: list[str], order: str, quiet: str | None =
     return notes.select(*by, order, "tie", "ticks").groupBy(*by).applyInPandasWithState(step, f"{kinds}, chain long, n long, ticks long, open boolean", "chain long, n long, ticks long, may boolean", "update", timer)
 
 
+def changed_chains(notes: DataFrame, held: DataFrame | None, by: list[str], order: str) -> DataFrame:
+    """(by, chain, n, ticks, open, may, told): the chains of a batch of notes and of ``held``, the open chains before it.
+
+    As ``tie_chains``, by windows over each piece. ``held`` has (by, chain, n, ticks, may), or is None. A piece without notes in
+    the batch keeps its open chain, untold.
+    """
+    mark = F.when(F.col("tie") == "start", True).when(F.col("tie").isNull(), False)
+    rows = notes.select(*by, F.lit(1).alias("_at"), F.col(order).alias("_order"), F.col("tie").alias("_tie"), mark.alias("_mark"), F.lit(1).cast("long").alias("n"), F.col("ticks").cast("long").alias("ticks"), F.lit(None).cast("long").alias("_from"))
+    if held is not None:
+        none = lambda c: F.lit(None).cast(rows.schema[c].dataType).alias(c)
+        rows = rows.unionByName(held.select(*by, F.lit(0).alias("_at"), none("_order"), none("_tie"), F.col("may").alias("_mark"), "n", "ticks", F.col("chain").alias("_from")))
+    group = Window.partitionBy(*by)
+    line = group.orderBy("_at", "_order")
+    last = lambda end: F.coalesce(F.last("_mark", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, end)), F.lit(False))
+    rows = rows.withColumn("_before", last(-1)).withColumn("may", last(0))
+    goes_on = F.col("_before") & F.coalesce(F.col("_tie").isin("continue", "stop"), F.lit(False))
+    begun = F.coalesce("_from", F.when(goes_on, 0).otherwise(1).cast("long"))
+    rows = rows.withColumn("chain", F.sum(begun).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    out = rows.groupBy(*by, "chain").agg(F.sum("n").alias("n"), F.sum("ticks").alias("ticks"), F.max_by("may", F.struct("_at", "_order")).alias("may"), F.max("_at").alias("_at"))
+    return out.select(*by, "chain", "n", "ticks", (F.col("chain") == F.max("chain").over(group)).alias("open"), "may", (F.max("_at").over(group) == 1).alias("told"))
+
+
 def upsert_chains(notes: DataFrame, by: list[str], order: str, path: str, checkpoint: str) -> None:
     """Lay down the chains that each batch of a stream changed, in a folder of its own number, and stop when what arrived is read.
 
-    The next call goes on from the checkpoint, with the chains that were open.
+    The next call goes on from the checkpoint, with the chains that were open. These are a table beside the checkpoint,
+    one for each batch, of which the last two stay; a batch that runs twice reads the same and writes the same.
     """
-    sink = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/run={number}")
-    tie_chains(notes, by, order).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = notes.sparkSession
+    state = f"{checkpoint.rstrip('/')}-chains"
+
+    def step(batch: DataFrame, number: int) -> None:
+        held = spark.read.parquet(f"{state}/run={number - 1}").where("open") if number else None
+        changed_chains(batch, held, by, order).write.mode("overwrite").parquet(f"{state}/run={number}")
+        told = spark.read.parquet(f"{state}/run={number}").where("told").drop("may", "told")
+        told.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/run={number}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{state}/run={number - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+    rows = notes.select(*by, order, "tie", "ticks")
+    rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def latest_chains(spark: SparkSession, path: str, by: list[str]) -> DataFrame:

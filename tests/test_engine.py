@@ -447,3 +447,27 @@ def test_strips_put_together_keep_weight_mean_and_spread(monkeypatch):
         w, mean, m2 = found.all(128)
         assert w.sum() == len(want) and (w * mean).sum() == pytest.approx(want.sum()) and len(w) <= 128
         assert (m2 + w * (mean - want.mean()) ** 2).sum() == pytest.approx(((want - want.mean()) ** 2).sum()) and (found.low, found.high) == pytest.approx((want.min(), want.max()), abs=1e-9)
+
+
+def test_chains_of_a_batch_go_on_from_those_held(spark):
+    rng = random.Random(4)
+    kinds = ["start", "continue", "stop", None, "odd"]
+    rows = [(p, k, rng.choice(kinds), rng.randrange(1, 5)) for p in range(12) for k in range(15)]
+    held, told, schema = None, {}, "piece long, seq_no long, tie string, ticks int"
+    for number, (low, high) in enumerate(((0, 4), (5, 9), (10, 14))):
+        # Some pieces are silent in the second batch, and their chains stay open.
+        batch = [r for r in rows if low <= r[1] <= high and not (number == 1 and r[0] % 3 == 0)]
+        found = streams.changed_chains(spark.createDataFrame(batch, schema), held, ["piece"], "seq_no").collect()
+        assert {r["piece"] for r in found if r["told"]} == {r[0] for r in batch} and sum(r["open"] for r in found) == 12
+        told |= {(r["piece"], r["chain"]): (r["n"], r["ticks"]) for r in found if r["told"]}
+        held = spark.createDataFrame([tuple(r[c] for c in ("piece", "chain", "n", "ticks", "may")) for r in found if r["open"]], "piece long, chain long, n long, ticks long, may boolean")
+    heard = [r for r in rows if not (r[0] % 3 == 0 and 5 <= r[1] <= 9)]
+    want: dict = {}
+    for p in range(12):
+        chain, may = 0, False
+        for _, _, tie, ticks in (r for r in heard if r[0] == p):
+            chain += not (may and tie in ("continue", "stop"))
+            may = tie == "start" or (may and tie is not None)
+            n, total = want.get((p, chain), (0, 0))
+            want[p, chain] = (n + 1, total + ticks)
+    assert told == want
