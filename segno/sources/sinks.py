@@ -5,9 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +15,9 @@ from segno.functions import music
 from segno.operators.checks import guard_resume
 from segno.shipping import ship_package
 
+#: Bytes of score files that a task hands on at once.
+WRITTEN_BYTES = 4 << 20
+
 
 def six_places(df: DataFrame) -> DataFrame:
     """Floating columns as text with six places; null as empty text."""
@@ -127,36 +130,49 @@ def utc_text(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def made_files(batches: Iterator[pa.RecordBatch], by: list[str], columns: list[str], make: Callable[..., bytes]) -> Iterator[pa.RecordBatch]:
+    """(by, content): ``make`` of the arrays of each row. One row at a time is held as objects, and files are handed on
+    when they have WRITTEN_BYTES."""
+    for batch in batches:
+        begun, content, size = 0, [], 0
+        for k in range(batch.num_rows):
+            content.append(make(*[batch.column(c)[k].as_py() for c in columns]))
+            size += len(content[-1])
+            if size >= WRITTEN_BYTES or k + 1 == batch.num_rows:
+                names = [batch.column(c).slice(begun, len(content)) for c in by]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(content, pa.binary())], [*by, "content"])
+                begun, content, size = k + 1, [], 0
+
+
+def _contents(pieces: DataFrame, by: list[str], columns: list[str], make: Callable[..., bytes]) -> DataFrame:
+    ship_package(pieces.sparkSession)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*by).schema)
+    return pieces.select(*by, *columns).mapInArrow(lambda batches: made_files(batches, by, columns, make), f"{kinds}, content binary")
+
+
 def encoded_scores(notes: DataFrame, by: list[str], form: str = "midi", bpm: float = 120.0) -> DataFrame:
     """(by, content): each piece's notes as a MIDI file or a MusicXML score, made on the executors."""
-    ship_package(notes.sparkSession)
     fields = ["pitch", "velocity", "start_s", "end_s"] if form == "midi" else ["pitch", "offset_q", "length_q"]
     pieces = notes.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("seq_no", *fields))).alias("notes"))  # a piece's own notes
-    schema = ", ".join(f"{c} {kind}" for c, kind in pieces.select(*by).dtypes) + ", content binary"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(rows: list[dict]) -> bytes:
         from segno.sources import scores
 
-        for batch in batches:
-            content = []
-            for held in batch["notes"]:
-                rows = [dict(n.asDict() if hasattr(n, "asDict") else n) for n in held]
-                content.append(scores.midi(rows, bpm) if form == "midi" else scores.musicxml(rows, bpm=bpm).encode())
-            yield batch[by].assign(content=content)
+        return scores.midi(rows, bpm) if form == "midi" else scores.musicxml(rows, bpm=bpm).encode()
 
-    return pieces.mapInPandas(run, schema)
+    return _contents(pieces, by, ["notes"], make)
 
 
-def assembled_scores(pieces: DataFrame, by: list[str], bpm: float = 120.0) -> DataFrame:
-    """(by, content): MusicXML of pieces with notes and chords as arrays (``assembly.with_chords``), made on the executors."""
-    ship_package(pieces.sparkSession)
-    schema = ", ".join(f"{c} {kind}" for c, kind in pieces.select(*by).dtypes) + ", content binary"
-    plain = lambda rows: [dict(r.asDict() if hasattr(r, "asDict") else r) for r in rows]
+def assembled_scores(pieces: DataFrame, by: list[str], bpm: float = 120.0, packed: bool = False) -> DataFrame:
+    """(by, content): MusicXML of pieces with notes and chords as arrays (``assembly.with_chords``), made on the executors.
+
+    ``packed`` gives compressed MusicXML, for names that end in .mxl.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(notes: list[dict], chords: list[dict]) -> bytes:
         from segno.sources import scores
 
-        for batch in batches:
-            yield batch[by].assign(content=[scores.musicxml(plain(n), plain(c), bpm).encode() for n, c in zip(batch["notes"], batch["chords"], strict=True)])
+        text = scores.musicxml(notes, chords, bpm)
+        return scores.packed_musicxml(text) if packed else text.encode()
 
-    return pieces.select(*by, "notes", "chords").mapInPandas(run, schema)
+    return _contents(pieces, by, ["notes", "chords"], make)

@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from segno.sources import scores, sinks, tables
@@ -101,3 +102,31 @@ def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
     spark.range(2).write.parquet(str(source / "b"))
     streams.run_available(stream(), str(tmp_path / "out"), str(tmp_path / "state"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_compressed_scores(spark, tmp_path):
+    text = scores.musicxml([{"offset_q": 0.5, "length_q": 4.0, "pitch": 61}], [{"offset_q": 0.0, "root_pc": 1, "kind": "minor"}])
+    packed = scores.packed_musicxml(text)
+    assert list(scores.parse_musicxml(packed)) == list(scores.parse_musicxml(text.encode())) and packed == scores.packed_musicxml(text) and len(packed) < len(text)
+    broken = packed.replace(b"META-INF/container.xml", b"META-INF/containes.xml")
+    (tmp_path / "a.mxl").write_bytes(packed)
+    (tmp_path / "b.mxl").write_bytes(broken)
+    got = {r["path"][-5:]: r["error"] for r in scores.read_musicxml(spark, str(tmp_path), "*.mxl").select("path", "error").distinct().collect()}
+    assert got["a.mxl"] is None and "container" in got["b.mxl"]
+
+
+def test_a_task_holds_one_piece_and_few_files(monkeypatch):
+    """Pieces of one batch are made one by one, and handed on before all are made."""
+    monkeypatch.setattr(sinks, "WRITTEN_BYTES", 20)
+    batch = pa.RecordBatch.from_pydict({"piece": list(range(30)), "notes": [[{"pitch": p}] for p in range(30)]})
+    made: list[int] = []
+
+    def make(notes: list[dict]) -> bytes:
+        made.append(notes[0]["pitch"])
+        return b"%04d" % notes[0]["pitch"]
+
+    found = sinks.made_files(iter([batch]), ["piece"], ["notes"], make)
+    first = next(found)
+    assert len(made) == first.num_rows == 5
+    rows = [r for b in (first, *found) for r in b.to_pylist()]
+    assert rows == [{"piece": p, "content": b"%04d" % p} for p in range(30)]
