@@ -202,7 +202,7 @@ SELECT theme::VARCHAR AS theme, model, 'note' AS kind, (bar + 1)::INTEGER AS mea
 UNION ALL SELECT theme::VARCHAR, model, 'chord', (floor((offset_q + k * 16) / 4) + 1)::INTEGER, (offset_q + k * 16) % 4, NULL, root_pc, kind
 FROM chords JOIN totals USING (theme) CROSS JOIN (SELECT unnest(range(10000)) AS k) WHERE chunk_idx = 0 AND root_pc IS NOT NULL AND offset_q + k * 16 < bars * 4""")
 def score_assembly(spark, d):
-    """Pieces from seconds to MusicXML and back: sixteenths or triplets, ties at barlines, the theme's chords repeated.
+    """Pieces from seconds to compressed MusicXML and back: sixteenths or triplets, ties at barlines, the theme's chords repeated.
 
     The pieces of even themes are in sixteenths, those of odd ones in triplets.
     """
@@ -212,11 +212,11 @@ def score_assembly(spark, d):
     rows = piece_notes(spark, d).select(*PIECE, "seq_no", "pitch", (F.col("on_ticks") / unit / 2).alias("start_s"), ((F.col("on_ticks") + F.col("ticks")) / unit / 2).alias("end_s"))
     line = assembly.melody_line(rows, PIECE, F.lit(120.0))
     own = chords(spark, d).where("chunk_idx = 0").join(rows.select(*PIECE).distinct(), "theme").select(*PIECE, "offset_q", "root_pc", "kind")
-    made = sinks.assembled_scores(assembly.with_chords(line, own, PIECE, 16.0), PIECE)
-    made = made.select(F.concat(F.col("theme").cast("string"), F.lit("/"), F.col("model"), F.lit(".musicxml")).alias("path"), "content")
+    made = sinks.assembled_scores(assembly.with_chords(line, own, PIECE, 16.0), PIECE, packed=True)
+    made = made.select(F.concat(F.col("theme").cast("string"), F.lit("/"), F.col("model"), F.lit(".mxl")).alias("path"), "content")
     made.write.format("segno_scores").mode("append").save(folder)
-    read = spark.read.format("segno_scores").option("kind", "musicxml").load(folder).where("kind in ('note', 'chord')")
-    theme, model = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), F.regexp_extract("path", r"([^/]+)\.musicxml$", 1)
+    read = spark.read.format("segno_scores").option("kind", "musicxml").option("pattern", "*.mxl").load(folder).where("kind in ('note', 'chord')")
+    theme, model = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), F.regexp_extract("path", r"([^/]+)\.mxl$", 1)
     value = F.when(F.col("kind") == "note", F.col("pitch")).otherwise(F.col("root_pc"))
     word = F.when(F.col("kind") == "note", F.col("tie")).otherwise(F.col("chord_kind"))
     length = F.when(F.col("kind") == "note", F.round("length_q", 6))
