@@ -8,8 +8,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from segno.functions import music
 from segno.operators.checks import guard_resume
@@ -151,16 +153,27 @@ def _contents(pieces: DataFrame, by: list[str], columns: list[str], make: Callab
 
 
 def encoded_scores(notes: DataFrame, by: list[str], form: str = "midi", bpm: float = 120.0) -> DataFrame:
-    """(by, content): each piece's notes as a MIDI file or a MusicXML score, made on the executors."""
+    """(by, content): each piece's notes as a MIDI file or a MusicXML score, made on the executors.
+
+    Pieces go to the workers one at a time, as rows, in parts; only the piece that is made is held whole.
+    """
+    ship_package(notes.sparkSession)
     fields = ["pitch", "velocity", "start_s", "end_s"] if form == "midi" else ["pitch", "offset_q", "length_q"]
-    pieces = notes.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("seq_no", *fields))).alias("notes"))  # a piece's own notes
+    held = notes.select(*by, "seq_no", *fields)
+    kinds = pa.schema([f for f in to_arrow_schema(held.schema) if f.name in by])
 
-    def make(rows: list[dict]) -> bytes:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from segno.sources import scores
 
-        return scores.midi(rows, bpm) if form == "midi" else scores.musicxml(rows, bpm=bpm).encode()
+        piece = pa.Table.from_batches(list(batches))  # a piece's own notes
+        piece = piece.take(pc.sort_indices(piece, [(c, "ascending") for c in ("seq_no", *fields)], null_placement="at_start"))
+        rows = piece.select(fields).to_pylist()
+        content = scores.midi(rows, bpm) if form == "midi" else scores.musicxml(rows, bpm=bpm).encode()
+        names = [piece.column(c).slice(0, 1).combine_chunks().cast(kinds.field(c).type) for c in by]
+        yield pa.RecordBatch.from_arrays([*names, pa.array([content], pa.binary())], [*by, "content"])
 
-    return _contents(pieces, by, ["notes"], make)
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in notes.select(*by).schema)
+    return held.groupBy(*by).applyInArrow(make, f"{names}, content binary")
 
 
 def assembled_scores(pieces: DataFrame, by: list[str], bpm: float = 120.0, packed: bool = False) -> DataFrame:

@@ -130,3 +130,26 @@ def test_a_task_holds_one_piece_and_few_files(monkeypatch):
     assert len(made) == first.num_rows == 5
     rows = [r for b in (first, *found) for r in b.to_pylist()]
     assert rows == [{"piece": p, "content": b"%04d" % p} for p in range(30)]
+
+
+def test_pieces_go_to_the_workers_one_at_a_time(spark):
+    """Notes are gathered neither in the plan nor by the batch; a piece that comes in several batches is one file."""
+    rows = [(p, k, 40 + k, 80, k * 0.5, k * 0.5 + 0.5) for p in ("a", "b", None) for k in range(7)]
+    df = spark.createDataFrame(rows[::-1], "piece string, seq_no int, pitch int, velocity int, start_s double, end_s double")
+    made = sinks.encoded_scores(df, ["piece"])
+    assert "collect_list" not in made._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        got = {r["piece"]: [n["pitch"] for n in scores.parse_midi(bytes(r["content"]))] for r in made.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {p: list(range(40, 47)) for p in ("a", "b", None)}
+
+
+def test_notes_of_pieces_are_shuffled_once(spark, tmp_path):
+    from segno.plans.bindings import PIECE, piece_notes
+
+    row = (1, 1, 1, 1, 5.0, 9.5, 0.02, "R")
+    spark.createDataFrame([row], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    made = sinks.encoded_scores(piece_notes(spark, str(tmp_path)), PIECE)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
