@@ -31,30 +31,30 @@ def melody_line(notes: DataFrame, by: list[str], bpm: Column) -> DataFrame:
     return one.select(*by, "seq_no", "pitch", "offset_q", length.alias("length_q"))
 
 
-def tiled_chords(chords: DataFrame, totals: DataFrame, by: list[str], cycle_q: float) -> DataFrame:
-    """Chords (by, offset_q, ...) of the first ``cycle_q`` quarters, again in every cycle of a piece that is ``total_q`` long.
+def tiled_chords(cycle: Column, total_q: Column, cycle_q: float) -> Column:
+    """The chords (offset_q, ...) of a cycle as a sorted array, again in every cycle of a piece that is ``total_q`` long.
 
-    None is placed at or behind the end. ``totals`` has (by, total_q); a piece without chords has none.
+    None is placed at or behind the end.
     """
-    held = chords.where((F.col("offset_q") >= 0) & (F.col("offset_q") < cycle_q)).join(totals.select(*by, "total_q"), by)
-    again = held.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor(F.col("total_q") / cycle_q).cast("int"))))
-    out = again.withColumn("offset_q", F.col("offset_q") + F.col("_k") * cycle_q)
-    return out.where("offset_q < total_q").drop("_k", "total_q")
-
-
-def whole_bars(line: DataFrame, by: list[str]) -> DataFrame:
-    """(by, total_q): the quarters of all bars that a piece's notes reach."""
-    end = F.max(F.col("offset_q") + F.col("length_q"))
-    return line.groupBy(*by).agg((F.ceil(end / BAR_Q - 1e-9) * BAR_Q).cast("double").alias("total_q"))
+    kinds = ("root_pc", "kind")
+    moved = lambda c, k: F.struct((c["offset_q"] + k * cycle_q).alias("offset_q"), *[c[x].alias(x) for x in kinds])
+    again = F.transform(F.sequence(F.lit(0), F.floor(total_q / cycle_q).cast("int")), lambda k: F.transform(cycle, lambda c: moved(c, k)))
+    return F.filter(F.flatten(again), lambda c: c["offset_q"] < total_q)
 
 
 def with_chords(line: DataFrame, chords: DataFrame | None, by: list[str], cycle_q: float = 32.0) -> DataFrame:
-    """(by, notes, chords): each piece's notes and tiled chords as sorted arrays, ready to be written as a score."""
+    """(by, notes, chords): each piece's notes and tiled chords as sorted arrays, ready to be written as a score.
+
+    Chords fill all bars that a piece's notes reach. They are repeated within their piece's row.
+    """
     note = F.struct("offset_q", "seq_no", "length_q", "pitch")
-    held = line.groupBy(*by).agg(F.sort_array(F.collect_list(note)).alias("notes"))  # a piece's own notes
+    none = F.array().cast("array<struct<offset_q:double,root_pc:int,kind:string>>")
+    end = F.max(F.col("offset_q") + F.col("length_q"))
+    total = (F.ceil(end / BAR_Q - 1e-9) * BAR_Q).cast("double")
+    held = line.groupBy(*by).agg(F.sort_array(F.collect_list(note)).alias("notes"), total.alias("total_q"))  # a piece's own notes
     if chords is None:
-        return held.withColumn("chords", F.array().cast("array<struct<offset_q:double,root_pc:int,kind:string>>"))
-    tiled = tiled_chords(chords.where("root_pc is not null"), whole_bars(line, by), by, cycle_q)
+        return held.drop("total_q").withColumn("chords", none)
     chord = F.struct(F.col("offset_q").cast("double").alias("offset_q"), F.col("root_pc").cast("int").alias("root_pc"), "kind")
-    of = tiled.groupBy(*by).agg(F.sort_array(F.collect_list(chord)).alias("chords"))
-    return held.join(of, by, "left").withColumn("chords", F.coalesce("chords", F.array().cast(of.schema["chords"].dataType)))
+    first = chords.where("root_pc is not null").where((F.col("offset_q") >= 0) & (F.col("offset_q") < cycle_q))
+    of = first.groupBy(*by).agg(F.sort_array(F.collect_list(chord)).alias("cycle"))
+    return held.join(of, by, "left").select(*by, "notes", F.coalesce(tiled_chords(F.col("cycle"), F.col("total_q"), cycle_q), none).alias("chords"))

@@ -183,8 +183,9 @@ def quarter_snapped(notes: DataFrame, by: list[str]) -> DataFrame:
     quarter = notes.withColumn("_quarter", F.floor("offset_q"))
     off = F.col("offset_q") - F.col("_quarter")
     gap = lambda n: F.abs(off - F.rint(off * n) / n)
-    sums = quarter.groupBy(*by, "_quarter").agg(F.round(F.sum(gap(4)), 9).alias("_straight"), F.round(F.sum(gap(3)), 9).alias("_triplet"))
-    met = quarter.join(sums, [*by, "_quarter"]).withColumn("grid", F.when(F.col("_triplet") < F.col("_straight"), 3).otherwise(4))
+    within = Window.partitionBy(*by, "_quarter")
+    sums = lambda n: F.round(F.sum(gap(n)).over(within), 9)
+    met = quarter.withColumns({"_straight": sums(4), "_triplet": sums(3)}).withColumn("grid", F.when(F.col("_triplet") < F.col("_straight"), 3).otherwise(4))
     return met.withColumn("snapped_q", F.col("_quarter") + F.rint(off * F.col("grid")) / F.col("grid")).drop("_quarter", "_straight", "_triplet")
 
 

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from segno import shared
@@ -471,3 +472,14 @@ def test_chains_of_a_batch_go_on_from_those_held(spark):
             n, total = want.get((p, chain), (0, 0))
             want[p, chain] = (n + 1, total + ticks)
     assert told == want
+
+
+def test_a_score_is_assembled_from_one_shuffle_of_its_notes(spark):
+    """Notes that are dealt by piece are not dealt again for grids, the one voice, lengths and the chords of all bars."""
+    rows = spark.createDataFrame([("p", 60 + k, k * 0.5, k * 0.5 + 0.5) for k in range(8)], "piece string, pitch int, start_s double, end_s double")
+    rows = rows.withColumn("seq_no", F.row_number().over(Window.partitionBy("piece").orderBy("start_s")))
+    chords = spark.createDataFrame([("p", 0.0, 0, "major"), ("p", 3.0, None, "major"), ("p", 9.0, 2, "minor")], "piece string, offset_q double, root_pc int, kind string")
+    made = assembly.with_chords(assembly.melody_line(rows, ["piece"], F.lit(120.0)), chords, ["piece"], 4.0)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # notes; chords
+    got = made.first()
+    assert len(got["notes"]) == 8 and [(c["offset_q"], c["root_pc"]) for c in got["chords"]] == [(0.0, 0), (4.0, 0)]
