@@ -376,7 +376,8 @@ def templates(pages: DataFrame, share: float = 0.5, least_pages: int = 3, least_
     """
     pages, sizes = distinct_contents(pages)
     tokens = tokens_by_host(pages)
-    frequent = tokens.join(sizes, "host").where((F.col("pages") >= F.col("of") * share) & (F.col("pages") >= least_pages))
+    # Every page is read for this, so it is written once; three steps take it from there.
+    frequent = settle(tokens.join(sizes, "host").where((F.col("pages") >= F.col("of") * share) & (F.col("pages") >= least_pages)))
     classes = frequent.groupBy("host", "vector", "pages").agg(F.collect_set("token").alias("tokens"), F.collect_set("mate").alias("mates"))
     valid = classes.where(F.size("tokens") >= least_class).select("host", F.explode("tokens").alias("token"))
     # Nesting: an opening tag whose closing tag is in no valid class is no template token.

@@ -742,3 +742,13 @@ def test_pipeline_against_brute_force(spark, corpus, tmp_path):
     assert {r["doc_id"] for r in got} == {i for i, _ in kept}
     check_packing(kept, got)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontamination", "packing"]
+
+
+def test_pages_are_read_once_for_their_templates(spark):
+    """Classes, their nesting and their closing tags take the tokens from one reading of the pages."""
+    page = "<html><body><div class='x'><p>Same words here</p><p>%s</p></div></body></html>"
+    rows = [(k, "http://a/x", page % f"own text {k}") for k in range(4)]
+    pages = html_extract._pages(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html")
+    found = html_extract.templates(pages)
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+    assert [r["host"] for r in found.collect()] == ["a"]
