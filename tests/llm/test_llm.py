@@ -6,7 +6,7 @@ import random
 import re
 import time
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -249,8 +249,6 @@ def test_line_dedup_against_brute_force(spark, near_lines, monkeypatch, limit, c
     held, first = first_places(rows)
     xs = sorted(first, key=first.get)
     prints = [brute_blocks(x) for x in xs]
-    lines_of = Counter(x for held in prints for x in held)
-    prints = [{x for x in held if lines_of[x] <= common or 2 * sum(lines_of[y] > common for y in held) >= len(held)} for held in prints]
     roots = joined(xs, lambda a, b: not prints[a].isdisjoint(prints[b]) and alike(xs[a], xs[b]))
     kept = {first[xs[k]] for k in roots}
     assert len(kept) < len(xs)  # some fuzzy groups exist
@@ -261,6 +259,20 @@ def test_line_dedup_against_brute_force(spark, near_lines, monkeypatch, limit, c
         assert got[i]["n_lines"] == n and got[i]["n_dropped"] == n_worded - len(got[i]["kept_lines"])
 
 
+def test_line_dedup_links_lines_that_share_a_common_passage_only(spark, monkeypatch):
+    """A block that many lines have links those that are alike, however little else of them is made of such blocks."""
+    monkeypatch.setattr(line_dedup, "CELL", 16)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    passage = [word() for _ in range(14)]  # holds a block whatever stands before it
+    lines = [" ".join([word() for _ in range(14)] + passage) for _ in range(100)]
+    words = lines[70].split(" ")
+    near = " ".join(w if k >= 14 or k % 2 else f"{w[:2]}z{w[3:]}" for k, w in enumerate(words))  # each block before the passage changes
+    assert brute_blocks(near) & brute_blocks(lines[70]) <= brute_blocks(lines[3]) | brute_blocks(lines[5]) and alike(near, lines[70])
+    got = {r["doc_id"]: r["n_dropped"] for r in collect(line_dedup.dedup_lines(frame(spark, list(enumerate([*lines, near])))))}
+    assert got == {k: int(k == 100) for k in range(101)}
+
+
 def test_line_dedup_finds_lines_of_the_edit_similarity(spark, near_lines):
     """Against edit similarity alone, over all pairs: no false link, and nine in ten of the lines to drop."""
     got = collect(line_dedup.dedup_lines(frame(spark, near_lines)))
