@@ -51,6 +51,8 @@ BAD_WORD = 0.3
 BUCKETS = 1 << 20
 #: Scored tokens that one Python worker keeps; a full cache takes no more.
 CACHE_TOKENS = 700_000
+#: Tokens whose buckets one Python worker keeps while it learns, likewise.
+CACHE_FEATURES = 300_000
 
 _CLASSES = 28  # 0: between words, 1-26: a-z, 27: any other letter
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -105,7 +107,15 @@ def _options(c: str) -> list[tuple[str, int, float]]:
     return [(x, _class(x) if x else 0, cost) for x, cost in options]
 
 
-_ASCII_OPTIONS = {chr(k): _options(chr(k)) for k in range(128)}
+class _Options(dict):
+    """The options of every character that came up."""
+
+    def __missing__(self, c: str) -> list[tuple[str, int, float]]:
+        self[c] = options = _options(c)
+        return options
+
+
+_OPTIONS = _Options()
 _REPEAT = ("", 0, COST_REPEAT)
 
 
@@ -115,7 +125,8 @@ def decode(token: str, model: list[float]) -> str:
     Every FOLD characters the paths so far are laid down, and each goes on from one sign that tells its
     number, so a character costs the same at the end of a long token.
     """
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # A state a, b is the number a * _CLASSES + b.
+    states: dict[int, tuple[float, str]] = {0: (0.0, "")}
     laid: list[list[str]] = []
     before = ""
     for begin in range(0, len(token), FOLD):
@@ -123,24 +134,28 @@ def decode(token: str, model: list[float]) -> str:
             laid.append([path for _, path in states.values()])
             states = {state: (score, chr(_FIRST_SIGN + k)) for k, (state, (score, _)) in enumerate(states.items())}
         for c in token[begin : begin + FOLD]:
-            options = _ASCII_OPTIONS.get(c) or _options(c)
+            options = _OPTIONS[c]
             if c == before:
                 options = [*options, _REPEAT]
-            reached: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, path) in states.items():
-                row = (a * _CLASSES + b) * _CLASSES
-                for letter, k, cost in options:
-                    if letter:
-                        state, value = (b, k), score + cost + model[row + k]
-                    else:
-                        state, value = (a, b), score + cost
-                    held = reached.get(state)
-                    if held is None or value > held[0]:
-                        reached[state] = (value, path + letter)
+            reached: dict[int, tuple[float, str]] = {}
+            if len(states) == 1 and len(options) == 1 and options[0][0]:  # one way to go on, as in most places
+                [(state, (score, path))], [(letter, k, cost)] = states.items(), options
+                reached[state % _CLASSES * _CLASSES + k] = score + cost + model[state * _CLASSES + k], path + letter
+            else:
+                for at, (score, path) in states.items():
+                    row, next_row = at * _CLASSES, at % _CLASSES * _CLASSES
+                    for letter, k, cost in options:
+                        if letter:
+                            state, value = next_row + k, score + cost + model[row + k]
+                        else:
+                            state, value = at, score + cost
+                        held = reached.get(state)
+                        if held is None or value > held[0]:
+                            reached[state] = (value, path + letter)
             states = reached
             if not c.isspace():
                 before = c
-    path = max((score + model[(a * _CLASSES + b) * _CLASSES], path) for (a, b), (score, path) in states.items())[1]
+    path = max((score + model[state * _CLASSES], path) for state, (score, path) in states.items())[1]
     parts = []
     for paths in reversed(laid):
         parts.append(path[1:])
@@ -150,17 +165,21 @@ def decode(token: str, model: list[float]) -> str:
 
 def restored(token: str, model: list[float], run: bool = False) -> list[str]:
     """The words of a lower-case token, and those it may hide; a ``run`` is read as single characters parted by spaces."""
-    own = _WORDS.findall(token)
+    own = [token] if token.isalpha() else _WORDS.findall(token)
     if run:
         return own + _WORDS.findall(decode(" ".join(token), model)) if own else own
+    if not _SUSPECT.search(token):
+        return own
     # Separators at the ends part no letters; an exclamation mark there may be one or a letter.
     core = token.strip(SEPARATORS)
     forms = {x for x in {core, core.rstrip("!" + SEPARATORS)} if _SUSPECT.search(x)}
     return own + [w for x in sorted(forms) for w in _WORDS.findall(decode(x, model))]
 
 
-def spaced(text: str) -> list[str]:
+def spaced(text: str, tokens: list[str] | None = None) -> list[str]:
     """Runs of three or more single characters, as tokens."""
+    if b"\1\1\1" not in bytes(map((1).__eq__, map(len, text.split() if tokens is None else tokens))):
+        return []  # most texts, which go without a pattern
     return ["".join(m.split()) for m in _SPACED.findall(text)]
 
 
@@ -172,43 +191,55 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in ("=" + word, *("^" + word[:k] for k in (4, 5) if len(word) > k))]
 
 
-def _document_features(text: str, model: list[float], known: dict[str, list[int]]) -> np.ndarray:
+@dataclass
+class Tokens:
+    """The character model; ``known`` keeps the buckets of tokens in a worker, from one task to the next."""
+
+    model: list[float]
+    known: dict[str, array] = field(default_factory=dict)
+
+
+def _document_features(text: str, tokens: Tokens) -> np.ndarray:
     held: set[int] = set()
-    for token in set(text.split()):
+    every, known = text.split(), tokens.known
+    for token in set(every):
         got = known.get(token)
         if got is None:
-            got = [b for w in restored(token, model) for b in features(w)]
-            if len(known) < CACHE_TOKENS:
+            got = array("i", [b for w in restored(token, tokens.model) for b in features(w)])
+            if len(known) < CACHE_FEATURES:
                 known[token] = got
         held.update(got)
-    for token in set(spaced(text)):
-        held.update(b for w in restored(token, model, run=True) for b in features(w))
+    for token in set(spaced(text, every)):
+        held.update(b for w in restored(token, tokens.model, run=True) for b in features(w))
     return np.fromiter(held, dtype=np.int64, count=len(held))
 
 
 def _copy_key(text: str) -> int:
     """The least hash of four consecutive words: near copies mostly share it."""
     held = text.encode("utf-8", "surrogatepass").split()
-    return min((zlib.crc32(b" ".join(held[k : k + 4])) for k in range(max(1, len(held) - 3))), default=0)
+    if len(held) < 4:
+        return zlib.crc32(b" ".join(held))
+    return min(map(zlib.crc32, map(b" ".join, zip(held, held[1:], held[2:], held[3:], strict=False))))
 
 
 @dataclass
 class Lexicon:
     """Scores by bucket, the character model, and weights of the evidence (the first is the bias).
 
-    ``known`` keeps the scores of tokens in a worker, from one task to the next.
+    ``known`` keeps the scores of tokens in a worker, ``starts`` those of beginnings of words, from one task to the next.
     """
 
     scores: array
     model: list[float]
     weights: np.ndarray | None = None
     known: dict[str, float] = field(default_factory=dict)
+    starts: dict[str, float] = field(default_factory=dict)
 
 
 def train(rows: DataFrame, model: list[float], z: float = 3.0) -> Lexicon:
     """A lexicon from rows (doc_id, text, toxic), all of which count; null labels are left out."""
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(Tokens(model))
     rows = rows.where(F.col("toxic").isNotNull())
 
     def make_keys():
@@ -221,12 +252,10 @@ def train(rows: DataFrame, model: list[float], z: float = 3.0) -> Lexicon:
     once = keyed.groupBy("key", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("row")).select("toxic", "row.text")
 
     def make():
-        known: dict[str, list[int]] = {}
-
         def step(batch):
             counts = np.zeros((2, BUCKETS), dtype=np.int32)
             for toxic, text in zip(batch.column("toxic").to_pylist(), texts(batch), strict=True):
-                counts[int(toxic > 0), _document_features(text.lower(), shared.value, known)] += 1
+                counts[int(toxic > 0), _document_features(text.lower(), shared.value)] += 1
             held = np.flatnonzero(counts.any(axis=0))
             return {"bucket": held, "clean": counts[0, held], "toxic": counts[1, held]}
 
@@ -246,24 +275,45 @@ def evidence(text: str, lexicon: Lexicon) -> list[float]:
     """What a text holds: its worst word, the next worst, how many bad words there are and how dense."""
     text = text.lower()
     tokens, known = text.split(), lexicon.known
-    got = list(map(known.get, tokens))
-    for k, value in enumerate(got):
-        if value is None:
-            got[k] = value = _token_score(tokens[k], lexicon)
-            if len(known) < CACHE_TOKENS:
-                known[tokens[k]] = value
-    hidden = spaced(text)
-    tokens += hidden
-    got += [_token_score(t, lexicon, run=True) for t in hidden]
-    bad = {t: v for t, v in zip(tokens, got, strict=True) if v >= BAD_WORD / 2}
+    own = list(set(tokens))
+    got = list(map(known.get, own))
+    if None in got:
+        for k, value in enumerate(got):
+            if value is None:
+                got[k] = value = _token_score(own[k], lexicon)
+                if len(known) < CACHE_TOKENS:
+                    known[own[k]] = value
+    hidden = spaced(text, tokens)
+    shown = [_token_score(t, lexicon, run=True) for t in hidden]
+    worst = max([*got, *shown], default=0.0)
+    bad, n = {}, 0
+    if worst >= BAD_WORD / 2:
+        scores = dict(zip(own, got, strict=True))
+        # A token that a run hides as well counts as the run does.
+        bad = {t: v for t, v in [*scores.items(), *zip(hidden, shown, strict=True)] if v >= BAD_WORD / 2}
+        n = sum(scores[t] >= BAD_WORD for t in tokens) + sum(v >= BAD_WORD for v in shown)
     top = sorted(bad.values(), reverse=True)[:2] + [0.0, 0.0]
-    n = sum(v >= BAD_WORD for v in got)
+    size = len(tokens) + len(hidden)
     logit = lambda p: float(np.log(max(p, 0.01) / max(1 - p, 0.01)))
-    return [logit(max(top[0], max(got, default=0.0))), logit(top[1]), float(np.log1p(n)), float(np.log((n + 0.5) / (len(tokens) + 20)))]
+    return [logit(worst), logit(top[1]), float(np.log1p(n)), float(np.log((n + 0.5) / (size + 20)))]
 
 
 def _token_score(token: str, lexicon: Lexicon, run: bool = False) -> float:
-    return max((lexicon.scores[b] for w in restored(token, lexicon.model, run) for b in features(w)), default=0.0)
+    return max([_word_score(w, lexicon) for w in restored(token, lexicon.model, run)], default=0.0)
+
+
+def _word_score(word: str, lexicon: Lexicon) -> float:
+    """The highest score among a word's ``features``; those of its beginnings are looked up together."""
+    own = lexicon.scores[zlib.crc32(("=" + word).encode("utf-8", "surrogatepass")) % BUCKETS]
+    if len(word) <= 4:
+        return own
+    start = word[:5] if len(word) > 5 else word[:4]
+    value = lexicon.starts.get(start)
+    if value is None:
+        value = max(lexicon.scores[b] for b in features(word)[1:])
+        if len(lexicon.starts) < CACHE_TOKENS:
+            lexicon.starts[start] = value
+    return max(own, value)
 
 
 def score_text(text: str, lexicon: Lexicon) -> float:

@@ -6,6 +6,7 @@ import random
 import re
 import time
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -629,6 +630,29 @@ def test_hidden_words_of_all_kinds_are_decoded(spark):
     assert toxicity.spaced("an a s s here") == ["ass"] and toxicity.spaced("a b and") == [] and toxicity.restored("letter.", model)[0] == "letter"
 
 
+def test_toxicity_reads_a_token_once(monkeypatch):
+    """A token that was read is not read again, not in another task of its worker either; the evidence is that of the plain form."""
+    read: list[str] = []
+    restored = toxicity.restored
+    monkeypatch.setattr(toxicity, "restored", lambda token, *a, **k: read.append(token) or restored(token, *a, **k))
+    draw = random.Random(3)
+    model = [draw.random() - 1 for _ in range(28**3)]
+    tokens = toxicity.Tokens(model)
+    first, again = (toxicity._document_features("an idiooot, st.u.p.1d idiooot", tokens) for _ in range(2))
+    assert sorted(read) == sorted({"an", "idiooot,", "st.u.p.1d", "idiooot"}) and set(first) == set(again)
+
+    lexicon = toxicity.Lexicon(array("d", [draw.random() ** 6 for _ in range(toxicity.BUCKETS)]), model)
+    for text in ["", " ", "a", "i d i o t", "x y i d i o t idiot", "élève èè " * 3, *("".join(draw.choices("iIdot1 !$-.*'éa\n\t,", k=draw.randrange(200))) for _ in range(200))]:
+        own, hidden = text.lower().split(), toxicity.spaced(text.lower())
+        score = lambda t, run: max((lexicon.scores[b] for w in restored(t, model, run) for b in toxicity.features(w)), default=0.0)
+        every = [(t, score(t, False)) for t in own] + [(t, score(t, True)) for t in hidden]
+        bad = sorted({t: v for t, v in every if v >= toxicity.BAD_WORD / 2}.values(), reverse=True) + [0.0, 0.0]
+        n = sum(v >= toxicity.BAD_WORD for _, v in every)
+        logit = lambda p: float(np.log(max(p, 0.01) / max(1 - p, 0.01)))
+        want = [logit(max((v for _, v in every), default=0.0)), logit(bad[1]), float(np.log1p(n)), float(np.log((n + 0.5) / (len(every) + 20)))]
+        assert toxicity.evidence(text, lexicon) == want, text
+
+
 # --- 10 -----------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></ul></nav><!-- ad -->
