@@ -42,10 +42,11 @@ def tiled_chords(cycle: Column, total_q: Column, cycle_q: float) -> Column:
     return F.filter(F.flatten(again), lambda c: c["offset_q"] < total_q)
 
 
-def with_chords(line: DataFrame, chords: DataFrame | None, by: list[str], cycle_q: float = 32.0) -> DataFrame:
+def with_chords(line: DataFrame, chords: DataFrame | None, by: list[str], cycle_q: float = 32.0, of: list[str] | None = None) -> DataFrame:
     """(by, notes, chords): each piece's notes and tiled chords as sorted arrays, ready to be written as a score.
 
-    Chords fill all bars that a piece's notes reach. They are repeated within their piece's row.
+    Chords fill all bars that a piece's notes reach. They are repeated within their piece's row. ``of`` names what
+    has chords of its own, a piece by default; pieces with equal ones share theirs.
     """
     note = F.struct("offset_q", "seq_no", "length_q", "pitch")
     none = F.array().cast("array<struct<offset_q:double,root_pc:int,kind:string>>")
@@ -56,5 +57,6 @@ def with_chords(line: DataFrame, chords: DataFrame | None, by: list[str], cycle_
         return held.drop("total_q").withColumn("chords", none)
     chord = F.struct(F.col("offset_q").cast("double").alias("offset_q"), F.col("root_pc").cast("int").alias("root_pc"), "kind")
     first = chords.where("root_pc is not null").where((F.col("offset_q") >= 0) & (F.col("offset_q") < cycle_q))
-    of = first.groupBy(*by).agg(F.sort_array(F.collect_list(chord)).alias("cycle"))
-    return held.join(of, by, "left").select(*by, "notes", F.coalesce(tiled_chords(F.col("cycle"), F.col("total_q"), cycle_q), none).alias("chords"))
+    of = of or by
+    cycles = first.groupBy(*of).agg(F.sort_array(F.collect_list(chord)).alias("cycle"))
+    return held.join(cycles, of, "left").select(*by, "notes", F.coalesce(tiled_chords(F.col("cycle"), F.col("total_q"), cycle_q), none).alias("chords"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from segno.functions import music
 from segno.operators import assembly, domain, relational
-from segno.shared import shared_folder, written
+from segno.shared import shared_folder, shuffles_dropped, written
 from segno.sources import score_source, sinks
 from segno.streaming import streams
 
@@ -18,6 +18,9 @@ from .book import query
 
 BASE = with_ctes(NOTES, PIECE_NOTES)
 
+#: Notes that are dealt to pieces and written as scores at a time, notes of a task about, and tasks at least.
+PORTION_NOTES, TASK_NOTES, TASKS = 6_000_000, 100_000, 12
+
 
 @query("chunk_rows_drop_tail", """
 SELECT user_id, event_id, (k // 8)::INTEGER AS chunk FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE k // 8 < n // 8""")
@@ -204,19 +207,25 @@ FROM chords JOIN totals USING (theme) CROSS JOIN (SELECT unnest(range(10000)) AS
 def score_assembly(spark, d):
     """Pieces from seconds to compressed MusicXML and back: sixteenths or triplets, ties at barlines, the theme's chords repeated.
 
-    The pieces of even themes are in sixteenths, those of odd ones in triplets.
+    The pieces of even themes are in sixteenths, those of odd ones in triplets. They are written in portions, so that
+    only the notes of one are in shuffle files; a task's notes fit its memory.
     """
     folder = f"{shared_folder(spark).rstrip('/')}/scores-{uuid.uuid4().hex}"
     score_source.register(spark)
     unit = F.when(F.col("theme") % 2 == 0, 4).otherwise(3)
-    rows = piece_notes(spark, d).select(*PIECE, "seq_no", "pitch", (F.col("on_ticks") / unit / 2).alias("start_s"), ((F.col("on_ticks") + F.col("ticks")) / unit / 2).alias("end_s"))
-    line = assembly.melody_line(rows, PIECE, F.lit(120.0))
-    own = chords(spark, d).where("chunk_idx = 0").join(rows.select(*PIECE).distinct(), "theme").select(*PIECE, "offset_q", "root_pc", "kind")
-    made = sinks.assembled_scores(assembly.with_chords(line, own, PIECE, 16.0), PIECE, packed=True)
-    made = made.select(F.concat(F.col("theme").cast("string"), F.lit("/"), F.col("model"), F.lit(".mxl")).alias("path"), "content")
-    made.write.format("segno_scores").mode("append").save(folder)
+    n = table(spark, d, "lineitem").count()
+    portions, tasks = max(1, -(-n // PORTION_NOTES)), max(TASKS, -(-min(n, PORTION_NOTES) // TASK_NOTES))
+    for k in range(portions):
+        rows = piece_notes(spark, d, k, portions, tasks).select(*PIECE, "seq_no", "pitch", (F.col("on_ticks") / unit / 2).alias("start_s"), ((F.col("on_ticks") + F.col("ticks")) / unit / 2).alias("end_s"))
+        line = assembly.melody_line(rows, PIECE, F.lit(120.0))
+        cycles = chords(spark, d).where("chunk_idx = 0").select("theme", "offset_q", "root_pc", "kind")
+        made = sinks.assembled_scores(assembly.with_chords(line, cycles, PIECE, 16.0, of=["theme"]), PIECE, packed=True)
+        # One folder: a block of disk for each theme's own folder is as much as for a score.
+        made = made.select(F.concat(F.col("theme").cast("string"), F.lit("-"), F.col("model"), F.lit(".mxl")).alias("path"), "content")
+        with shuffles_dropped(spark):
+            made.write.format("segno_scores").mode("append").save(folder)
     read = spark.read.format("segno_scores").option("kind", "musicxml").option("pattern", "*.mxl").load(folder).where("kind in ('note', 'chord')")
-    theme, model = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), F.regexp_extract("path", r"([^/]+)\.mxl$", 1)
+    theme, model = (F.regexp_extract("path", r"/(-?\d+)-([^/]*)\.mxl$", k) for k in (1, 2))
     value = F.when(F.col("kind") == "note", F.col("pitch")).otherwise(F.col("root_pc"))
     word = F.when(F.col("kind") == "note", F.col("tie")).otherwise(F.col("chord_kind"))
     length = F.when(F.col("kind") == "note", F.round("length_q", 6))

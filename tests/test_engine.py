@@ -1,8 +1,10 @@
 """Operators that work in rounds, blocks, files and streams, against brute force on small inputs."""
 
+import contextlib
 import math
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -483,3 +485,32 @@ def test_a_score_is_assembled_from_one_shuffle_of_its_notes(spark):
     assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # notes; chords
     got = made.first()
     assert len(got["notes"]) == 8 and [(c["offset_q"], c["root_pc"]) for c in got["chords"]] == [(0.0, 0), (4.0, 0)]
+
+
+def test_scores_are_assembled_in_portions_that_leave_no_shuffle_files(spark, monkeypatch):
+    """Portions of the themes give what all at once do, and the notes' shuffle files go when a portion is written."""
+    from segno.plans import scores as plan
+
+    def shuffle_files():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(k).getName().startswith("shuffle") for k in range(files.size()))
+
+    d, left = "/root/testdata/sf0.001", []
+    whole = sorted(map(str, plan.score_assembly(spark, d).collect()))
+    kept = plan.shuffles_dropped
+
+    @contextlib.contextmanager
+    def seen(session):
+        before = shuffle_files()
+        with kept(session):
+            yield
+        end = time.time() + 10
+        while shuffle_files() > before and time.time() < end:
+            time.sleep(0.1)
+        left.append(shuffle_files() - before)
+
+    monkeypatch.setattr(plan, "shuffles_dropped", seen)
+    monkeypatch.setattr(plan, "PORTION_NOTES", 2000)
+    setting = spark.conf.get(shared.FILE_CLEANUP)
+    assert sorted(map(str, plan.score_assembly(spark, d).collect())) == whole
+    assert len(left) > 1 and max(left) <= 0 and spark.conf.get(shared.FILE_CLEANUP) == setting
