@@ -294,6 +294,18 @@ def test_line_dedup_odd_rows(spark):
     )
 
 
+def test_unlikely_lines_are_measured_once(spark):
+    """Without the small distance that is tried first, the same lines are similar, by half the measurements."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("ab |", k=rng.choice([1, 9, 10, 60, 1100]))) for _ in range(60)]
+    texts += [t[:-1] + "z" for t in texts]
+    pairs = spark.createDataFrame([(a, b) for a in texts[::3] for b in texts], "a string, b string")
+    likely, unlikely = line_dedup.similar("a", "b", 0.8), line_dedup.similar("a", "b", 0.8, likely=False)
+    held = pairs.select(likely.alias("x"), unlikely.alias("y")).groupBy("x", "y").count().collect()
+    assert {(r["x"], r["y"]) for r in held} == {(True, True), (False, False)}
+    assert str(unlikely).count("levenshtein") * 2 == str(likely).count("levenshtein")
+
+
 def test_line_dedup_of_giant_lines(spark):
     rng = random.Random(8)
     words = [f"{rng.choice('abcdefgh')}{k}" for k in range(3000)]
