@@ -1,6 +1,9 @@
 """The driver's contract, on the smallest tables."""
 
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -9,6 +12,14 @@ import __spark_entry__ as entry
 SMALL = "/root/testdata/sf0.001"
 
 
+def test_queries_are_listed_without_a_session():
+    """Nothing may make a column when it is imported: who lists the queries has no Spark context yet."""
+    told = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries()); e.oracle_sql()"], cwd=Path(entry.__file__).parent, capture_output=True, text=True, timeout=120)
+    assert told.returncode == 0, told.stderr
+    names = told.stdout.split()
+    assert set(names) == set(entry.queries()) and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
+
+
 def test_names_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
