@@ -19,7 +19,7 @@ from .book import query
 BASE = with_ctes(NOTES, PIECE_NOTES)
 
 #: Notes that are dealt to pieces and written as scores at a time, notes of a task about, and tasks at least.
-PORTION_NOTES, TASK_NOTES, TASKS = 6_000_000, 100_000, 12
+PORTION_NOTES, TASK_NOTES, TASKS = 3_000_000, 100_000, 12
 
 
 @query("chunk_rows_drop_tail", """
@@ -199,34 +199,40 @@ cut AS (SELECT *, on_ticks + ticks AS end_ticks, unnest(range(on_ticks // u, (on
 totals AS (SELECT theme, model, max((on_ticks + ticks + u - 1) // u) AS bars FROM lined GROUP BY ALL)"""
 
 
+def assembled(spark, d, portion, portions, tasks):
+    """(path, content): the scores of one of ``portions`` of the themes; notes and chords are dealt to ``tasks`` by theme, once."""
+    unit = F.when(F.col("theme") % 2 == 0, 4).otherwise(3)
+    rows = piece_notes(spark, d, portion, portions, tasks).select(*PIECE, "seq_no", "pitch", (F.col("on_ticks") / unit / 2).alias("start_s"), ((F.col("on_ticks") + F.col("ticks")) / unit / 2).alias("end_s"))
+    line = assembly.melody_line(rows, PIECE, F.lit(120.0))
+    # Dealt like the notes: where shuffles have more partitions than there are tasks, the assembled notes would else be dealt again.
+    cycles = chords(spark, d).where("chunk_idx = 0").select("theme", "offset_q", "root_pc", "kind").repartition(tasks, "theme")
+    made = sinks.assembled_scores(assembly.with_chords(line, cycles, PIECE, 16.0, of=["theme"]), PIECE)
+    return made.select(F.concat(F.col("theme").cast("string"), F.lit("-"), F.col("model"), F.lit(".musicxml")).alias("path"), "content")
+
+
 @query("score_assembly", with_ctes(NOTES, PIECE_NOTES, CHORDS) + LINE.removeprefix(BASE) + """
 SELECT theme::VARCHAR AS theme, model, 'note' AS kind, (bar + 1)::INTEGER AS measure_no, round((greatest(on_ticks, bar * u) - bar * u) * 4.0::DOUBLE / u, 6) AS place, round((least(end_ticks, bar * u + u) - greatest(on_ticks, bar * u)) * 4.0::DOUBLE / u, 6) AS length_q, pitch AS value,
        CASE WHEN on_ticks // u = (end_ticks - 1) // u THEN NULL WHEN bar = on_ticks // u THEN 'start' WHEN bar = (end_ticks - 1) // u THEN 'stop' ELSE 'continue' END AS word FROM cut
 UNION ALL SELECT theme::VARCHAR, model, 'chord', (floor((offset_q + k * 16) / 4) + 1)::INTEGER, (offset_q + k * 16) % 4, NULL, root_pc, kind
 FROM chords JOIN totals USING (theme) CROSS JOIN (SELECT unnest(range(10000)) AS k) WHERE chunk_idx = 0 AND root_pc IS NOT NULL AND offset_q + k * 16 < bars * 4""")
 def score_assembly(spark, d):
-    """Pieces from seconds to compressed MusicXML and back: sixteenths or triplets, ties at barlines, the theme's chords repeated.
+    """Pieces from seconds to MusicXML in compressed packs and back: sixteenths or triplets, ties at barlines, the theme's chords repeated.
 
     The pieces of even themes are in sixteenths, those of odd ones in triplets. They are written in portions, so that
-    only the notes of one are in shuffle files; a task's notes fit its memory.
+    only the notes of one are in shuffle files; a task's notes fit its memory. Files of their own would take a block of
+    disk for each score.
     """
     folder = f"{shared_folder(spark).rstrip('/')}/scores-{uuid.uuid4().hex}"
     score_source.register(spark)
-    unit = F.when(F.col("theme") % 2 == 0, 4).otherwise(3)
     n = table(spark, d, "lineitem").count()
     portions, tasks = max(1, -(-n // PORTION_NOTES)), max(TASKS, -(-min(n, PORTION_NOTES) // TASK_NOTES))
     for k in range(portions):
-        rows = piece_notes(spark, d, k, portions, tasks).select(*PIECE, "seq_no", "pitch", (F.col("on_ticks") / unit / 2).alias("start_s"), ((F.col("on_ticks") + F.col("ticks")) / unit / 2).alias("end_s"))
-        line = assembly.melody_line(rows, PIECE, F.lit(120.0))
-        cycles = chords(spark, d).where("chunk_idx = 0").select("theme", "offset_q", "root_pc", "kind")
-        made = sinks.assembled_scores(assembly.with_chords(line, cycles, PIECE, 16.0, of=["theme"]), PIECE, packed=True)
-        # One folder: a block of disk for each theme's own folder is as much as for a score.
-        made = made.select(F.concat(F.col("theme").cast("string"), F.lit("-"), F.col("model"), F.lit(".mxl")).alias("path"), "content")
         with shuffles_dropped(spark):
-            made.write.format("segno_scores").mode("append").save(folder)
-    read = spark.read.format("segno_scores").option("kind", "musicxml").option("pattern", "*.mxl").load(folder).where("kind in ('note', 'chord')")
-    theme, model = (F.regexp_extract("path", r"/(-?\d+)-([^/]*)\.mxl$", k) for k in (1, 2))
+            assembled(spark, d, k, portions, tasks).write.format("segno_scores").option("packs", "true").mode("append").save(folder)
+    read = spark.read.format("segno_scores").option("kind", "musicxml").option("packs", "true").load(folder).where("kind in ('note', 'chord') or error is not null")
+    failed = F.when(F.col("error").isNotNull(), F.raise_error(F.concat("path", F.lit(": "), "error")).cast("string"))
+    theme, model = (F.regexp_extract("path", r"/(-?\d+)-([^/]*)\.musicxml$", k) for k in (1, 2))
     value = F.when(F.col("kind") == "note", F.col("pitch")).otherwise(F.col("root_pc"))
     word = F.when(F.col("kind") == "note", F.col("tie")).otherwise(F.col("chord_kind"))
     length = F.when(F.col("kind") == "note", F.round("length_q", 6))
-    return read.select(theme.alias("theme"), model.alias("model"), "kind", "measure_no", F.round("offset_in_measure_q", 6).alias("place"), length.alias("length_q"), value.alias("value"), word.alias("word"))
+    return read.select(F.coalesce(failed, theme).alias("theme"), model.alias("model"), "kind", "measure_no", F.round("offset_in_measure_q", 6).alias("place"), length.alias("length_q"), value.alias("value"), word.alias("word"))

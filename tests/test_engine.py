@@ -249,6 +249,42 @@ def test_score_files_are_planned_by_size_and_parsed(spark, tmp_path):
     assert spark.read.format("segno_scores").load(str(tmp_path / "nothing")).count() == 0
 
 
+def test_score_files_in_packs(spark, tmp_path, monkeypatch):
+    """Files that are alike take less disk in packs than a block each, and come back one by one; a damaged pack is told."""
+    score_source.register(spark)
+    texts = {f"{k}-R.musicxml": scores.musicxml([{"offset_q": q / 2, "length_q": 0.5, "pitch": 50 + (k * q) % 40} for q in range(40)]).encode() for k in range(60)}
+    rows = spark.createDataFrame(list(texts.items()), "path string, content binary").coalesce(1)
+    blocks = lambda f: sum(os.lstat(f"{f}/{x}").st_blocks * 512 for x in os.listdir(f))
+    single, packs = str(tmp_path / "single"), str(tmp_path / "packs")
+    rows.write.format("segno_scores").mode("append").save(single)
+    rows.write.format("segno_scores").option("packs", "true").mode("append").save(packs)
+    assert len(os.listdir(packs)) == 1 and blocks(packs) * 5 < blocks(single)
+    load = lambda kind: spark.read.format("segno_scores").option("packs", "true").option("kind", kind).load(packs)
+    assert {r["path"]: bytes(r["content"]) for r in load("files").collect()} == {f"{packs}/{k}": v for k, v in texts.items()}
+    assert load("musicxml").where("kind = 'note'").groupBy("path").count().where("count >= 40").count() == 60
+
+    writer = score_source.ScoreWriter(str(tmp_path / "small"), False, True)
+    monkeypatch.setattr(score_source, "PACK_BYTES", 2 * len(texts["0-R.musicxml"]))
+    writer.commit([writer.write(iter([{"path": p, "content": c} for p, c in texts.items()])), writer.write(iter([]))])
+    held = os.listdir(tmp_path / "small")
+    assert len(held) >= 20 and all(x.endswith(score_source.PACK) for x in held)
+    reader = score_source.ScoreReader(str(tmp_path / "small"), "*.musicxml", None, score_source.StructType.fromDDL("path string, content binary"), 1 << 20, True)
+    parts = reader.partitions()
+    assert len(parts) == len(held) and sum(b.num_rows for p in parts for b in reader.read(p)) == 60
+    with pytest.raises(ValueError, match="below the folder"):
+        writer.write(iter([{"path": "../out", "content": b"x"}]))
+
+    name = f"{packs}/{os.listdir(packs)[0]}"
+    with open(name, "rb") as f:
+        whole = f.read()
+    with open(name, "wb") as f:
+        f.write(whole[: len(whole) // 2])
+    told = load("musicxml").where("error is not null").collect()
+    assert [r["path"] for r in told] == [name] and 0 < load("musicxml").where("kind = 'note'").select("path").distinct().count() < 60
+    with pytest.raises(Exception, match="EOFError|ReadError"):
+        load("files").collect()
+
+
 def test_snapshots_guard_a_run_and_files_are_set_aside(spark, tmp_path):
     run = str(tmp_path / "run")
     first = sinks.config_snapshot(spark, {"slug": "a", "bars": 8}, run)
@@ -487,6 +523,30 @@ def test_a_score_is_assembled_from_one_shuffle_of_its_notes(spark):
     assert len(got["notes"]) == 8 and [(c["offset_q"], c["root_pc"]) for c in got["chords"]] == [(0.0, 0), (4.0, 0)]
 
 
+def test_assembled_notes_are_not_dealt_again_for_their_chords(spark):
+    """However many partitions shuffles have: the notes and the chords are dealt once each, to as many tasks."""
+    from segno.plans import scores as plan
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        told = plan.assembled(spark, "/root/testdata/sf0.001", 0, 1, 12)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert told.count("Exchange hashpartitioning") == 2 == told.count("REPARTITION_BY_NUM")
+
+
+def test_a_score_that_cannot_be_read_back_is_no_row_less(spark, monkeypatch):
+    from segno.plans import scores as plan
+
+    whole = plan.assembled
+    monkeypatch.setattr(plan, "assembled", lambda *a: whole(*a).withColumn("content", F.when(F.col("path").startswith("1-"), F.lit(b"<score")).otherwise(F.col("content"))))
+    with pytest.raises(Exception, match="1-.*ParseError"):
+        plan.score_assembly(spark, "/root/testdata/sf0.001").collect()
+
+
 def test_scores_are_assembled_in_portions_that_leave_no_shuffle_files(spark, monkeypatch):
     """Portions of the themes give what all at once do, and the notes' shuffle files go when a portion is written."""
     from segno.plans import scores as plan
