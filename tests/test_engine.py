@@ -488,6 +488,51 @@ def test_strips_put_together_keep_weight_mean_and_spread(monkeypatch):
         assert (m2 + w * (mean - want.mean()) ** 2).sum() == pytest.approx(((want - want.mean()) ** 2).sum()) and (found.low, found.high) == pytest.approx((want.min(), want.max()), abs=1e-9)
 
 
+@pytest.mark.parametrize("kind", ["whole", "line", "filed"])
+def test_many_pairs_are_measured_with_less_work_and_right(monkeypatch, kind):
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(distances, "BINS", 256)
+    monkeypatch.setattr(distances, "TILE_ROWS", 32)
+    monkeypatch.setattr(distances, "STRIP", 1 << 11)
+    monkeypatch.setattr(distances, "MANY", 1 << 12)
+    make = {"whole": lambda n: rng.poisson(2, (n, 3)), "line": lambda n: rng.gamma(2, 1, (n, 1)), "filed": lambda n: rng.normal(0, 1, (n, 3))}[kind]
+    a, b = (np.unique(make(n).astype(float), axis=0) for n in (300, 280))
+    if kind == "filed":
+        a[0], b[0] = 7.0, 7.0 + 1e-9  # a pair that the matrix product cannot tell from none
+    wa, wb = rng.integers(1, 4, len(a)), rng.integers(1, 4, len(b))
+    calls = []
+    name = {"whole": "_counted", "line": "_on_a_line", "filed": "_filed"}[kind]
+    plain = getattr(distances, name)
+    monkeypatch.setattr(distances, name, lambda *x: (calls.append(1), plain(*x)))
+    every = np.repeat(a, wa, axis=0)
+    exact = lambda x, y: np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    own, other = exact(every, every)[np.triu_indices(len(every), 1)], exact(every, np.repeat(b, wb, axis=0)).ravel()
+    for found, want in ((distances.block_clusters(a, None, wa, None), own), (distances.block_clusters(a, b, wa, wb), other)):
+        w, mean, m2 = found.all()
+        assert w.sum() == len(want) and (w * mean).sum() == pytest.approx(want.sum(), rel=1e-9)
+        assert (m2 + w * (mean - want.mean()) ** 2).sum() == pytest.approx(((want - want.mean()) ** 2).sum(), rel=1e-6)
+        assert (found.low, found.high) == pytest.approx((want.min(), want.max()), abs=1e-12)
+        places = np.quantile(want, [0.1, 0.5, 0.9]) + 1e-4
+        width = (found.high - found.low) / (64 if kind == "line" else 4096)
+        for at in places:  # what lies below a place, to a bin's width
+            below = w[mean <= at].sum()
+            assert (want <= at - width).sum() <= below <= (want <= at + width).sum()
+    assert len(calls) == 2
+
+
+def test_the_real_pieces_as_a_model_have_each_pair_twice_and_themselves(spark):
+    rng = random.Random(5)
+    real = [("f", k, [float(rng.randrange(5)), rng.random()]) for k in range(30)] + [("g", 0, [1.0])]
+    made = [("f", k, [rng.random(), 1.0], "u") for k in range(9)]
+    df = spark.createDataFrame(real, "feature string, id long, vec array<double>"), spark.createDataFrame(made, "feature string, id long, vec array<double>, model string")
+    samples = distances.with_own(distances.distance_samples(*df, ["feature"]), df[0], ["feature"], "N")
+    got = {(r["feature"], r["model"], r["kind"]): r for r in distances.distance_summary(samples, ["feature"]).collect()}
+    want = [math.dist(a[2], b[2]) for a in real for b in real if a[0] == b[0] == "f"]
+    r = got["f", "N", "inter"]
+    assert r["n"] == 900 and (r["low"], r["high"], r["mean"]) == pytest.approx((0.0, max(want), sum(want) / 900))
+    assert got["g", "N", "inter"]["n"] == 1 and ("g", None, "intra") not in got and got["f", "u", "inter"]["n"] == 270
+
+
 def test_chains_of_a_batch_go_on_from_those_held(spark):
     rng = random.Random(4)
     kinds = ["start", "continue", "stop", None, "odd"]
