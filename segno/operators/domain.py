@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -237,16 +239,19 @@ def snapped(notes: DataFrame, vocabulary: list[int]) -> DataFrame:
 def bar_patterns(events: DataFrame, by: list[str]) -> DataFrame:
     """(by, pattern): sixteen slots a bar, O for an onset, H for held, R for rest. A null pitch is a rest.
 
-    Onsets win over held slots in any order, so one aggregation over slots is enough.
+    Onsets win over held slots in any order, so one aggregation is enough: a bar's onsets and held slots are bits.
     """
     at = music.half_even(F.col("offset_q") * 4)
     length = F.greatest(F.lit(1), music.half_even(F.col("length_q") * 4))
-    held = events.where(F.col("pitch").isNotNull()).withColumn("_at", at).where("_at >= 0 and _at < 16")
-    slots = held.select(*by, "_at", F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + length - 1, F.lit(15)))).alias("slot"))
-    marks = slots.groupBy(*by, "slot").agg(F.max(F.when(F.col("slot") == F.col("_at"), "O").otherwise("H")).alias("mark"))
-    got = marks.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("slot", "mark"))).alias("m"))
-    pattern = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.coalesce(F.try_element_at(F.col("m"), k), F.lit("R"))), "")
-    return events.select(*by).distinct().join(got, by, "left").select(*by, F.coalesce(pattern, F.lit("R" * 16)).alias("pattern"))
+    heard = F.col("pitch").isNotNull() & (at >= 0) & (at < 16)
+    power = lambda k: F.pow(F.lit(2.0), k).cast("int")
+    onset, held = power(at), power(F.least(at + length, F.lit(16))) - power(at)
+    bits = [F.coalesce(F.bit_or(F.when(heard, x)), F.lit(0)).alias(name) for name, x in (("_onset", onset), ("_held", held))]
+    has = lambda name, k: F.col(name).bitwiseAND(F.lit(1 << k)) != 0
+    pattern = F.concat(*[F.when(has("_onset", k), "O").when(has("_held", k), "H").otherwise("R") for k in range(16)])
+    # A bar without a name has no notes, as in a join.
+    named = reduce(lambda x, c: x & F.col(c).isNotNull(), by, F.lit(True))
+    return events.groupBy(*by).agg(*bits).select(*by, F.when(named, pattern).otherwise(F.lit("R" * 16)).alias("pattern"))
 
 
 def chord_frames(chords: DataFrame, frames: DataFrame, by: list[str], frames_per_quarter: int, theme_frames: Column) -> DataFrame:

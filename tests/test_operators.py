@@ -153,6 +153,14 @@ def test_bar_patterns(spark, rows, pattern):
     assert domain.bar_patterns(spark.createDataFrame(rows, BAR), ["bar"]).first()["pattern"] == pattern
 
 
+def test_bar_patterns_take_one_aggregation(spark):
+    rows = [("a", 0.0, 9.0, 60), ("a", 1.0, 0.0, 61), ("b", 1.0, 1.0, None), ("c", -1.0, 9.0, 60), (None, 0.0, 1.0, 60)]
+    got = domain.bar_patterns(spark.createDataFrame(rows, "bar string, offset_q double, length_q double, pitch int"), ["bar"])
+    assert {r["bar"]: r["pattern"] for r in got.collect()} == {"a": "OHHHOHHHHHHHHHHH", "b": "R" * 16, "c": "R" * 16, None: "R" * 16}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
 def test_detie_and_snap(spark):
     rows = [("p", 0, 1, "start"), ("p", 1, 1, "stop"), ("p", 2, 4, "start"), ("p", 3, 1, "stop"), ("p", 4, 2, None)]
     held = spark.createDataFrame(rows, "piece string, seq_no int, ticks int, tie string")
