@@ -533,6 +533,26 @@ def test_the_real_pieces_as_a_model_have_each_pair_twice_and_themselves(spark):
     assert got["g", "N", "inter"]["n"] == 1 and ("g", None, "intra") not in got and got["f", "u", "inter"]["n"] == 270
 
 
+def test_halves_of_all_trials_are_measured_in_one_pass(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [("f", k, [float(rng.randrange(4)), rng.random() if k % 3 else 0.5]) for k in range(61)]
+    vectors = spark.createDataFrame(rows, "feature string, id long, vec array<double>")
+    seeds = [4, 9, 5]
+    cut = {(r["trial"], r["id"]): r["half"] for r in studies.sampling.halves(vectors.select("id"), "id", seeds).collect()}
+    first = spark.createDataFrame([(k, sum(1 << t for t, s in enumerate(seeds) if cut[s, k] == "a")) for k in range(61)], "id long, first long")
+    samples = distances.half_samples(vectors.join(first, "id"), ["feature"], seeds)
+    got = {(r["trial"], r["kind"]): r for r in distances.distance_summary(samples, ["feature", "trial"]).collect()}
+    for seed in seeds:
+        a, b = ([r[2] for r in rows if cut[seed, r[1]] == h] for h in "ab")
+        for kind, want in (("intra", [math.dist(x, y) for i, x in enumerate(a) for j, y in enumerate(a) if i != j]), ("inter", [math.dist(x, y) for x in a for y in b])):
+            r = got[seed, kind]
+            assert r["n"] == len(want) and (r["low"], r["high"], r["mean"]) == pytest.approx((min(want), max(want), sum(want) / len(want)))
+    whole = {r["trial"]: (r["kl"], r["oa"]) for r in studies.half_noise(vectors, ["feature"], seeds).collect()}
+    monkeypatch.setattr(studies, "MOST_AT_ONCE", 2)
+    split = {r["trial"]: (r["kl"], r["oa"]) for r in studies.half_noise(vectors, ["feature"], seeds).collect()}
+    assert len(whole) == 3 and all(split[t] == pytest.approx(whole[t]) for t in seeds)
+
+
 def test_chains_of_a_batch_go_on_from_those_held(spark):
     rng = random.Random(4)
     kinds = ["start", "continue", "stop", None, "odd"]
